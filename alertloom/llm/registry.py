@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from alertloom.llm import chat, mixing, sharding
+from alertloom.llm import chat, decontamination, mixing, ngram_join, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_join": ngram_join.op1_ngram_join,
+        "op2_decontamination": decontamination.op2_decontamination,
         "op3_mixing": mixing.op3_mixing,
         "op4_chat_formatting": chat.op4_chat_formatting,
         "op5_sharding": sharding.op5_sharding,
@@ -18,4 +20,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.ORACLE, "op4_chat_formatting": chat.ORACLE}
+    return {"op2_decontamination": decontamination.ORACLE, "op3_mixing": mixing.ORACLE, "op4_chat_formatting": chat.ORACLE}
