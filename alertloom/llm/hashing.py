@@ -58,10 +58,14 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word and the index of its document."""
+def word_hashes(
+    data: np.ndarray, offsets: np.ndarray, lower: bool = True, stems: tuple[int, ...] = ()
+) -> tuple[np.ndarray, ...]:
+    """Hash of each word, the index of its document and, with stems, a row for each of those numbers
+    of bytes: the hash of so long a beginning, 0 for words that aren't longer."""
     starts, ends = word_bounds(data, offsets)
     out = np.empty(len(starts), np.uint64)
+    begun = np.zeros((len(stems), len(starts)), np.uint64)
     i = 0
     while i < len(starts):  # in segments, so that memory doesn't grow with a long text
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + _SEGMENT, "right")))
@@ -71,9 +75,14 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
             piece = _LOWER[piece]
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[piece] * _power(_BASE, hi - lo), dtype=np.uint64)))
         a, b = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = mix((sums[b] - sums[a]) * _power(_INVERSE, hi - lo)[a] + (b - a).astype(np.uint64))
+        back = _power(_INVERSE, hi - lo)[a]
+        out[i:j] = mix((sums[b] - sums[a]) * back + (b - a).astype(np.uint64))
+        for row, n in enumerate(stems):
+            longer = np.flatnonzero(b - a > n)
+            begun[row, i + longer] = mix((sums[a[longer] + n] - sums[a[longer]]) * back[longer] + _U(n << 32))
         i = j
-    return out, np.searchsorted(offsets, starts, "right") - 1
+    of = np.searchsorted(offsets, starts, "right") - 1
+    return (out, of, begun) if stems else (out, of)
 
 
 def shingles(words: np.ndarray, docs: np.ndarray, n_docs: int, n: int = 5) -> tuple[np.ndarray, np.ndarray]:

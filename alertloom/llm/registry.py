@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from alertloom.llm import chat, decontamination, mixing, ngram_join, sharding
+from alertloom.llm import chat, decontamination, mixing, ngram_join, quality, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mixing": mixing.op3_mixing,
         "op4_chat_formatting": chat.op4_chat_formatting,
         "op5_sharding": sharding.op5_sharding,
+        "op7_toxicity": toxicity.op7_toxicity,
+        "op9_quality": quality.op9_quality,
     }
 
 
