@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from alertloom.llm import chat, decontamination, mixing, ngram_join, quality, sharding, toxicity
+from alertloom.llm import chat, decontamination, mixing, neighbours, ngram_join, quality, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,9 +17,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_chat_formatting": chat.op4_chat_formatting,
         "op5_sharding": sharding.op5_sharding,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op8_nearest_neighbours": neighbours.op8_nearest_neighbours,
         "op9_quality": quality.op9_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontamination.ORACLE, "op3_mixing": mixing.ORACLE, "op4_chat_formatting": chat.ORACLE}
+    return {"op2_decontamination": decontamination.ORACLE, "op3_mixing": mixing.ORACLE, "op4_chat_formatting": chat.ORACLE, "op8_nearest_neighbours": neighbours.ORACLE}
