@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from alertloom.llm import chat, decontamination, mixing, neighbours, ngram_join, quality, sharding, toxicity
+from alertloom.llm import chat, decontamination, html_text, line_dedup, mixing, neighbours, ngram_join, quality, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op10_html_extraction": html_text.op10_html_extraction,
         "op1_ngram_join": ngram_join.op1_ngram_join,
         "op2_decontamination": decontamination.op2_decontamination,
         "op3_mixing": mixing.op3_mixing,
         "op4_chat_formatting": chat.op4_chat_formatting,
         "op5_sharding": sharding.op5_sharding,
+        "op6_line_dedup": line_dedup.op6_line_dedup,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_nearest_neighbours": neighbours.op8_nearest_neighbours,
         "op9_quality": quality.op9_quality,
@@ -23,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontamination.ORACLE, "op3_mixing": mixing.ORACLE, "op4_chat_formatting": chat.ORACLE, "op8_nearest_neighbours": neighbours.ORACLE}
+    return {"op2_decontamination": decontamination.ORACLE, "op3_mixing": mixing.ORACLE, "op4_chat_formatting": chat.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op8_nearest_neighbours": neighbours.ORACLE}
