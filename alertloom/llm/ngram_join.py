@@ -16,13 +16,15 @@
 
 from __future__ import annotations
 
+import operator
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertloom.llm.common import SHINGLE, SIMILARITY
@@ -33,7 +35,10 @@ from alertloom.session import materialize
 #: log2 of the sketch's counters; the broadcast ranks are this many bytes.
 SKETCH_BITS = 22
 _CHUNK = 1 << 16
-#: Parts of the hash range that the suffix filter compares.
+#: Words of 64 bits in the parity sketch that the suffix filter compares before a join of texts.
+_PARITY_WORDS = 8
+_PARITY = [f"o{i}" for i in range(_PARITY_WORDS)]
+#: Parts of the hash range that the suffix filter compares once texts are there.
 _SUFFIX_PARTS = 64
 
 
@@ -50,17 +55,26 @@ def _class_of(hashes: np.ndarray) -> int:
     return int(mix(np.sum(mix(hashes + at * np.uint64(0x9E3779B97F4A7C15)), keepdims=True)).view(np.int64)[0])
 
 
+def _parity(hashes: np.ndarray) -> np.ndarray:
+    """Bit i is the parity of the number of hashes that fall on i. Where the bits of two sets differ,
+    the sets differ in a shingle that falls there."""
+    at = (hashes >> np.uint64(40)).astype(np.int64) % (64 * _PARITY_WORDS)
+    odd = (np.bincount(at, minlength=64 * _PARITY_WORDS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
 def _classes_and_counts(n_gram: int, bits: int) -> Callable:
     mask = np.uint64((1 << bits) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.uint32)
         for batch in batches:
-            size, cls = [], []
+            size, cls, odd = [], [], []
             waiting: list[np.ndarray] = []
             for hashes in shingle_sets(batch.column(1), n_gram):
                 size.append(len(hashes))
                 cls.append(_class_of(hashes) if len(hashes) else None)
+                odd.append(_parity(hashes))
                 waiting.append((hashes & mask).astype(np.int64))
                 if len(waiting) == 1024:
                     np.add.at(counts, np.concatenate(waiting), 1)
@@ -68,17 +82,22 @@ def _classes_and_counts(n_gram: int, bits: int) -> Callable:
             if waiting:
                 np.add.at(counts, np.concatenate(waiting), 1)
             none = pa.nulls(len(size), pa.int32())
+            words = np.array(odd, np.int64).reshape(-1, _PARITY_WORDS)
             yield pa.record_batch(
-                [batch.column(0), pa.array(cls, pa.int64()), pa.array(size, pa.int64()), none, pa.nulls(len(size), pa.binary())],
-                names=["doc_id", "cls", "n", "chunk", "counts"],
+                [
+                    *(batch.column(0), batch.column(2), pa.array(cls, pa.int64()), pa.array(size, pa.int64()), none, pa.nulls(len(size), pa.binary())),
+                    *(pa.array(words[:, i]) for i in range(_PARITY_WORDS)),
+                ],
+                names=["doc_id", "th", "cls", "n", "chunk", "counts", *_PARITY],
             )
         width = min(_CHUNK, len(counts))
         parts = [(i, counts[at : at + width]) for i, at in enumerate(range(0, len(counts), width))]
         parts = [(i, zlib.compress(p.tobytes(), 1)) for i, p in parts if p.any()]
         none = pa.nulls(len(parts), pa.int64())
         yield pa.record_batch(
-            [none, none, none, pa.array([i for i, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())],
-            names=["doc_id", "cls", "n", "chunk", "counts"],
+            [none, none, none, none, pa.array([i for i, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())]
+            + [none] * _PARITY_WORDS,
+            names=["doc_id", "th", "cls", "n", "chunk", "counts", *_PARITY],
         )
 
     return run
@@ -145,7 +164,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         texts = [press.compress((t or "").encode()) for t in batch.column(1).to_pylist()]
-        yield pa.record_batch([batch.column(0), pa.array(texts, pa.binary())], names=["doc_id", "packed"])
+        yield pa.record_batch([batch.column(0), batch.column(2), pa.array(texts, pa.binary())], names=["doc_id", "th", "packed"])
 
 
 def _verify(n_gram: int, percent: int) -> Callable:
@@ -184,9 +203,19 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (both - shared)
 
 
-def _may_link(n_a, n_b, pos_a, pos_b, percent: int):
-    """Length and positional filters, as columns, in whole numbers."""
-    need = F.ceil(F.lit(percent) * (n_a + n_b) / F.lit(100 + percent) - 1e-9)
+def _need(n_a: Column, n_b: Column, percent: int) -> Column:
+    """Shingles that two sets of these sizes must share."""
+    return F.ceil(F.lit(percent) * (n_a + n_b) / F.lit(100 + percent) - 1e-9)
+
+
+def _differences() -> Column:
+    """Suffix filter: at least so many shingles are in one of the two sets only."""
+    return reduce(operator.add, (F.bit_count(F.col(o).bitwiseXOR(F.col(f"{o}_m"))) for o in _PARITY))
+
+
+def _may_link(n_a: Column, n_b: Column, pos_a: Column, pos_b: Column, percent: int) -> Column:
+    """Length and positional filters, in whole numbers."""
+    need = _need(n_a, n_b, percent)
     length = (100 * F.least(n_a, n_b)) >= (percent * F.greatest(n_a, n_b))
     return length & (F.least(n_a - pos_a, n_b - pos_b) >= need)
 
@@ -195,21 +224,23 @@ def ngram_links(docs: DataFrame, key: str, text: str, threshold: float, n_gram:
     """members (doc_id, cls, n) and links between classes (a, b)."""
     spark = docs.sparkSession
     percent = _percent(threshold)
-    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("th"))
     both = materialize(
         source.mapInArrow(
-            _classes_and_counts(n_gram, bits), "doc_id long, cls long, n long, chunk int, counts binary"
+            _classes_and_counts(n_gram, bits), "doc_id long, th long, cls long, n long, chunk int, counts binary, " + ", ".join(f"{o} long" for o in _PARITY)
         ),
         "classes",
     )
-    members = both.filter("chunk IS NULL").select("doc_id", "cls", "n")
+    members = both.filter("chunk IS NULL").select("doc_id", "th", "cls", "n", *_PARITY)
     ranks = spark.sparkContext.broadcast(
         _frequency_ranks(both.filter("chunk IS NOT NULL").select("chunk", "counts"), bits).tobytes()
     )
     rows = source.mapInArrow(_postings(n_gram, percent, lambda: ranks.value), "h long, cls long, n int, pos int")
-    # both least and greatest class of a list: equal ones mean that nothing is shared
-    lists = rows.groupBy("h").agg(F.min("cls").alias("leader"), F.max("cls").alias("other")).filter("leader < other")
-    shared = materialize(rows.join(lists.select("h", "leader"), "h").distinct(), "postings")
+    several = rows.groupBy("h").count().filter("count > 1").select("h")
+    found = materialize(rows.join(several, "h", "left_semi").distinct(), "postings")
+    # copies of one class may have counted as several
+    lists = found.groupBy("h").agg(F.min("cls").alias("leader"), F.max("cls").alias("other")).filter("leader < other")
+    shared = found.join(lists.select("h", "leader"), "h")
 
     lead = shared.filter("cls = leader").select(
         "h", F.col("n").alias("n_l"), F.col("pos").alias("pos_l")
@@ -221,13 +252,18 @@ def ngram_links(docs: DataFrame, key: str, text: str, threshold: float, n_gram:
         .select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b"))
         .distinct()
     )
-    texts = _class_texts(source, members, shared)
+    classes = materialize(_classes(members, found), "class-rows")
+    texts = _class_texts(source, classes)
     first = _verified(stars, texts, n_gram, percent, "stars")
     roots = connected_components(first)
     placed = materialize(
         shared.select("h", "cls", "n", "pos")
-        .join(roots.withColumnsRenamed({"node": "cls", "root": "part"}), "cls", "left")
-        .withColumn("part", F.coalesce("part", "cls")),
+        .join(
+            classes.join(roots.withColumnsRenamed({"node": "cls", "root": "part"}), "cls", "left")
+            .withColumn("part", F.coalesce("part", "cls"))
+            .drop("of"),
+            "cls",
+        ),
         "placed",
     )
     sizes = placed.groupBy("h", "part").agg(F.count(F.lit(1)).alias("c"))
@@ -235,13 +271,14 @@ def ngram_links(docs: DataFrame, key: str, text: str, threshold: float, n_gram:
         F.max_by("part", F.struct("c", "part")).alias("main"), F.count(F.lit(1)).alias("parts")
     ).filter("parts > 1").select("h", "main")
     open_lists = placed.join(largest, "h")
-    minor = open_lists.filter("part <> main").select("h", *[F.col(c).alias(f"{c}_m") for c in ("cls", "n", "pos", "part")], F.lit(True).alias("is_m"))
+    minor = open_lists.filter("part <> main").select("h", *[F.col(c).alias(f"{c}_m") for c in ("cls", "n", "pos", "part", *_PARITY)])
     across = (
         minor.join(open_lists, "h")
         .filter(
             (F.col("part") != F.col("part_m"))
             & ((F.col("part") == F.col("main")) | (F.col("cls") < F.col("cls_m")))
             & _may_link(F.col("n"), F.col("n_m"), F.col("pos"), F.col("pos_m"), percent)
+            & (_differences() <= F.col("n") + F.col("n_m") - 2 * _need(F.col("n"), F.col("n_m"), percent))
         )
         .select(F.least("cls", "cls_m").alias("a"), F.greatest("cls", "cls_m").alias("b"))
         .distinct()
@@ -251,12 +288,19 @@ def ngram_links(docs: DataFrame, key: str, text: str, threshold: float, n_gram:
     return members, first.unionByName(second)
 
 
-def _class_texts(source: DataFrame, members: DataFrame, shared: DataFrame) -> DataFrame:
+def _classes(members: DataFrame, found: DataFrame) -> DataFrame:
+    """cls, the first document that has it and its parity sketch, for each class in a shared list."""
+    wanted = found.select("cls").distinct()
+    return members.join(wanted, "cls", "left_semi").groupBy("cls").agg(
+        F.min(F.struct("doc_id", "th")).alias("of"), *[F.max(o).alias(o) for o in _PARITY]
+    )
+
+
+def _class_texts(source: DataFrame, classes: DataFrame) -> DataFrame:
     """cls, packed: the text of one document for each class that stands in a shared list."""
-    wanted = shared.select("cls").distinct()
-    reps = members.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    packed = source.mapInArrow(_pack, "doc_id long, packed binary")
-    chosen = packed.join(reps, "doc_id")
+    packed = source.mapInArrow(_pack, "doc_id long, th long, packed binary")
+    of = classes.select("cls", F.col("of.doc_id").alias("_d"), F.col("of.th").alias("_t"))
+    chosen = packed.join(of, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")))
     return materialize(chosen.groupBy("cls").agg(F.first("packed").alias("packed")), "class-texts")
 
 
