@@ -29,7 +29,24 @@ def _all_grams(tokens: Column, widths: list[int]) -> Column:
     return F.concat(*[_grams(tokens, n) for n in widths])
 
 
-def contained_items(
+def _row_key(key: str, text: str) -> Column:
+    """Names a row even where keys are null or repeated."""
+    return F.xxhash64(F.col(key), F.col(text))
+
+
+def contained_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """doc_id, item_id, n_item, n_shared, containment: every document that holds an item; options as
+    in find_items.
+
+    Words are lower-cased in A-Z. An item of fewer than n words is one shingle as long as itself.
+    Items without words are held by nothing; null and empty texts hold nothing; repeated rows of
+    documents or items give a row each; null keys stay null; empty tables give no rows; other columns
+    are ignored.
+    """
+    return find_items(docs, items, key, text, **options).drop("row_key")
+
+
+def find_items(
     docs: DataFrame,
     items: DataFrame,
     key: str = "doc_id",
@@ -39,13 +56,7 @@ def contained_items(
     threshold: float = SIMILARITY,
     n: int = SHINGLE,
 ) -> DataFrame:
-    """doc_id, item_id, n_item, n_shared, containment: every document that holds an item.
-
-    Words are lower-cased in A-Z. An item of fewer than n words is one shingle as long as itself.
-    Items without words are held by nothing; null and empty texts hold nothing; repeated rows of
-    documents or items give a row each; null keys stay null; empty tables give no rows; other columns
-    are ignored.
-    """
+    """The rows of contained_items with row_key, the hash of a document's key and text."""
     prepared = items.select(
         F.col(item_key).alias("item_id"), words(ascii_lower(F.col(item_text))).alias("w")
     ).filter(F.size("w") > 0)
@@ -65,7 +76,7 @@ def contained_items(
         F.explode(F.slice(F.array_sort(F.transform("grams", lambda g: F.xxhash64(g))), F.lit(1), F.col("k"))).alias("h"),
     ).distinct()
     rows = docs.select(
-        F.xxhash64(F.col(key), F.col(text)).alias("row_key"),
+        _row_key(key, text).alias("row_key"),
         F.col(key).alias("doc_id"),
         words(ascii_lower(F.col(text))).alias("w"),
     )
@@ -74,19 +85,19 @@ def contained_items(
     )
     candidates = materialize(hashed.join(sketches, "h").select("row_key", "item_key").distinct(), "leak-candidates")
     shared = F.size(F.array_intersect("grams", "doc_grams"))
-    found = rows.join(candidates, "row_key").select("doc_id", "item_key", _all_grams(F.col("w"), widths).alias("doc_grams"))
+    found = rows.join(candidates, "row_key").select("row_key", "doc_id", "item_key", _all_grams(F.col("w"), widths).alias("doc_grams"))
     return (
         found.join(sets.select("item_id", "item_key", "grams", "n_item"), "item_key")
-        .select("doc_id", "item_id", F.col("n_item").cast("long").alias("n_item"), shared.cast("long").alias("n_shared"))
+        .select("row_key", "doc_id", "item_id", F.col("n_item").cast("long").alias("n_item"), shared.cast("long").alias("n_shared"))
         .withColumn("containment", F.col("n_shared") / F.col("n_item"))
         .filter(F.col("containment") >= threshold)
     )
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The documents that hold no item, all columns kept."""
-    leaks = contained_items(docs, items, key, **options).select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(leaks, key, "left_anti")
+def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The documents that hold no item, all columns kept; cases as in contained_items."""
+    leaks = find_items(docs, items, key, text, **options).select(F.col("row_key").alias("_leak")).distinct()
+    return docs.join(leaks, _row_key(key, text) == F.col("_leak"), "left_anti")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,6 +99,30 @@ def mix_thresholds(narrow: DataFrame, targets: DataFrame, levels: tuple[int, ...
     )
 
 
+def _document_hash(key: str, text: str) -> Column:
+    return F.coalesce(mix_hash(F.col(key)), F.md5(F.col(text)), F.md5(F.lit("")))
+
+
+def mix_bounds(narrow: DataFrame, weights: tuple[int, ...], levels: tuple[int, ...]) -> DataFrame:
+    """One row for each source of narrow (source, size, h): size, target, whole copies and hash threshold."""
+    targets = materialize(
+        source_targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights), "mix-targets"
+    )
+    return mix_thresholds(narrow, targets, levels)
+
+
+def with_copies(rows: DataFrame, bounds: DataFrame, source: str, h: Column, levels: tuple[int, ...]) -> DataFrame:
+    """Adds source_size, target and copies: how often each row is taken."""
+    prefix = F.substring(h, 1, sum(levels))
+    more = (prefix < F.col("_below")) | ((prefix == F.col("_below")) & F.col("_with"))
+    told = bounds.select(
+        F.col("source").alias("_s"), "source_size", "target", F.col("copies").alias("_copies"), F.col("below").alias("_below"), "_with"
+    )
+    # one row per source
+    joined = rows.join(F.broadcast(told), F.col(source).eqNullSafe(F.col("_s")))
+    return joined.withColumn("copies", F.col("_copies") + more.cast("long")).drop("_s", "_copies", "_below", "_with")
+
+
 def mix_sources(
     docs: DataFrame,
     key: str = "doc_id",
@@ -111,33 +135,43 @@ def mix_sources(
 
     A document is taken `copies` times; whole rounds of a source first, then one more copy where
     the hash of its key is under the source's threshold. No sort of documents, one pass over the
-    texts. Null texts have no words; null sources are one source; rows with one key (nulls, too)
-    share a hash and are taken together; an empty table gives no rows; other columns are ignored.
+    texts. Null texts have no words; null sources are one source; rows with one key share a hash and are
+    taken together (null keys use the text's hash); an empty table gives no rows; other columns are ignored.
     """
     narrow = materialize(
         docs.select(
             F.col(key).alias("doc_id"),
             F.col(source).alias("source"),
             word_count(F.col(text)).alias("size"),
-            F.coalesce(mix_hash(F.col(key)), F.md5(F.col(text)), F.md5(F.lit(""))).alias("h"),
+            _document_hash(key, text).alias("h"),
         ),
         "mix-sizes",
     )
-    targets = materialize(
-        source_targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights), "mix-targets"
+    mixed = with_copies(narrow, mix_bounds(narrow, weights, levels), "source", F.col("h"), levels)
+    return mixed.select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"
     )
-    bounds = mix_thresholds(narrow, targets, levels)
-    prefix = F.substring("h", 1, sum(levels))
-    more = (prefix < F.col("below")) | ((prefix == F.col("below")) & F.col("_with"))
-    # one row per source
-    return narrow.join(F.broadcast(bounds.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s"))).select(
-        "doc_id",
-        "size",
-        "source_size",
-        "target",
-        (F.col("size") * (F.col("copies") + more.cast("long"))).alias("taken"),
-        (F.col("copies") + more.cast("long")).alias("copies"),
+
+
+def mixed_documents(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    weights: tuple[int, ...] = (1, 2, 3),
+    levels: tuple[int, ...] = LEVELS,
+) -> DataFrame:
+    """The mix itself: every document as often as it is taken, with its own columns.
+
+    Two passes over the texts and no shuffle of them; cases as in mix_sources."""
+    narrow = materialize(
+        docs.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size"), _document_hash(key, text).alias("h")),
+        "mix-sizes",
     )
+    bounds = mix_bounds(narrow, weights, levels)
+    own = docs.select(F.struct(*docs.columns).alias("_row"), F.col(source).alias("_source"), _document_hash(key, text).alias("_h"))
+    mixed = with_copies(own, bounds, "_source", F.col("_h"), levels).filter("copies > 0")
+    return mixed.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -321,35 +321,48 @@ def ngram_components(
     n_gram: int = SHINGLE,
     sketch_bits: int = SKETCH_BITS,
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id for every document.
-
-    Documents without words (null, empty, blank) have no shingles and link with nothing, not even each
-    other. Repeated rows and equal texts share a class. Rows whose key is null take part, but a
-    component's id is the least key that isn't null (null if there is none). The key must be a whole
-    number. An empty table gives no rows, and other columns are ignored. Sets are kept as 64-bit hashes.
+    """doc_id, n_shingles, component_id, class_id, text_hash, group_id for every document.
+
+    group_id names the component even where keys are null or repeated. Documents without words (null,
+    empty, blank) have no shingles and link with nothing, not even each other; their class_id and
+    group_id are null. Repeated rows and equal texts share a class. Rows whose key is null take part,
+    but a component's id is the least key that isn't null (null if there is none). The key must be a
+    whole number. An empty table gives no rows, and other columns are ignored. Sets are kept as
+    64-bit hashes.
     """
     members, links = ngram_links(docs, key, text, threshold, n_gram, sketch_bits)
     roots = connected_components(links)
     ids = members.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("low"))
     parts = ids.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = parts.groupBy("root").agg(F.min("low").alias("component_id"))
-    labels = parts.join(least, "root").select("cls", "component_id")
+    labels = parts.join(least, "root").select("cls", "component_id", "root")
     return members.join(labels, "cls", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.col("cls").alias("class_id"),
+        F.col("th").alias("text_hash"),
+        F.col("root").alias("group_id"),
     )
 
 
 def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One document of each component, the one with the least key; all columns kept.
-
-    Documents that repeat that key and text are one; a null key is kept only where its component
-    has no other."""
+    """One document of each component, all its columns kept: the one with the least key, nulls last,
+    then the least text hash. Documents without words all stay."""
     found = ngram_components(docs, key, text, **options)
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(first, key, "left_semi").dropDuplicates([key])
+    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))
+    first = (
+        found.filter("group_id IS NOT NULL")
+        .groupBy("group_id")
+        .agg(F.min(rank).alias("f"))
+        .select(F.col("f.doc_id").alias("_k"), F.col("f.text_hash").alias("_h"), F.lit(True).alias("_one"))
+    )
+    wordless = found.filter("group_id IS NULL").select(F.col("doc_id").alias("_k"), F.col("text_hash").alias("_h")).distinct()
+    stay = first.unionByName(wordless.withColumn("_one", F.lit(False)))
+    kept = docs.join(stay, F.col(key).eqNullSafe(F.col("_k")) & (F.xxhash64(F.col(text)) == F.col("_h")))
+    # rows that repeat key and text are one document; rows without words keep their number
+    token = F.when(F.col("_one"), F.lit(-1).cast("long")).otherwise(F.monotonically_increasing_id())
+    return kept.withColumn("_token", token).dropDuplicates(["_k", "_h", "_token"]).select(*docs.columns)
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

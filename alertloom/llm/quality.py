@@ -103,13 +103,15 @@ def score_quality(
     folds: int = FOLDS,
     held_out: int = HELD_OUT,
     keep: bool = False,
+    score_name: str = "score",
+    predicted_name: str = "predicted",
 ) -> DataFrame:
     """doc_id, held_out, score, predicted for every document; with keep, all its columns instead of
     doc_id and held_out.
 
     Null and empty texts have no terms and score the share of good labels. Null keys are never held
     out and never train. Repeated rows and equal texts score alike. Without any labels all scores are 0.
-    An empty table gives no rows. With keep, score and predicted replace columns of those names.
+    An empty table gives no rows. With keep, the two new columns replace columns of their names.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,13 +136,13 @@ def score_quality(
             yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     if keep:
-        return docs.withColumn("score", score(F.col(text))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+        return docs.withColumn(score_name, score(F.col(text))).withColumn(predicted_name, (F.col(score_name) >= 0.5).cast("int"))
     scored = docs.select(
         F.col(key).alias("doc_id"),
         F.coalesce(fold(F.col(key), folds) == held_out, F.lit(False)).alias("held_out"),
-        score(F.col(text)).alias("score"),
+        score(F.col(text)).alias(score_name),
     )
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return scored.withColumn(predicted_name, (F.col(score_name) >= 0.5).cast("int"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

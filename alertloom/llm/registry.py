@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from alertloom.llm import chat, decontamination, html_text, line_dedup, mixing, neighbours, ngram_join, quality, sharding, toxicity
 
 
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_nearest_neighbours": neighbours.op8_nearest_neighbours,
         "op9_quality": quality.op9_quality,
+        "pipeline": corpus_pipeline.run,
     }
 
 
