@@ -54,7 +54,7 @@ def read_json_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def reject_labels(records: DataFrame) -> DataFrame:
     """The records; one that already carries a label field ends the job."""
-    taken = [F.is_variant_null(F.try_variant_get("raw", f"$.{f}", "variant")).isNotNull() for f in LABEL_FIELDS]
+    taken = [F.try_variant_get("raw", f"$.{f}", "variant").isNotNull() for f in LABEL_FIELDS]
     where = F.concat_ws(":", "source_file", F.col("source_line").cast("string"))
     hit = taken[0]
     for t in taken[1:]:
@@ -64,14 +64,19 @@ def reject_labels(records: DataFrame) -> DataFrame:
 
 
 def read_json_array(spark: SparkSession, path: str) -> DataFrame:
-    """raw, source_line: items of one top-level JSON array. Malformed files end the job.
+    """source_file, source_line (item number from 1), raw: items of one top-level JSON array. A malformed file, one
+    that isn't an array, or an item that isn't an object ends the job.
 
     A single array is read by one task, as its items can't be found without parsing it."""
-    items = spark.read.option("multiLine", True).option("mode", "FAILFAST").option("singleVariantColumn", "raw").json(path)
-    return items.select(
+    whole = spark.read.option("multiLine", True).option("mode", "FAILFAST").option("singleVariantColumn", "raw").json(path)
+    items = whole.select(
         F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("source_file"),
-        (F.monotonically_increasing_id() + 1).alias("source_line"),
-        "raw",
+        F.posexplode(F.col("raw").cast("array<variant>")).alias("pos", "raw"),
+    )
+    bad = F.raise_error(F.concat(F.lit("not an object: item "), F.col("pos").cast("string"))).cast("variant")
+    is_object = F.coalesce(F.schema_of_variant("raw").startswith("OBJECT"), F.lit(False))
+    return items.select(
+        "source_file", (F.col("pos") + 1).cast("long").alias("source_line"), F.when(is_object, F.col("raw")).otherwise(bad).alias("raw")
     )
 
 

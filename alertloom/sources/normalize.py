@@ -134,7 +134,7 @@ def normalize_aminer(records: DataFrame) -> DataFrame:
     ts = F.when(seconds.isNotNull(), epoch_timestamp(seconds)).otherwise(
         F.raise_error(F.lit("record has no LogData.Timestamps[0]")).cast("timestamp")
     )
-    has_resource = F.is_variant_null(F.try_variant_get(raw, "$.LogData.LogResources[0]", "variant")).isNotNull()
+    has_resource = F.try_variant_get(raw, "$.LogData.LogResources[0]", "variant").isNotNull()
     service = F.when(has_resource, t("$.LogData.LogResources[0]")).otherwise(t("$.AnalysisComponent.AnalysisComponentType"))
     part = lambda name: _part(raw, f"$.AnalysisComponent.{name}")
     attributes = _object(
@@ -165,7 +165,7 @@ def normalize_aminer(records: DataFrame) -> DataFrame:
 
 def normalize(records: DataFrame) -> DataFrame:
     """Dispatch by detector: records with AMiner and LogData, and the rest."""
-    has = lambda path: F.is_variant_null(F.try_variant_get("raw", path, "variant")).isNotNull()
+    has = lambda path: F.try_variant_get("raw", path, "variant").isNotNull()
     aminer = has("$.AMiner") & has("$.LogData")
     return normalize_aminer(records.filter(aminer)).unionByName(normalize_wazuh(records.filter(~aminer)))
 

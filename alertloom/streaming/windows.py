@@ -26,10 +26,10 @@ def distinct_alerts(alerts: DataFrame, ident: str = "alert_id", late: str = "1 h
 
 
 def capped_sessions(
-    alerts: DataFrame, key: str, gap_seconds: float, cap_seconds: float, late: str = "0 seconds", ts: str = "ts"
+    alerts: DataFrame, key: str, gap_seconds: float, cap_seconds: float, late: str | None = "0 seconds", ts: str = "ts"
 ) -> DataFrame:
     """key, first_ts, last_ts, members: sessions that end by gap or cap, emitted when the watermark has passed
-    their last possible member. State holds the open members' times of each key; one micro-batch may bring them in
+    their last possible member. With late None the input already has its watermark. State holds the open members' times of each key; one micro-batch may bring them in
     any order."""
     gap, cap = int(gap_seconds * 1e6), int(cap_seconds * 1e6)
 
@@ -57,7 +57,8 @@ def capped_sessions(
             state.remove()
         yield pd.DataFrame(out, columns=["key", "first_us", "last_us", "members"])
 
-    rows = alerts.withWatermark(ts, late).select(F.col(key).cast("string").alias("key"), F.unix_micros(ts).alias("t"), ts)
+    timed = alerts if late is None else alerts.withWatermark(ts, late)
+    rows = timed.select(F.col(key).cast("string").alias("key"), F.unix_micros(ts).alias("t"), ts)
     found = rows.groupBy("key").applyInPandasWithState(
         step,
         "key string, first_us long, last_us long, members long",
