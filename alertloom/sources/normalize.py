@@ -180,8 +180,8 @@ def behaviour_hint(raw: Column) -> Column:
     return out
 
 
-def normalize_vendor(records: DataFrame, zone: str = "Asia/Shanghai") -> DataFrame:
-    """Vendor IDS rows; the truth stays in is_attack. Other log types, missing times and labels end the job."""
+def normalize_vendor(records: DataFrame, zone: str = "Asia/Shanghai", vendor: str = "vendor") -> DataFrame:
+    """Vendor IDS rows, ids and sources under the vendor's name; the truth stays in is_attack. Other log types, missing times and labels end the job."""
     raw = F.col("raw")
     t = lambda path: _text(raw, path)
     kind = F.when(F.lit(False), "")
@@ -230,10 +230,10 @@ def normalize_vendor(records: DataFrame, zone: str = "Asia/Shanghai") -> DataFra
     where = F.concat_ws(":", "source_file", F.col("source_line").cast("string"))
     material = F.concat_ws(":", where, kind, F.coalesce(t("$.uuid"), F.lit("")))
     return records.select(
-        F.concat(F.lit("tianyan-"), kind, F.lit("-"), F.substring(F.sha2(material, 256), 1, 32)).alias("alert_id"),
+        F.concat(F.lit(f"{vendor}-"), kind, F.lit("-"), F.substring(F.sha2(material, 256), 1, 32)).alias("alert_id"),
         zoned_timestamp(stamp, zone).alias("ts"),
-        F.concat(F.lit("tianyan_"), kind).alias("alert_source"),
-        F.coalesce(t("$.rule_name"), t("$.attack_type"), F.lit("unknown Tianyan alert")).alias("alert_semantics"),
+        F.concat(F.lit(f"{vendor}_"), kind).alias("alert_source"),
+        F.coalesce(t("$.rule_name"), t("$.attack_type"), F.lit(f"unknown {vendor} alert")).alias("alert_semantics"),
         t("$.sip").alias("source_entity"),
         t("$.dip").alias("target_entity"),
         _port_service(protocol, port).alias("service"),

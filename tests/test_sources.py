@@ -84,7 +84,7 @@ def test_vendor_export(spark, tmp_path):
     first, second = (json.loads(r.attributes) for r in rows)
     assert first["behavior_hint"] == "brute force password guessing" and first["payload_fields"] == {"packet_size": 0}
     assert len(second["payload_fields"]["uri"]) == 4096 and rows[0].service == "tcp/22"
-    assert rows[0].alert_id.startswith("tianyan-network_ids-")
+    assert rows[0].alert_id.startswith("vendor-network_ids-")
 
 
 def test_label_archive_aligns_with_alerts(spark, tmp_path):
