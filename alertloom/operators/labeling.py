@@ -14,6 +14,19 @@ def numbered(rows: DataFrame, order: list[str], name: str = "position", sections
     return rows.withColumn(name, F.row_number().over(window.orderBy(*order)))
 
 
+def gapless(rows: DataFrame, by: str, name: str = "position", width: int = 100_000) -> DataFrame:
+    """Adds the place, from 1, of each row in the order of a whole-number column without repeats.
+
+    Rows are numbered inside sections of `width` numbers, which start where the counts of earlier sections
+    end; so no task sorts the whole table."""
+    cut = rows.withColumn("_s", F.floor(F.col(by) / width))
+    counts = cut.groupBy("_s").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_s", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    at = F.row_number().over(Window.partitionBy("_s").orderBy(by))
+    return cut.withColumn("_at", at).join(starts, "_s").withColumn(name, F.col("_start") + F.col("_at")).drop("_s", "_at", "_start")
+
+
 def expected_name(raw: Column, kind: str) -> tuple[Column, Column, Column]:
     """Detector, name and address that the label of a record must carry."""
     get = lambda p: F.try_variant_get(raw, p, "string")
