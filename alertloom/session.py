@@ -37,17 +37,21 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/alertloom/{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage with a table in the shared folder; a lost executor re-reads it, and the
     parquet statistics let the planner pick join strategies from real sizes."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/alertloom/{name}-{uuid.uuid4().hex}"
+    path = f"{_tables(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_tables(spark: SparkSession) -> None:
-    """Removes all tables that materialize has written; call it when no result is read any more."""
+    """Removes all tables of this application; call it when no result is read any more."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/alertloom")
+    path = jvm.org.apache.hadoop.fs.Path(_tables(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
