@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def fold(key: Column, folds: int) -> Column:
@@ -31,3 +36,19 @@ def training_rows(
     texts = docs.select(F.col(key).alias("_k"), F.col(text).alias("text"))
     # at most `bound` small rows
     return texts.join(F.broadcast(chosen), "_k").select("order", "y", "text")
+
+
+def with_score(docs: DataFrame, text: str, name: str, scorer: Callable[[pa.Array], np.ndarray], rows: int = 256) -> DataFrame:
+    """The documents and a double column from `scorer`, which sees the texts of `rows` documents at a time.
+
+    Batches stay in Arrow, so no Python string is made of a text and memory doesn't grow with batch sizes."""
+    kept = docs.drop(name)
+    at = kept.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                yield part.append_column(name, pa.array(scorer(part.column(at)), pa.float64()))
+
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(name, T.DoubleType())]))

@@ -147,8 +147,8 @@ def nearest(
 
     Rows are dealt to blocks by the hash of their id, so many copies of a vector spread; each block
     meets all queries in one streaming task, and only k rows per query and block are merged. Ties go
-    to the smaller id. Unusable vectors (null, zero, null or non-finite components, another length than most
-    dimensions found, null id) take no part on either side. Of query rows with one id, the one with the
+    to the smaller id. Unusable vectors (null, zero, null or non-finite components, fewer components than
+    the longest, null id) take no part on either side. Of query rows with one id, the one with the
     least vector asks. Empty tables give no rows; other columns are ignored.
     """
     base = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"))

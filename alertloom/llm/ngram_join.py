@@ -63,12 +63,19 @@ def _parity(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd).view(np.int64)
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches cut to so many rows, which bounds what a task holds at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _classes_and_counts(n_gram: int, bits: int) -> Callable:
     mask = np.uint64((1 << bits) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.uint32)
-        for batch in batches:
+        for batch in _parts(batches):
             size, cls, odd = [], [], []
             waiting: list[np.ndarray] = []
             for hashes in shingle_sets(batch.column(1), n_gram):
@@ -140,9 +147,9 @@ def _order(hashes: np.ndarray, ranks: np.ndarray) -> np.ndarray:
 def _postings(n_gram: int, percent: int, ranks_of: Callable) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = np.frombuffer(ranks_of(), np.uint8)
-        for batch in batches:
+        for batch in _parts(batches):
             out: list[tuple] = []
-            seen: set[int] = set()  # of this batch
+            seen: set[int] = set()  # of this part
             for hashes in shingle_sets(batch.column(1), n_gram):
                 n = len(hashes)
                 if not n or (cls := _class_of(hashes)) in seen:
@@ -162,7 +169,7 @@ def _postings(n_gram: int, percent: int, ranks_of: Callable) -> Callable:
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
+    for batch in _parts(batches):
         texts = [press.compress((t or "").encode()) for t in batch.column(1).to_pylist()]
         yield pa.record_batch([batch.column(0), batch.column(2), pa.array(texts, pa.binary())], names=["doc_id", "th", "packed"])
 

@@ -11,13 +11,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertloom.llm.hashing import mix, text_buffers, word_hashes
-from alertloom.llm.labelled import fold, training_rows
+from alertloom.llm.labelled import fold, training_rows, with_score
 
 TERMS = 1024
 DIMENSIONS = 48
@@ -128,21 +127,15 @@ def score_quality(
     fitted = LatentNeighbours(counts, np.array([r["y"] for r in told]), dimensions, neighbours)
     model = docs.sparkSession.sparkContext.broadcast(fitted)
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            column = pa.array(texts, pa.large_string())
-            parts = [model.value.score(term_counts(column.slice(at, 256))) for at in range(0, len(column), 256)]
-            yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+    def score(texts: pa.Array) -> np.ndarray:
+        return model.value.score(term_counts(texts))
 
+    predicted = (F.col(score_name) >= 0.5).cast("int")
     if keep:
-        return docs.withColumn(score_name, score(F.col(text))).withColumn(predicted_name, (F.col(score_name) >= 0.5).cast("int"))
-    scored = docs.select(
-        F.col(key).alias("doc_id"),
-        F.coalesce(fold(F.col(key), folds) == held_out, F.lit(False)).alias("held_out"),
-        score(F.col(text)).alias(score_name),
-    )
-    return scored.withColumn(predicted_name, (F.col(score_name) >= 0.5).cast("int"))
+        return with_score(docs, text, score_name, score).withColumn(predicted_name, predicted)
+    fold_of = F.coalesce(fold(F.col(key), folds) == held_out, F.lit(False))
+    narrow = docs.select(F.col(key).alias("doc_id"), fold_of.alias("held_out"), F.col(text).alias("_text"))
+    return with_score(narrow, "_text", score_name, score).drop("_text").withColumn(predicted_name, predicted)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

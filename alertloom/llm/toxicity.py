@@ -10,13 +10,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertloom.llm.hashing import mix, text_buffers, word_hashes
-from alertloom.llm.labelled import fold, training_rows
+from alertloom.llm.labelled import fold, training_rows, with_score
 
 BITS = 20
 SAMPLE = 8000
@@ -109,21 +108,23 @@ def score_toxicity(
     at, weights, bias = fit([(r["y"], np.frombuffer(r["f"], np.int32)) for r in told], bits)
     model = spark.sparkContext.broadcast((at, weights, bias, bool(told)))
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def score(texts: pa.Array) -> np.ndarray:
         at, weights, bias, any_label = model.value
-        dense = np.zeros(1 << bits)
-        dense[at] = weights
-        for texts in batches:
-            margin = np.array([dense[x].sum() + bias for x in features(pa.array(texts, pa.large_string()), bits)])
-            yield pd.Series(1 / (1 + np.exp(-np.clip(margin, -35, 35))) if any_label else np.zeros(len(texts)))
-
-    scored = docs.select(
-        F.col(key).alias("doc_id"),
-        F.coalesce(fold(F.col(key), folds) == held_out, F.lit(False)).alias("held_out"),
-        score(F.col(text)).alias("score"),
+        if not any_label:
+            return np.zeros(len(texts))
+        margin = np.full(len(texts), bias)
+        for i, found in enumerate(features(texts, bits)):
+            place = np.minimum(np.searchsorted(at, found), len(at) - 1)
+            margin[i] += weights[place[at[place] == found]].sum() if len(at) else 0.0
+        return 1 / (1 + np.exp(-np.clip(margin, -35, 35)))
+
+    fold_of = F.coalesce(fold(F.col(key), folds) == held_out, F.lit(False))
+    narrow = docs.select(F.col(key).alias("doc_id"), fold_of.alias("held_out"), F.col(text).alias("_text"))
+    return (
+        with_score(narrow, "_text", "score", score)
+        .drop("_text")
+        .withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
     )
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
