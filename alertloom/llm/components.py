@@ -12,7 +12,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Links each neighbour of a node to the least of them. Only minima are gathered, so a node
     with very many neighbours is combined before the shuffle and its join can be split."""
     pairs = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    least = pairs.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    # as a table of its own, so that both sides of the join are plain exchanges, which can be split
+    least = materialize(pairs.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
     joined = pairs.join(least, "a")
     kept = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")) if large else joined.select(
         F.col("b").alias("a"), F.col("m").alias("b")

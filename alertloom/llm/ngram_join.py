@@ -298,9 +298,11 @@ def ngram_links(docs: DataFrame, key: str, text: str, threshold: float, n_gram:
 def _classes(members: DataFrame, found: DataFrame) -> DataFrame:
     """cls, the first document that has it and its parity sketch, for each class in a shared list."""
     wanted = found.select("cls").distinct()
-    return members.join(wanted, "cls", "left_semi").groupBy("cls").agg(
+    # aggregated before the join: many copies of one text are combined where they are read
+    first = members.filter("cls IS NOT NULL").groupBy("cls").agg(
         F.min(F.struct("doc_id", "th")).alias("of"), *[F.max(o).alias(o) for o in _PARITY]
     )
+    return first.join(wanted, "cls", "left_semi")
 
 
 def _class_texts(source: DataFrame, classes: DataFrame) -> DataFrame:
@@ -373,4 +375,18 @@ def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", *
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = ngram_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+#: All pairs that share a shingle, so for small tables only.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda k: array_to_string(w[k : k + 4], ' '))) END AS g FROM d),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * c >= 75 * (na + nb - c)),
+x AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT x.b, r.root FROM r JOIN x ON x.a = r.node)
+SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, min(r.root) AS component_id FROM s JOIN r ON r.node = s.doc_id GROUP BY s.doc_id, len(s.g)
+"""

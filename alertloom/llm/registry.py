@@ -27,4 +27,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontamination.ORACLE, "op3_mixing": mixing.ORACLE, "op4_chat_formatting": chat.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op8_nearest_neighbours": neighbours.ORACLE}
+    return {
+        "op1_ngram_join": ngram_join.ORACLE,
+        "op2_decontamination": decontamination.ORACLE,
+        "op3_mixing": mixing.ORACLE,
+        "op4_chat_formatting": chat.ORACLE,
+        "op6_line_dedup": line_dedup.ORACLE,
+        "op8_nearest_neighbours": neighbours.ORACLE,
+    }
