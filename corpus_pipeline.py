@@ -51,7 +51,7 @@ STAGES = [
     ("sharding", sharding),
 ]
 
-#: The classifier is not expressible in SQL; tests/llm/test_pipeline.py has a brute-force version.
+#: The classifier is not expressible in SQL.
 ORACLE_SQL = None
 
 
