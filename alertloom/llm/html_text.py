@@ -22,8 +22,8 @@ WINDOW = 3
 LEAST_SHARE = 0.15
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|textarea|title|template|iframe|svg|math|object|canvas|audio|video|select|xmp)"
-    r"(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|textarea|title|iframe|xmp)"
+    r"(?=[\s/>])(?:[^>\"'/]|/(?!>)|\"[^\"]*\"|'[^']*')*(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
     r"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<[a-z/][^<>]*\Z",
     re.I | re.S,
 )
@@ -33,6 +33,17 @@ _BLOCKS = frozenset(
     "summary table tbody td tfoot th thead tr ul".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_EMBEDDED = frozenset("template svg math object canvas audio video select".split())
+#: What the next of its kind ends, as its closing tag may be left out.
+_PEERS = {
+    "li": ("li",),
+    "dt": ("dt", "dd"),
+    "dd": ("dt", "dd"),
+    "tr": ("tr", "td", "th"),
+    "td": ("td", "th"),
+    "th": ("td", "th"),
+    "option": ("option",),
+}
 _NOT_TEXT = frozenset("nav footer aside form menu dialog button label fieldset search".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 _NAMES = frozenset(
@@ -42,6 +53,7 @@ _NAMES = frozenset(
     "recommended recommendations widget widgets skip disclaimer paywall".split()
 )
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_BARE = re.compile(r"=\s*[^\s\"'>]+\Z")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _MAIN = frozenset(("article", "main"))
 
@@ -64,32 +76,72 @@ def _is_chrome(name: str, attrs: str, in_main: bool) -> bool:
     return False
 
 
-def _elements(tokens: list[re.Match]) -> dict[int, int]:
-    """Index of each opening tag -> index of its closing tag, by name."""
-    open_at: dict[str, list[int]] = {}
+def _is_empty(m: re.Match) -> bool:
+    """Whether a tag opens nothing: void, or closed by a slash that ends no unquoted value."""
+    return m["name"].lower() in _VOID or (m["attrs"].endswith("/") and not _BARE.search(m["attrs"]))
+
+
+def _elements(tokens: list[re.Match]) -> dict[int, tuple[int, bool]]:
+    """Index of each opening tag -> index of the token that ends it, and whether that is its own closing tag.
+
+    The closing tag of a block also ends all that was left open inside it, a block ends an open paragraph.
+    What nothing ends but the page or its body is left out.
+    """
+    blocks: list[tuple[str, int, list[str]]] = [("", -1, [])]  # name, index, inline elements opened inside
+    depth: dict[str, int] = {}
+    inline: dict[str, list[int]] = {}
     ends = {}
+
+    def end_block(i: int, own: bool) -> None:
+        name, at, inside = blocks.pop()
+        depth[name] -= 1
+        ends[at] = (i, own)
+        if not own:
+            blocks[-1][2].extend(inside)
+            return
+        for n in inside:
+            while inline[n] and inline[n][-1] > at:
+                ends[inline[n].pop()] = (i, False)
+
     for i, m in enumerate(tokens):
-        name = m["name"]
-        if not name or name.lower() in _VOID or m["attrs"].endswith("/"):
+        name = (m["name"] or "").lower()
+        if not name or name in ("body", "html"):
+            continue
+        if m["close"]:
+            if name not in _BLOCKS:
+                if inline.get(name):
+                    ends[inline[name].pop()] = (i, True)
+            elif depth.get(name):
+                while blocks[-1][0] != name:
+                    end_block(i, False)
+                end_block(i, True)
             continue
-        name = name.lower()
-        if not m["close"]:
-            open_at.setdefault(name, []).append(i)
-        elif open_at.get(name):
-            ends[open_at[name].pop()] = i
+        if name in _BLOCKS:
+            while blocks[-1][0] == "p" or blocks[-1][0] in _PEERS.get(name, ()):
+                end_block(i, False)
+        if _is_empty(m):
+            continue
+        if name in _BLOCKS:
+            blocks.append((name, i, []))
+            depth[name] = depth.get(name, 0) + 1
+        else:
+            inline.setdefault(name, []).append(i)
+            blocks[-1][2].append(name)
     return ends
 
 
-def _skip_end(i: int, name: str, tokens: list[re.Match], ends: dict[int, int]) -> int:
-    """Index of the token after a piece of page furniture; one that is never closed ends at the next
-    main element, or at the next block if it is a paragraph, or at the end of the page."""
-    if i in ends:
-        return ends[i] + 1
-    for j in range(i + 1, len(tokens)):
+def _skip_end(i: int, name: str, tokens: list[re.Match], ends: dict[int, tuple[int, bool]]) -> int:
+    """Index of the token after a piece of page furniture. One that is never closed ends with its parent or
+    at the next main element; an inline one, or one without a parent, at the next block."""
+    end, own = ends.get(i, (len(tokens), False))
+    if own:
+        return end + 1
+    short = name not in _BLOCKS or i not in ends
+    for j in range(i + 1, end):
         other = (tokens[j]["name"] or "").lower()
-        if other in _MAIN or (name in ("p", "li", "span") and other in _BLOCKS):
+        if (other in _MAIN and not tokens[j]["close"]) or (short and other in _BLOCKS):
             return j
-    return len(tokens)
+    return end
 
 
 def text_lines(page: str) -> list[tuple[str, bool, int]]:
@@ -131,17 +183,23 @@ def text_lines(page: str) -> list[tuple[str, bool, int]]:
             elif name == "a":
                 link = max(0, link - 1)
             continue
-        if _is_chrome(name, m["attrs"], main > 0):
+        if _is_empty(m):
+            if name == "br":
+                parts.append(" ")
+            elif name in _BLOCKS:
+                close_line()
+            continue
+        embedded = name in _EMBEDDED
+        if embedded or _is_chrome(name, m["attrs"], main > 0):
             if name in _BLOCKS:
                 close_line()
+            own = ends.get(i - 1, (0, False))[1]
             i = _skip_end(i - 1, name, tokens, ends)
-            at = tokens[i - 1].end() if i - 1 in ends.values() else tokens[i].start() if i < len(tokens) else len(page)
-            if not main:
+            at = tokens[i - 1].end() if own else tokens[i].start() if i < len(tokens) else len(page)
+            if not main and not embedded:
                 lines.extend([("", False, 0)] * WINDOW)
             continue
-        if name == "br":
-            parts.append(" ")
-        elif name in _BLOCKS:
+        if name in _BLOCKS:
             close_line()
             if name in _MAIN:
                 main += 1

@@ -214,6 +214,22 @@ def test_main_text_of_odd_pages(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><p>A<img class="social-icon"> B</p><hr class="ad"><input type="hidden"><p>C</p></article>', "A B\nC"),
+        ('<div><p>A</p><hr class="ad"><p>B</p></div>', "A\nB"),
+        ('<div><p>A <svg class="x"/>B</p><math/><p>C</p><script src="s"/><p>D</p></div>', "A B\nC\nD"),
+        ('<div><p>A</p><svg><g/><text>no</text></svg><p><a href=/x/>B</a> and so on</p></div>', "A\nB and so on"),
+        ('<div><article><div class="ad">Buy!<p>more</article></div><main><p>A</p></main>', "A"),
+        ('<article><section><div class="ad">Buy!</section><p>A</article>', "A"),
+        ('<div><p>A</p></div><div class="ad">Buy!<p>B', "A\nB"),
+    ],
+)
+def test_main_text_drops_only_the_tag_of_empty_elements_and_bounds_open_ones(page, text):
+    assert main_text(page) == text
+
+
 def test_extract_text_keeps_rows(spark):
     pages = spark.createDataFrame([Row(page_id=1, url="u", html=PAGE, text="clash"), Row(page_id=None, url=None, html=None, text=None)])
     got = extract_text(pages).collect()
