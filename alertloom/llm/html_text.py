@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 WINDOW = 3
 #: A region with less than this share of the largest region's text is not main text.
 LEAST_SHARE = 0.15
+#: A box inside an article with one furniture word in its class is furniture below this many characters.
+SHORT = 80
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|textarea|title|iframe|xmp)"
@@ -52,28 +54,85 @@ _NAMES = frozenset(
     "breadcrumbs pagination pager footer masthead topbar toolbar comment comments respond replies disqus share sharing social related "
     "recommended recommendations widget widgets skip disclaimer paywall".split()
 )
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _BARE = re.compile(r"=\s*[^\s\"'>]+\Z")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _MAIN = frozenset(("article", "main"))
+_FORMS = frozenset(("form", "fieldset", "search"))
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+_BOXES = frozenset(("div", "section", "ul"))
 
 
-def _is_chrome(name: str, attrs: str, in_main: bool) -> bool:
-    """Whether an element is page furniture by its tag, role, class or id."""
+def _kind(name: str, attrs: str, in_main: bool) -> str:
+    """Why an element may be page furniture: tag, form, hidden, named (a class or id of such words only, or two of
+    them), part (one such word beside others) or part of id; empty if nothing says so."""
+    if name in _FORMS:
+        return "form"
     if name in _NOT_TEXT or (name == "header" and not in_main):
-        return True
+        return "tag"
     if name in _MAIN or name in ("body", "html") or not attrs:
-        return False
+        return ""
+    values: dict[str, str] = {}
     for m in _ATTR.finditer(attrs):
-        what, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if what == "role":
-            if value.lower() in _ROLES:
-                return True
-        elif what == "hidden" or (what == "aria-hidden" and value.lower() == "true"):
-            return True
-        elif what in ("class", "id") and any(p.lower() in _NAMES for p in _PART.findall(value)):
-            return True
-    return False
+        values.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    role = values.get("role", "").lower()
+    if role in _ROLES:
+        return "form" if role in _FORMS else "tag"
+    if "hidden" in values or values.get("aria-hidden", "").lower() == "true":
+        return "hidden"
+    kind = ""
+    for what in ("id", "class"):
+        if what == "id" and name in _HEADINGS:  # an anchor made of the heading's own words
+            continue
+        for value in values.get(what, "").split():
+            parts = [x.lower() in _NAMES for x in _PART.findall(value)]
+            if parts and (all(parts) or sum(parts) > 1):
+                return "named"
+            if any(parts):
+                kind = "part" if what == "class" else "part of id"
+    return kind
+
+
+class _Weights:
+    """Running sums over the tokens of a page: its text, the text in links and in main elements, and main elements."""
+
+    def __init__(self, page: str, tokens: list[re.Match], ends: dict[int, tuple[int, bool]]) -> None:
+        self.text, self.linked, self.within, self.mains = [0], [0], [0], [0]
+        at = main = link_end = 0
+        for i, m in enumerate(tokens):
+            n = len(page[at : m.start()].strip())
+            at = m.end()
+            name = (m["name"] or "").lower()
+            self.text.append(self.text[-1] + n)
+            self.linked.append(self.linked[-1] + (n if i <= link_end else 0))
+            self.within.append(self.within[-1] + (n if main else 0))
+            self.mains.append(self.mains[-1] + (name in _MAIN and not m["close"]))
+            if name in _MAIN:
+                main = max(0, main - 1) if m["close"] else main + 1
+            elif name == "a" and not m["close"]:
+                link_end = ends.get(i, (i, False))[0]
+        self.all = self.text[-1] + len(page[at:].strip())
+        self.all_within = self.within[-1] + (len(page[at:].strip()) if main else 0)
+
+    def is_furniture(self, i: int, stop: int, name: str, kind: str, main: int) -> bool:
+        """Whether the element from token i to before token stop is furniture, by what it holds."""
+        last = stop >= len(self.text)
+        stop = min(stop, len(self.text) - 1)
+        text = (self.all if last else self.text[stop]) - self.text[i + 1]
+        within = (self.all_within if last else self.within[stop]) - self.within[i + 1]
+        linked = self.linked[stop] - self.linked[i + 1]
+        in_links = linked > 0.6 * text
+        named = kind in ("named", "part", "part of id")
+        if self.mains[stop] > self.mains[i + 1]:  # holds main elements, such as teasers or the article itself
+            if kind == "form" or within > (0.9 if kind == "named" else 0.5) * self.all_within:
+                return False
+            return in_links or kind not in ("part", "part of id")
+        if self.mains[-1] == main and (named or kind == "form"):  # no other main element
+            if text > (0.9 if kind == "named" else 0.5) * self.all:
+                return False
+        if kind in ("part", "part of id") and (main or name == "p" or name in _HEADINGS):
+            return in_links or (kind == "part" and name in _BOXES and text < SHORT)
+        return True
 
 
 def _is_empty(m: re.Match) -> bool:
@@ -148,6 +207,7 @@ def text_lines(page: str) -> list[tuple[str, bool, int]]:
     """(text, in main element, characters in links) of each block; page furniture is empty lines."""
     tokens = list(_TOKEN.finditer(page))
     ends = _elements(tokens)
+    weights = _Weights(page, tokens, ends)
     lines: list[tuple[str, bool, int]] = []
     parts: list[str] = []
     linked = 0
@@ -190,11 +250,13 @@ def text_lines(page: str) -> list[tuple[str, bool, int]]:
                 close_line()
             continue
         embedded = name in _EMBEDDED
-        if embedded or _is_chrome(name, m["attrs"], main > 0):
+        kind = "" if embedded else _kind(name, m["attrs"], main > 0)
+        stop = _skip_end(i - 1, name, tokens, ends) if embedded or kind else i
+        if embedded or (kind and weights.is_furniture(i - 1, stop, name, kind, main)):
             if name in _BLOCKS:
                 close_line()
             own = ends.get(i - 1, (0, False))[1]
-            i = _skip_end(i - 1, name, tokens, ends)
+            i = stop
             at = tokens[i - 1].end() if own else tokens[i].start() if i < len(tokens) else len(page)
             if not main and not embedded:
                 lines.extend([("", False, 0)] * WINDOW)

@@ -230,6 +230,25 @@ def test_main_text_drops_only_the_tag_of_empty_elements_and_bounds_open_ones(pag
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><div style="overflow:hidden">A</div><p data-id="menu" data-role="menu"><a href="/hidden-gems">B</a> C</p>'
+         '<p><span title="a role=menu">D</span></p></article>', "A\nB C\nD"),
+        ('<div class="content has-sidebar"><article><p>A</p></article><div class="sidebar">no</div></div>', "A"),
+        ('<form id="aspnetForm"><nav>no</nav><article><p>A</p></article></form>', "A"),
+        ('<form><p>A long text of the page.</p><p>And more of it.</p></form>', "A long text of the page.\nAnd more of it."),
+        ('<article><h2 id="related-work">Related work</h2><p id="side-effects">None.</p><h2 id="comments">Comments</h2><p>B</p></article>',
+         "Related work\nNone.\nComments\nB"),
+        ('<main><article><p>A text.</p><div class="ad-slot">Buy!</div></article><div id="comments"><article>Nice.</article></div></main>',
+         "A text."),
+        ('<article><p>A</p></article><aside><article><a href=1>T</a></article></aside><p hidden>no</p>', "A"),
+    ],
+)
+def test_main_text_reads_exact_attributes_and_keeps_what_holds_the_text(page, text):
+    assert main_text(page) == text
+
+
 def test_extract_text_keeps_rows(spark):
     pages = spark.createDataFrame([Row(page_id=1, url="u", html=PAGE, text="clash"), Row(page_id=None, url=None, html=None, text=None)])
     got = extract_text(pages).collect()
