@@ -3,8 +3,9 @@
 Markup is stripped to lines, one for each block. What stands in menus, headers, footers, sidebars,
 notices, adverts, forms, scripts and reader comments leaves empty lines. Text lengths are summed over
 sliding windows of lines; where the sum surges from nothing a region starts, where it dives to nothing
-the region ends, and the text between is kept. Inside an article or main element every
-region is text; on pages without one, regions that are small beside the largest, or mostly links, are not.
+the region ends, and the text between is kept. Where article and main elements hold more text than any regions beside
+them, all their lines are text. Otherwise the box that holds most of the largest region keeps all its regions, and what
+stands outside that box is text if it isn't mostly links nor small beside the largest region.
 """
 
 from __future__ import annotations
@@ -12,14 +13,17 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WINDOW = 3
-#: A region with less than this share of the largest region's text is not main text.
+#: A region outside the largest region's box with less than this share of its text is not main text.
 LEAST_SHARE = 0.15
+#: A block with more than this share of its text in links is no text of its own.
+LINKED_SHARE = 0.6
 #: A box inside an article with one furniture word in its class is furniture below this many characters.
 SHORT = 80
 
@@ -57,6 +61,8 @@ _NAMES = frozenset(
 _ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _BARE = re.compile(r"=\s*[^\s\"'>]+\Z")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_CONTAINERS = frozenset("div section article main td center".split())
+_HREF = re.compile(r"(?:^|[\s\"'/])href\s*=", re.I)
 _MAIN = frozenset(("article", "main"))
 _FORMS = frozenset(("form", "fieldset", "search"))
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
@@ -109,8 +115,8 @@ class _Weights:
             self.mains.append(self.mains[-1] + (name in _MAIN and not m["close"]))
             if name in _MAIN:
                 main = max(0, main - 1) if m["close"] else main + 1
-            elif name == "a" and not m["close"]:
-                link_end = ends.get(i, (i, False))[0]
+            elif name == "a" and not m["close"] and ends.get(i, (i, False))[1] and _HREF.search(m["attrs"]):
+                link_end = ends[i][0]
         self.all = self.text[-1] + len(page[at:].strip())
         self.all_within = self.within[-1] + (len(page[at:].strip()) if main else 0)
 
@@ -121,7 +127,7 @@ class _Weights:
         text = (self.all if last else self.text[stop]) - self.text[i + 1]
         within = (self.all_within if last else self.within[stop]) - self.within[i + 1]
         linked = self.linked[stop] - self.linked[i + 1]
-        in_links = linked > 0.6 * text
+        in_links = linked > LINKED_SHARE * text
         named = kind in ("named", "part", "part of id")
         if self.mains[stop] > self.mains[i + 1]:  # holds main elements, such as teasers or the article itself
             if kind == "form" or within > (0.9 if kind == "named" else 0.5) * self.all_within:
@@ -203,22 +209,36 @@ def _skip_end(i: int, name: str, tokens: list[re.Match], ends: dict[int, tuple[i
     return end
 
 
-def text_lines(page: str) -> list[tuple[str, bool, int]]:
-    """(text, in main element, characters in links) of each block; page furniture is empty lines."""
+class Line(NamedTuple):
+    """Text of a block, whether it is in a main element, its characters in links, the innermost box (a container's
+    token, -1 for the page) and whether it is a heading. Page furniture is lines without text."""
+
+    text: str
+    inside: bool = False
+    linked: int = 0
+    box: int = -1
+    heading: bool = False
+
+
+def text_lines(page: str) -> tuple[list[Line], dict[int, int], dict[int, int]]:
+    """Lines of a page, box -> the box around it, and box -> the token that ends it."""
     tokens = list(_TOKEN.finditer(page))
     ends = _elements(tokens)
     weights = _Weights(page, tokens, ends)
-    lines: list[tuple[str, bool, int]] = []
+    lines: list[Line] = []
     parts: list[str] = []
-    linked = 0
-    main = link = 0
+    around: dict[int, int] = {}
+    until = {-1: len(tokens) + 1}
+    box = heading_end = link_end = line_box = -1
+    open_link = in_heading = False
+    linked = main = 0
 
     def close_line() -> None:
         nonlocal parts, linked
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                lines.append((text, main > 0, linked))
+                lines.append(Line(text, main > 0, linked, line_box, in_heading))
             parts, linked = [], 0
 
     at, i = 0, 0
@@ -226,8 +246,12 @@ def text_lines(page: str) -> list[tuple[str, bool, int]]:
         m = tokens[i] if i < len(tokens) else None
         piece = page[at : m.start() if m else len(page)]
         if piece:
+            if not parts:
+                while until[box] < i:
+                    box = around[box]
+                line_box, in_heading = box, i <= heading_end
             parts.append(piece)
-            if link:
+            if open_link or i <= link_end:
                 linked += len(piece.strip())
         if m is None:
             break
@@ -235,13 +259,15 @@ def text_lines(page: str) -> list[tuple[str, bool, int]]:
         name = (m["name"] or "").lower()
         if not name:
             continue
+        if name in _BLOCKS:
+            open_link = False
         if m["close"]:
             if name in _BLOCKS:
                 close_line()
                 if name in _MAIN:
                     main = max(0, main - 1)
             elif name == "a":
-                link = max(0, link - 1)
+                open_link = False
             continue
         if _is_empty(m):
             if name == "br":
@@ -259,27 +285,33 @@ def text_lines(page: str) -> list[tuple[str, bool, int]]:
             i = stop
             at = tokens[i - 1].end() if own else tokens[i].start() if i < len(tokens) else len(page)
             if not main and not embedded:
-                lines.extend([("", False, 0)] * WINDOW)
+                lines.extend([Line("")] * WINDOW)
             continue
         if name in _BLOCKS:
             close_line()
             if name in _MAIN:
                 main += 1
-        elif name == "a":
-            link += 1
+            if name in _CONTAINERS:
+                while until[box] < i - 1:
+                    box = around[box]
+                around[i - 1] = box
+                until[i - 1] = ends.get(i - 1, (len(tokens) + 1, False))[0]
+                box = i - 1
+            elif name in _HEADINGS:
+                heading_end = ends.get(i - 1, (i, False))[0]
+        elif name == "a" and _HREF.search(m["attrs"]):
+            end, own = ends.get(i - 1, (0, False))
+            if own:
+                link_end = end
+            else:  # ends at the next block
+                open_link = True
     close_line()
-    return lines
+    return lines, around, until
 
 
-def main_text(page: str | None) -> str:
-    """Text between the surges and dives of the line-block distribution."""
-    lines = text_lines(page or "")
-    in_main = any(inside for _, inside, _ in lines)
-    if in_main:
-        texts = [t if inside else "" for t, inside, _ in lines]
-    else:
-        texts = [t if linked <= 0.6 * len(t) else "" for t, _, linked in lines]
-    lengths = [len(t) for t in texts]
+def _distribution(lines: list[Line], around: dict[int, int], until: dict[int, int]) -> list[str]:
+    """Texts between the surges and dives of the line-block distribution."""
+    lengths = [0 if x.linked > LINKED_SHARE * len(x.text) else len(x.text) for x in lines]
     sums = [sum(lengths[i : i + WINDOW]) for i in range(len(lengths))]
     regions: list[tuple[int, int]] = []
     start = None
@@ -290,11 +322,43 @@ def main_text(page: str | None) -> str:
             regions.append((start, i))
             start = None
     if not regions:
-        return ""
+        return []
     totals = [sum(lengths[a:b]) for a, b in regions]
-    least = 0 if in_main else LEAST_SHARE * max(totals)
-    kept = [t for (a, b), total in zip(regions, totals, strict=True) if total >= least for t in texts[a:b] if t]
-    return "\n".join(kept)
+    most = max(totals)
+    a, b = regions[totals.index(most)]
+
+    # the innermost box with most of the largest region
+    held = dict.fromkeys(around, 0)
+    held[-1] = 0
+    for x, n in zip(lines[a:b], lengths[a:b], strict=True):
+        held[x.box] += n
+    for at in sorted(around, reverse=True):
+        held[around[at]] += held[at]
+    box = max((at for at, n in held.items() if 2 * n > most), default=-1)
+
+    def in_box(x: Line) -> bool:
+        return box <= x.box < until[box] if box >= 0 else x.box == -1
+
+    kept = []
+    for (a, b), total in zip(regions, totals, strict=True):
+        text = [i for i in range(a, b) if lengths[i]]
+        if total < LEAST_SHARE * most and not any(in_box(lines[i]) for i in text):
+            continue
+        for i in range(a, b):
+            x = lines[i]
+            if lengths[i] or (x.text and in_box(x) and (x.heading or text[0] < i < text[-1])):
+                kept.append(x.text)
+    return kept
+
+
+def main_text(page: str | None) -> str:
+    """The lines of article and main elements, or of the regions of text where these hold more."""
+    lines, around, until = text_lines(page or "")
+    inside = [x.text for x in lines if x.inside]
+    beside = _distribution([Line("") if x.inside else x for x in lines], around, until)
+    if sum(map(len, inside)) >= sum(map(len, beside)):
+        return "\n".join(t for t in inside if t)
+    return "\n".join(_distribution(lines, around, until))
 
 
 def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -249,6 +249,25 @@ def test_main_text_reads_exact_attributes_and_keeps_what_holds_the_text(page, te
     assert main_text(page) == text
 
 
+LONG = "".join(f"<p>Sentence number {i} of the real text.</p>" for i in range(12))
+LONG_TEXT = "\n".join(f"Sentence number {i} of the real text." for i in range(12))
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f'<div><h1>Head</h1><div class="ad">Buy!</div>{LONG}<div class="ad">Buy!</div><p>End.</p></div>', f"Head\n{LONG_TEXT}\nEnd."),
+        (f"<div><p><a name=top>A</p>{LONG}</div>", f"A\n{LONG_TEXT}"),
+        (f"<div><p>A <a href=1>b</p>{LONG}</div>", f"A b\n{LONG_TEXT}"),
+        (f"<div><h2><a href=1>Head</a></h2><p>A</p><p><a href=2>All linked</a></p>{LONG}</div>", f"Head\nA\nAll linked\n{LONG_TEXT}"),
+        (f"<div>{LONG}</div><div><article>Card</article></div><div><article>Other</article></div>", LONG_TEXT + "\nCard\nOther"),
+        (f"<p>Short beside.</p><article>{LONG}</article>", LONG_TEXT),
+    ],
+)
+def test_main_text_lets_the_window_sums_decide(page, text):
+    assert main_text(page) == text
+
+
 def test_extract_text_keeps_rows(spark):
     pages = spark.createDataFrame([Row(page_id=1, url="u", html=PAGE, text="clash"), Row(page_id=None, url=None, html=None, text=None)])
     got = extract_text(pages).collect()
