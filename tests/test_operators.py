@@ -239,6 +239,25 @@ def test_leaders_not_members_decide(spark):
     assert got == {1: "1", 2: "1", 3: "3"}
 
 
+def test_leaders_in_rounds_equal_the_sequential_fold(spark):
+    words = "a b c d e f g".split()
+    texts = [" ".join(words[(i * k + k) % 7] for k in range(1, 3 + i % 4)) for i in range(60)]
+    rows = [(i, None if i % 3 else "k", t) for i, t in enumerate(texts)]
+    leaders, want = {}, {}
+    for i, k, t in rows:
+        words = t.split()
+        sig = {*words, *map("::".join, zip(words, words[1:], strict=False))}
+        scored = [(len(sig & s) / len(sig | s), -at) for at, s in leaders.setdefault(k, {}).items()]
+        best, at = max(scored, default=(0, 0))
+        if best < 0.4:
+            leaders[k][i], best, at = sig, 1.0, -i
+        want[i] = (str(-at), best)
+    assert sum(map(len, leaders.values())) > 6
+    frame = spark.createDataFrame(rows, "id int, k string, t string")
+    got = knowledge.leader_clusters(frame, ["k"], ["id"], "id", "t", 0.4, batch=3).collect()
+    assert {r.id: (r.leader, r.similarity) for r in got} == want
+
+
 def test_alias_groups(spark):
     rows = frame(spark, [alert("a", semantics="X one"), alert("b", semantics="y two"), alert("c", semantics="z")])
     got = {r.alert_id: r.bucket for r in knowledge.with_alias_group(rows, {"g": ["x one", "Y two"]}).collect()}
