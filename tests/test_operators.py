@@ -64,6 +64,31 @@ def test_fixed_window(spark):
     assert groups(sessions.aggregate_fixed_windows(frame(spark, rows))) == [["a", "b"], ["c"]]
 
 
+@pytest.mark.parametrize("gap", [40, None])
+def test_chained_starts_equal_the_sequential_fold(spark, gap, monkeypatch):
+    rows = [alert(f"{i:03}", (i * i * 7) % 1900 // 3 + 200 * (i % 3 == 0) - 10**9 * (i % 2), source=None if i % 5 else "s") for i in range(200)]
+    want, last = {}, {}
+    for r in sorted(rows, key=lambda r: (r[1], r[0])):
+        t = (r[1] - datetime(1970, 1, 1)) // timedelta(microseconds=1)
+        first, before = last.get(r[4], (None, None))
+        if first is None or t - first > 90 * 10**6 or (gap is not None and t - before > gap * 10**6):
+            first = t
+        last[r[4]] = (first, t)
+        want[r[0]] = first
+    walked = []
+    monkeypatch.setattr(sessions, "_chained_starts", lambda *a, f=sessions._chained_starts: walked.append(1) or f(*a))
+    found = sessions.session_starts(frame(spark, rows), ["source_entity"], "ts", "alert_id", gap, 90, fold_times=3)
+    assert {r.alert_id: r.session_start for r in found.collect()} == want and walked
+
+
+def test_provenance_gathers_only_the_first_ids(spark):
+    rows = frame(spark, [alert(f"{i:04}", -i) for i in range(3000)]).withColumn("template", F.lit("x"))
+    found = knowledge.knowledge_documents(rows)
+    r = found.first()
+    assert (r.support, r.representative, r.provenance) == (3000, "2999", [f"{2999 - i:04}" for i in range(20)])
+    assert "_k" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_repeated_ids_end_the_job(spark):
     with pytest.raises(Exception, match="duplicate alert id"):
         aggregated(spark, [alert("a"), alert("a", 5)]).collect()
