@@ -7,10 +7,11 @@
    Jaccard >= t share a prefix shingle, whatever the order.
 3. Candidates that share a prefix shingle must pass the length filter, the positional filter and
    the suffix filter, and are verified once per pair on the whole sets.
-   First every member of a posting list is paired with one leader (linear). Links make components;
-   then only pairs from different components are left to test, and in each posting list only the members
-   outside its largest component are paired with the others. So a group of near copies never becomes all
-   pairs, and still no link between components is lost.
+   Each posting list pairs its members with one leader, the member that holds the shingle earliest in
+   its prefix and so passes the positional filter with most others (linear). Links make components. A list
+   whose members are in one component is done; in the others the next leader is taken among the members outside
+   the largest component, round by round, until few pairs between components are left, and these are all tested.
+   So a group of near copies never becomes all pairs, and still no link between components is lost.
 4. Components are labelled with the least doc_id in them.
 """
 
@@ -23,14 +24,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertloom.llm.common import SHINGLE, SIMILARITY
-from alertloom.llm.components import connected_components
+from alertloom.llm.components import extended_components
 from alertloom.llm.hashing import mix, shingle_sets
-from alertloom.session import materialize
+from alertloom.session import discard, materialize
 
 #: log2 of the sketch's counters; the broadcast ranks are this many bytes.
 SKETCH_BITS = 22
@@ -40,6 +40,9 @@ _PARITY_WORDS = 8
 _PARITY = [f"o{i}" for i in range(_PARITY_WORDS)]
 #: Parts of the hash range that the suffix filter compares once texts are there.
 _SUFFIX_PARTS = 64
+#: Rounds with one leader a list go on until the pairs left are at most so many times the postings.
+_REST = 2
+_ROUNDS = 12
 
 
 def _percent(threshold: float) -> int:
@@ -168,30 +171,27 @@ def _postings(n_gram: int, percent: int, ranks_of: Callable) -> Callable:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    press = zstandard.ZstdCompressor(level=3)
+    """Compressed texts, each behind its length in bytes."""
+    codec = pa.Codec("zstd", 3)
     for batch in _parts(batches):
-        texts = [press.compress((t or "").encode()) for t in batch.column(1).to_pylist()]
+        raw = [(t or "").encode() for t in batch.column(1).to_pylist()]
+        texts = [len(x).to_bytes(8, "little") + codec.compress(x, asbytes=True) for x in raw]
         yield pa.record_batch([batch.column(0), batch.column(2), pa.array(texts, pa.binary())], names=["doc_id", "th", "packed"])
 
 
 def _verify(n_gram: int, percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
+        codec = pa.Codec("zstd")
 
         def sets(column: pa.Array) -> Iterator[np.ndarray]:
-            for at in range(0, len(column), 256):
-                part = column.slice(at, 256).dictionary_encode()  # a leader's text comes once
-                texts = pa.array([unpack.decompress(x).decode() for x in part.dictionary.to_pylist()], pa.large_string())
-                own = list(shingle_sets(texts, n_gram))
-                yield from (own[i] for i in part.indices.to_pylist())
-
-        for batch in batches:
-            keep = [
-                _similar(a, b, percent) for a, b in zip(sets(batch.column("pa")), sets(batch.column("pb")), strict=True)
-            ]
-            yield pa.record_batch(
-                [batch.column("a"), batch.column("b"), pa.array(keep, pa.bool_())], names=["a", "b", "linked"]
-            )
+            part = column.dictionary_encode()  # a leader's text comes once
+            raw = (codec.decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True) for x in part.dictionary.to_pylist())
+            own = list(shingle_sets(pa.array([x.decode() for x in raw], pa.large_string()), n_gram))
+            yield from (own[i] for i in part.indices.to_pylist())
+
+        for batch in _parts(batches, 128):
+            keep = [_similar(a, b, percent) for a, b in zip(sets(batch.column("pa")), sets(batch.column("pb")), strict=True)]
+            yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(keep, pa.bool_())], names=["a", "b", "linked"])
 
     return run
 
@@ -228,7 +228,7 @@ def _may_link(n_a: Column, n_b: Column, pos_a: Column, pos_b: Column, percent: i
 
 
 def ngram_links(docs: DataFrame, key: str, text: str, threshold: float, n_gram: int, bits: int) -> tuple[DataFrame, DataFrame]:
-    """members (doc_id, cls, n) and links between classes (a, b)."""
+    """members (doc_id, th, cls, n) and the component of each linked class (node, root)."""
     spark = docs.sparkSession
     percent = _percent(threshold)
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("th"))
@@ -242,65 +242,106 @@ def ngram_links(docs: DataFrame, key: str, text: str, threshold: float, n_gram:
     ranks = spark.sparkContext.broadcast(
         _frequency_ranks(both.filter("chunk IS NOT NULL").select("chunk", "counts"), bits).tobytes()
     )
-    rows = source.mapInArrow(_postings(n_gram, percent, lambda: ranks.value), "h long, cls long, n int, pos int")
+    rows = materialize(source.mapInArrow(_postings(n_gram, percent, lambda: ranks.value), "h long, cls long, n int, pos int"), "prefixes")
     several = rows.groupBy("h").count().filter("count > 1").select("h")
     found = materialize(rows.join(several, "h", "left_semi").distinct(), "postings")
-    # copies of one class may have counted as several
-    lists = found.groupBy("h").agg(F.min("cls").alias("leader"), F.max("cls").alias("other")).filter("leader < other")
-    shared = found.join(lists.select("h", "leader"), "h")
-
-    lead = shared.filter("cls = leader").select(
-        "h", F.col("n").alias("n_l"), F.col("pos").alias("pos_l")
-    ).distinct()
-    stars = (
-        shared.filter("cls <> leader")
-        .join(lead, "h")
-        .filter(_may_link(F.col("n"), F.col("n_l"), F.col("pos"), F.col("pos_l"), percent))
-        .select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b"))
-        .distinct()
-    )
+    discard(rows)
     classes = materialize(_classes(members, found), "class-rows")
     texts = _class_texts(source, classes)
-    first = _verified(stars, texts, n_gram, percent, "stars")
-    roots = connected_components(first)
-    placed = materialize(
-        shared.select("h", "cls", "n", "pos")
-        .join(
-            classes.join(roots.withColumnsRenamed({"node": "cls", "root": "part"}), "cls", "left")
-            .withColumn("part", F.coalesce("part", "cls"))
-            .drop("of"),
-            "cls",
-        ),
-        "placed",
+    postings, before = found.count(), None
+    lists, roots, tested = _with_first_leaders(found), None, []
+    discard(found)
+    while True:
+        final = before is not None and (before[0] <= _REST * postings or before[0] > 0.9 * before[1] or len(tested) == _ROUNDS)
+        pairs = _rest_of_pairs(lists, percent) if final else _leader_pairs(lists, percent)
+        for old in tested:
+            pairs = pairs.join(old, ["a", "b"], "left_anti")  # once per pair
+        pairs = materialize(_near(pairs, classes, percent), "pairs")
+        tested.append(pairs)
+        links = _verified(pairs, texts, n_gram, percent)
+        old_roots, roots = roots, extended_components(roots, links)
+        discard(links, *([old_roots] if old_roots is not None else []))
+        if final:
+            break
+        old_lists, lists = lists, _with_next_leaders(lists, roots)
+        discard(old_lists)
+        left = lists.select("h", "many").distinct().agg(F.sum("many")).first()[0]
+        if left is None:
+            break
+        before = (left, before[0] if before else float("inf"))
+    discard(lists, texts, classes, *tested)
+    return members, roots
+
+
+_LEADER = "place", "cls", "n", "pos", "part"
+
+
+def _with_first_leaders(found: DataFrame) -> DataFrame:
+    """Lists of several classes, each member with its list's leader."""
+    rows = found.withColumns({"place": _place(), "part": F.col("cls")})
+    leaders = rows.groupBy("h").agg(F.min(F.struct(*_LEADER)).alias("leader"), F.min("cls").alias("low"), F.max("cls").alias("high"))
+    leaders = leaders.filter("low < high").select("h", "leader", F.lit(None).cast("long").alias("main"), F.lit(None).cast("double").alias("many"))
+    return materialize(rows.drop("place").join(leaders, "h"), "lists")
+
+
+def _with_next_leaders(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """What is left of the lists, without the leaders that have been compared with all: those with members of several
+    components. The next leader is outside the largest component (main); many is the number of pairs left at most."""
+    rows = lists.filter("cls <> leader.cls").select("h", "cls", "n", "pos").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
+    rows = materialize(rows.withColumns({"part": F.coalesce("root", "cls"), "place": _place()}).drop("root"), "rows")
+    sizes = rows.groupBy("h", "part").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*_LEADER)).alias("first"))
+    mains = (
+        sizes.groupBy("h")
+        .agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("c").alias("all"), F.max("c").alias("most"))
+        .filter("parts > 1")
+        .select("h", "main", (F.col("all").cast("double") * (F.col("all") - F.col("most"))).alias("many"))
     )
-    sizes = placed.groupBy("h", "part").agg(F.count(F.lit(1)).alias("c"))
-    largest = sizes.groupBy("h").agg(
-        F.max_by("part", F.struct("c", "part")).alias("main"), F.count(F.lit(1)).alias("parts")
-    ).filter("parts > 1").select("h", "main")
-    open_lists = placed.join(largest, "h")
-    minor = open_lists.filter("part <> main").select("h", *[F.col(c).alias(f"{c}_m") for c in ("cls", "n", "pos", "part", *_PARITY)])
-    across = (
-        minor.join(open_lists, "h")
+    leaders = sizes.join(mains, "h").filter("part <> main").groupBy("h", "main", "many").agg(F.min("first").alias("leader"))
+    out = materialize(rows.drop("place").join(leaders, "h").select("h", "cls", "n", "pos", "part", "leader", "main", "many"), "lists")
+    discard(rows)
+    return out
+
+
+def _place() -> Column:
+    """Place of a member in its list: by the part of its set that stands before the shingle, ties by a hash."""
+    return F.floor(F.lit(4096) * F.col("pos") / F.col("n")) * F.lit(1 << 32) + F.xxhash64("cls", "h").bitwiseAND(F.lit((1 << 32) - 1))
+
+
+def _leader_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    may = _may_link(F.col("n"), F.col("leader.n"), F.col("pos"), F.col("leader.pos"), percent)
+    found = lists.filter((F.col("part") != F.col("leader.part")) & may)
+    return found.select(F.least("cls", "leader.cls").alias("a"), F.greatest("cls", "leader.cls").alias("b")).distinct()
+
+
+def _rest_of_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """All pairs between components that the lists still hold; at least one side is outside the largest component."""
+    minor = lists.filter("part <> main").select("h", *[F.col(c).alias(f"{c}_m") for c in ("cls", "n", "pos", "part")])
+    return (
+        minor.join(lists, "h")
         .filter(
             (F.col("part") != F.col("part_m"))
             & ((F.col("part") == F.col("main")) | (F.col("cls") < F.col("cls_m")))
             & _may_link(F.col("n"), F.col("n_m"), F.col("pos"), F.col("pos_m"), percent)
-            & (_differences() <= F.col("n") + F.col("n_m") - 2 * _need(F.col("n"), F.col("n_m"), percent))
         )
         .select(F.least("cls", "cls_m").alias("a"), F.greatest("cls", "cls_m").alias("b"))
         .distinct()
-        .join(stars, ["a", "b"], "left_anti")  # once per pair
     )
-    second = _verified(across, texts, n_gram, percent, "across")
-    return members, first.unionByName(second)
+
+
+def _near(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs that pass the suffix filter on their parity sketches."""
+    one = classes.select(F.col("cls").alias("a"), "n", *_PARITY)
+    two = classes.select(F.col("cls").alias("b"), F.col("n").alias("n_m"), *[F.col(o).alias(f"{o}_m") for o in _PARITY])
+    most = F.col("n") + F.col("n_m") - 2 * _need(F.col("n"), F.col("n_m"), percent)
+    return pairs.join(one, "a").join(two, "b").filter(_differences() <= most).select("a", "b")
 
 
 def _classes(members: DataFrame, found: DataFrame) -> DataFrame:
-    """cls, the first document that has it and its parity sketch, for each class in a shared list."""
+    """cls, its size, the first document that has it and its parity sketch, for each class in a shared list."""
     wanted = found.select("cls").distinct()
     # aggregated before the join: many copies of one text are combined where they are read
     first = members.filter("cls IS NOT NULL").groupBy("cls").agg(
-        F.min(F.struct("doc_id", "th")).alias("of"), *[F.max(o).alias(o) for o in _PARITY]
+        F.min(F.struct("doc_id", "th")).alias("of"), F.max("n").alias("n"), *[F.max(o).alias(o) for o in _PARITY]
     )
     return first.join(wanted, "cls", "left_semi")
 
@@ -313,13 +354,13 @@ def _class_texts(source: DataFrame, classes: DataFrame) -> DataFrame:
     return materialize(chosen.groupBy("cls").agg(F.first("packed").alias("packed")), "class-texts")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, n_gram: int, percent: int, name: str) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, n_gram: int, percent: int) -> DataFrame:
     one = texts.withColumnsRenamed({"cls": "a", "packed": "pa"})
     two = texts.withColumnsRenamed({"cls": "b", "packed": "pb"})
     tested = pairs.join(one, "a").join(two, "b").select("a", "b", "pa", "pb").mapInArrow(
         _verify(n_gram, percent), "a long, b long, linked boolean"
     )
-    return materialize(tested.filter("linked").select("a", "b"), f"links-{name}")
+    return materialize(tested.filter("linked").select("a", "b"), "links-verified")
 
 
 def ngram_components(
@@ -339,8 +380,7 @@ def ngram_components(
     whole number. An empty table gives no rows, and other columns are ignored. Sets are kept as
     64-bit hashes.
     """
-    members, links = ngram_links(docs, key, text, threshold, n_gram, sketch_bits)
-    roots = connected_components(links)
+    members, roots = ngram_links(docs, key, text, threshold, n_gram, sketch_bits)
     ids = members.filter("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("low"))
     parts = ids.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = parts.groupBy("root").agg(F.min("low").alias("component_id"))
