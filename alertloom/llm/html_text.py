@@ -1,11 +1,11 @@
 """Operator 10: main text of web pages by line-block distribution.
 
 Markup is stripped to lines, one for each block. What stands in menus, headers, footers, sidebars,
-notices, adverts, forms, scripts and reader comments leaves empty lines. Text lengths are summed over
-sliding windows of lines; where the sum surges from nothing a region starts, where it dives to nothing
-the region ends, and the text between is kept. Where article and main elements hold more text than any regions beside
-them, all their lines are text. Otherwise the box that holds most of the largest region keeps all its regions, and what
-stands outside that box is text if it isn't mostly links nor small beside the largest region.
+notices, adverts, forms, scripts and reader comments leaves empty lines. Text lengths without links are summed over
+sliding windows of lines: a region is a run of windows that don't dive to zero. The densest region is the main text and gives the
+page's own surge threshold, half of its mean length of a line. The box around it (its article and main elements, or else
+the innermost container with most of it) keeps all its lines under a window with text; outside it, a region is
+text if a window surges above the threshold.
 """
 
 from __future__ import annotations
@@ -20,15 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WINDOW = 3
-#: A region outside the largest region's box with less than this share of its text is not main text.
-LEAST_SHARE = 0.15
-#: A block with more than this share of its text in links is no text of its own.
+#: An element with a furniture name that may be part of the text is a menu or a list of teasers if links hold more of it than this.
 LINKED_SHARE = 0.6
 #: A box inside an article with one furniture word in its class is furniture below this many characters.
 SHORT = 80
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|textarea|title|iframe|xmp)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?P<raw>script|style|noscript|textarea|title|iframe|xmp)"
     r"(?=[\s/>])(?:[^>\"'/]|/(?!>)|\"[^\"]*\"|'[^']*')*(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
     r"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<[a-z/][^<>]*\Z",
     re.I | re.S,
@@ -236,7 +234,7 @@ def text_lines(page: str) -> tuple[list[Line], dict[int, int], dict[int, int]]:
     def close_line() -> None:
         nonlocal parts, linked
         if parts:
-            text = " ".join(entities.unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             if text:
                 lines.append(Line(text, main > 0, linked, line_box, in_heading))
             parts, linked = [], 0
@@ -250,9 +248,10 @@ def text_lines(page: str) -> tuple[list[Line], dict[int, int], dict[int, int]]:
                 while until[box] < i:
                     box = around[box]
                 line_box, in_heading = box, i <= heading_end
+            piece = entities.unescape(piece)
             parts.append(piece)
             if open_link or i <= link_end:
-                linked += len(piece.strip())
+                linked += len(" ".join(piece.split()))
         if m is None:
             break
         at, i = m.end(), i + 1
@@ -309,56 +308,62 @@ def text_lines(page: str) -> tuple[list[Line], dict[int, int], dict[int, int]]:
     return lines, around, until
 
 
-def _distribution(lines: list[Line], around: dict[int, int], until: dict[int, int]) -> list[str]:
-    """Texts between the surges and dives of the line-block distribution."""
-    lengths = [0 if x.linked > LINKED_SHARE * len(x.text) else len(x.text) for x in lines]
-    sums = [sum(lengths[i : i + WINDOW]) for i in range(len(lengths))]
-    regions: list[tuple[int, int]] = []
-    start = None
-    for i, s in enumerate([*sums, 0]):
-        if s and start is None:
-            start = i
-        elif not s and start is not None:
-            regions.append((start, i))
-            start = None
+def _regions(sums: list[int]) -> list[tuple[int, int]]:
+    """Runs of lines that a window with text covers: from where the sums surge from zero to where they dive to it."""
+    found: list[tuple[int, int]] = []
+    for i, s in enumerate(sums):
+        if s and found and i <= found[-1][1] - WINDOW + 1:
+            found[-1] = (found[-1][0], i + WINDOW)
+        elif s:
+            found.append((i, i + WINDOW))
+    return found
+
+
+def main_text(page: str | None) -> str:
+    """The text between the surges and dives of the line-block distribution."""
+    lines, around, until = text_lines(page or "")
+    lengths = [max(0, len(x.text) - x.linked) for x in lines]
+    if not any(lengths):  # all the text there is stands in links
+        lengths = [len(x.text) for x in lines]
+    sums = [sum(lengths[max(i, 0) : i + WINDOW]) for i in range(1 - WINDOW, len(lengths))]  # windows that begin before the page, too
+    regions = [(max(a - WINDOW + 1, 0), min(b - WINDOW + 1, len(lines))) for a, b in _regions(sums)]
     if not regions:
-        return []
+        return ""
     totals = [sum(lengths[a:b]) for a, b in regions]
     most = max(totals)
-    a, b = regions[totals.index(most)]
-
-    # the innermost box with most of the largest region
-    held = dict.fromkeys(around, 0)
-    held[-1] = 0
-    for x, n in zip(lines[a:b], lengths[a:b], strict=True):
-        held[x.box] += n
-    for at in sorted(around, reverse=True):
-        held[around[at]] += held[at]
-    box = max((at for at, n in held.items() if 2 * n > most), default=-1)
+    seed = range(*regions[totals.index(most)])
+    surge = most / sum(lengths[i] > 0 for i in seed) / 2
+
+    # the box around the densest region: article and main elements, or the innermost container with most of it
+    box = -1
+    in_main = 2 * sum(lengths[i] for i in seed if lines[i].inside) > most
+    if not in_main:
+        held = dict.fromkeys([*around, -1], 0)
+        for i in seed:
+            held[lines[i].box] += lengths[i]
+        for at in sorted(around, reverse=True):
+            held[around[at]] += held[at]
+        box = max(at for at, n in held.items() if 2 * n > most)
+    above = {-1} if box >= 0 else set()  # the containers around the box: what stands in them directly belongs to its text
+    at = around.get(box, -1)
+    while at >= 0:
+        above.add(at)
+        at = around[at]
 
     def in_box(x: Line) -> bool:
+        if in_main:
+            return x.inside
+        if x.box in above:
+            return x.heading or x.box >= 0
         return box <= x.box < until[box] if box >= 0 else x.box == -1
 
     kept = []
-    for (a, b), total in zip(regions, totals, strict=True):
-        text = [i for i in range(a, b) if lengths[i]]
-        if total < LEAST_SHARE * most and not any(in_box(lines[i]) for i in text):
-            continue
-        for i in range(a, b):
-            x = lines[i]
-            if lengths[i] or (x.text and in_box(x) and (x.heading or text[0] < i < text[-1])):
+    for a, b in regions:
+        dense = any(sum(lengths[i : min(i + WINDOW, b)]) >= surge for i in range(a, b))
+        for x, n in zip(lines[a:b], lengths[a:b], strict=True):
+            if x.text and (x.inside or in_box(x) or (n and dense and not in_main)):
                 kept.append(x.text)
-    return kept
-
-
-def main_text(page: str | None) -> str:
-    """The lines of article and main elements, or of the regions of text where these hold more."""
-    lines, around, until = text_lines(page or "")
-    inside = [x.text for x in lines if x.inside]
-    beside = _distribution([Line("") if x.inside else x for x in lines], around, until)
-    if sum(map(len, inside)) >= sum(map(len, beside)):
-        return "\n".join(t for t in inside if t)
-    return "\n".join(_distribution(lines, around, until))
+    return "\n".join(kept)
 
 
 def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 import re
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import Row
@@ -70,6 +71,23 @@ def test_components_match_brute_force(spark, seed):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
 
 
+def test_components_of_chains_without_a_common_leader(spark):
+    rng = random.Random(3)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(90):  # members are like their neighbours in the chain, far from its ends
+        base[(7 * i) % 120] = f"c{i}"
+        text = list(base)
+        if i % 3 == 0:
+            text[rng.randrange(120)] = f"d{i}"
+        rows.append((i, " ".join(text)))
+    rows = [(i, t) for i, t in rows if i % 10 != 7] + [(200 + i, " ".join(base[: 60 + i])) for i in range(20)]
+    got = ngram_components(frame(spark, rows), sketch_bits=10).collect()
+    expected = brute_components(rows)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == expected
+    assert len({c for _, _, c in expected}) > 2
+
+
 def test_components_of_null_keys_and_long_texts(spark):
     long = " ".join(f"q{i}" for i in range(30_000))
     rows = [(None, "a b c d e f"), (None, "a b c d e f"), (5, "A b c d e f"), (9, long), (8, long + " end"), (None, "z y x w v u t")]
@@ -268,6 +286,81 @@ def test_main_text_lets_the_window_sums_decide(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<div class="page has-sidebar"><article><p>Main story text.</p></article></div>', "Main story text."),
+        ('<article><p>A</p><h2 id="related-work">B</h2><p class="side-effects">C</p></article>', "A\nB\nC"),
+        (f"<div>{LONG}<div class='ad'>Buy!</div><p>A closing paragraph of the text.</p></div>", f"{LONG_TEXT}\nA closing paragraph of the text."),
+        (f"<div>{LONG}<p>See <a href=1>this long link to another page</a></p></div>", f"{LONG_TEXT}\nSee this long link to another page"),
+        ("<article><!--><p>A</p><!-- x --!><p>B</p><!---><p>C</p></article>", "A\nB\nC"),
+        ("<article>&am<b>p;</b></article>", "&amp;"),
+        (f"<div>{LONG}</div><div><p>Another dense paragraph beside it.</p></div><ul>{'<li><a href=1>menu entry</a></li>' * 5}</ul>",
+         f"{LONG_TEXT}\nAnother dense paragraph beside it."),
+        ("<a href=1>all</a> <a href=2>links</a>", "all links"),
+    ],
+)
+def test_main_text_drops_nothing_else(page, text):
+    assert main_text(page) == text
+
+
+class SlowPage(HTMLParser):
+    """Text of the article by parser events: furniture elements are left out, blocks part lines."""
+
+    blocks = {"p", "h1", "h2", "ul", "li", "div", "section", "article", "blockquote"}
+    furniture = {"nav", "aside", "footer", "form", "script", "style", "header"}
+
+    def __init__(self):
+        super().__init__()
+        self.open, self.lines = [], [""]
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.lines[-1] += " "
+            return
+        self.open.append(tag in self.furniture or dict(attrs).get("class") == "ad")
+        if tag in self.blocks:
+            self.lines.append("")
+
+    def handle_endtag(self, tag):
+        if self.open.pop() or tag in self.blocks:
+            self.lines.append("")
+
+    def handle_data(self, data):
+        if not any(self.open):
+            self.lines[-1] += data
+
+
+def random_block(rng, depth=0):
+    words = " ".join(rng.choice(["one", "two&amp;", "&eacute;t", "<b>bold</b>", "x<br>y", "<i>in</i>side", "a  b\n c"]) for _ in range(rng.randint(1, 25)))
+    kind = rng.choice(["p", "p", "p", "h2", "li", "div", "ad", "aside", "script"] if depth < 2 else ["p", "h2"])
+    if kind == "li":
+        return f"<ul>{''.join(f'<li>{words}</li>' for _ in range(3))}</ul>"
+    if kind == "div":
+        return f"<div>{''.join(random_block(rng, depth + 1) for _ in range(rng.randint(1, 3)))}</div>"
+    if kind == "ad":
+        return '<div class="ad">Buy this now!</div>'
+    if kind == "script":
+        return '<script>var a = "<p>no</p>";</script>'
+    return f"<{kind}>{words}</{kind}>"
+
+
+def test_main_text_matches_a_slow_parser():
+    rng = random.Random(12)
+    for _ in range(200):
+        inside = f"<h1>Head</h1>{''.join(random_block(rng) for _ in range(rng.randint(1, 12)))}"
+        slow = SlowPage()
+        slow.feed(inside)
+        article = rng.choice(["article", "main", "div"])
+        page = f"<body><nav><a href=1>x</a></nav><{article}>{inside}</{article}><footer>&copy; all</footer></body>"
+        assert main_text(page) == "\n".join(" ".join(x.split()) for x in slow.lines if x.strip()), page
+
+
+def test_main_text_of_a_very_long_page():
+    text = " ".join(f"w{i}" for i in range(50_000))
+    assert main_text(f"<nav>x</nav><article>{''.join(f'<p>{text}</p>' for _ in range(4))}</article>") == "\n".join([text] * 4)
+
+
 def test_extract_text_keeps_rows(spark):
     pages = spark.createDataFrame([Row(page_id=1, url="u", html=PAGE, text="clash"), Row(page_id=None, url=None, html=None, text=None)])
     got = extract_text(pages).collect()
