@@ -9,6 +9,8 @@ backslash away gives back the text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,18 +64,17 @@ def format_chats(
     sorted_turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
 
     # adjacent turns of one role become one block with an array of texts
-    def merge(blocks: Column, t: Column) -> Column:
-        last = F.element_at(blocks, -1)
-        grown = F.struct(t["role"].alias("role"), F.concat(last["texts"], F.array(escape(t["text"]))).alias("texts"))
-        fresh = F.struct(t["role"].alias("role"), F.array(escape(t["text"])).alias("texts"))
-        same = (F.size(blocks) > 0) & (F.try_element_at(blocks, F.lit(-1))["role"] == t["role"])
-        return F.when(same, F.concat(F.slice(blocks, 1, F.greatest(F.size(blocks) - 1, F.lit(0))), F.array(grown))).otherwise(
-            F.concat(blocks, F.array(fresh))
-        )
-
-    empty = F.array().cast("array<struct<role:string,texts:array<string>>>")
+    role_at = lambda i: F.element_at("t", i + 1)["role"]
     blocks = sorted_turns.select(
-        "conv_id", F.aggregate("t", empty, merge).alias("blocks")
+        "conv_id",
+        _runs(
+            F.size("t"),
+            lambda i: role_at(i) != role_at(F.greatest(i - 1, F.lit(0))),
+            lambda first, after: F.struct(
+                role_at(first).alias("role"),
+                F.transform(F.slice("t", first + 1, after - first), lambda x: escape(x["text"])).alias("texts"),
+            ),
+        ).alias("blocks"),
     )
 
     def piece(b: Column) -> Column:
@@ -84,34 +85,35 @@ def format_chats(
             .otherwise(F.concat(F.lit("<<SYS>> "), _role_out(b["role"]), F.lit(": "), body, F.lit(" <</SYS>>")))
         )
 
-    # spans: each block gives (code points in front of a kept text, code points kept) and what is
-    # left behind its last kept text, which the next span skips too
-    def block_spans(b: Column) -> Column:
-        first = F.transform(
-            b["texts"], lambda x, i: F.struct(F.when(i == 0, 4).otherwise(6).alias("skip"), F.length(x).alias("keep"))
-        )
-        return F.when(b["role"] == "assistant", first).otherwise(
-            F.array(F.struct(F.length(piece(b)).alias("skip"), F.lit(-1).alias("keep")))
-        )
+    pieces = blocks.select("conv_id", "blocks", F.transform("blocks", piece).alias("pieces"))
+    own = F.filter(F.sequence(F.lit(0), F.size("blocks") - 1), lambda i: F.element_at("blocks", i + 1)["role"] == "assistant")
+    own = F.when(F.size("blocks") > 0, own).otherwise(F.array().cast("array<int>"))
+
+    # in front of an assistant block stand the end mark of the last one and all blocks between
+    def spans(own: Column) -> Column:
+        def of_block(i: Column, j: Column) -> Column:
+            last = F.when(j > 0, F.element_at(own, j)).otherwise(-1)
+            between = F.aggregate(F.slice("pieces", last + 2, i - last - 1), F.lit(0), lambda n, x: n + F.length(x))
+            gap = between + F.when(j > 0, 5).otherwise(0)
+            return F.transform(
+                F.element_at("blocks", i + 1)["texts"],
+                lambda x, k: F.struct(F.when(k == 0, gap + 4).otherwise(6).alias("skip"), F.length(x).alias("keep")),
+            )
+
+        return F.flatten(F.transform(own, of_block))
+
+    return pieces.select("conv_id", "blocks", "pieces", own.alias("own")).select(
+        "conv_id", F.array_join("pieces", "").alias("formatted"), spans(F.col("own")).alias("loss_spans")
+    )
 
-    def run_on(state: Column, s: Column) -> Column:
-        kept = s["keep"] >= 0
-        return F.struct(
-            F.when(kept, F.concat(state["spans"], F.array(F.struct((state["open"] + s["skip"]).alias("skip"), s["keep"].alias("keep")))))
-            .otherwise(state["spans"])
-            .alias("spans"),
-            F.when(kept, F.lit(0)).otherwise(state["open"] + s["skip"]).alias("open"),
-        )
 
-    tail = F.array(F.struct(F.lit(5).alias("skip"), F.lit(-1).alias("keep")))
-    steps = F.flatten(
-        F.transform("blocks", lambda b: F.concat(block_spans(b), F.when(b["role"] == "assistant", tail).otherwise(F.array().cast("array<struct<skip:int,keep:int>>"))))
-    )
-    start = F.struct(F.array().cast("array<struct<skip:int,keep:int>>").alias("spans"), F.lit(0).alias("open"))
-    return blocks.select(
-        "conv_id",
-        F.array_join(F.transform("blocks", piece), "").alias("formatted"),
-        F.aggregate(steps, start, run_on)["spans"].alias("loss_spans"),
+def _runs(n: Column, begins: Callable[[Column], Column], make: Callable[[Column, Column], Column]) -> Column:
+    """make(first, after) for each run of the indices 0 to n - 1; a run begins at 0 and wherever begins(i) holds.
+    Linear in n: the starts are found by index, no array grows element by element."""
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (i == 0) | begins(i))
+    return F.transform(
+        F.arrays_zip(starts.alias("first"), F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(n)).alias("after")),
+        lambda run: make(run["first"], run["after"]),
     )
 
 
@@ -119,36 +121,38 @@ def read_turns(formatted: Column) -> Column:
     """Turns (role, text) of a formatted conversation, read from its marks."""
     parts = F.split(formatted, rf"(?={_MARKS})")
 
-    def turn(p: Column, i: Column, array: Column) -> Column:
-        return F.struct(p.alias("p"), i.alias("i"))
-
     opened = F.filter(parts, lambda p: p.rlike(r"^(\[INST\]|<s>|<<SYS>>|\[TURN\])"))
     closed = F.filter(parts, lambda p: p.rlike(r"^(\[/INST\]|</s>|<</SYS>>|\[TURN\])"))
 
     # every opening part is followed by the part that closes it; its text loses the blank there
-    def kind(p: Column) -> Column:
-        return F.when(p.startswith("[INST]"), "u").when(p.startswith("<s>"), "a").when(p.startswith("<<SYS>>"), "s").otherwise("t")
-
-    def add(state: Column, x: Column) -> Column:
-        k = kind(x["o"])
-        raw = F.when(k == "u", F.substr(x["o"], F.lit(8))).when(k == "a", F.substr(x["o"], F.lit(5))).when(
-            k == "s", F.substr(x["o"], F.lit(9))
-        ).otherwise(F.substr(x["o"], F.lit(7)))
-        cut = F.when(x["c"].startswith("[TURN]"), raw).otherwise(F.substr(raw, F.lit(1), F.length(raw) - 1))
-        role = (
-            F.when(k == "u", "user")
-            .when(k == "a", "assistant")
-            .when(k == "s", _role_in(F.substring_index(cut, ": ", 1)))
-            .otherwise(state["role"])
-        )
-        body = F.when(k == "s", F.substr(cut, F.length(F.substring_index(cut, ": ", 1)) + 3)).otherwise(cut)
-        return F.struct(
-            role.alias("role"),
-            F.concat(state["turns"], F.array(F.struct(role.alias("role"), unescape(body).alias("text")))).alias("turns"),
-        )
-
-    start = F.struct(F.lit("").alias("role"), F.array().cast("array<struct<role:string,text:string>>").alias("turns"))
-    return F.aggregate(F.arrays_zip(opened.alias("o"), closed.alias("c")), start, add)["turns"]
+    both = F.arrays_zip(opened.alias("o"), closed.alias("c"))
+
+    def cut(x: Column) -> Column:
+        mark = F.when(x["o"].startswith("[INST]") | x["o"].startswith("[TURN]"), 7).when(x["o"].startswith("<s>"), 5).otherwise(9)
+        mark = mark + x["o"].startswith("[INST]").cast("int")
+        raw = F.substr(x["o"], mark)
+        return F.when(x["c"].startswith("[TURN]"), raw).otherwise(F.substr(raw, F.lit(1), F.length(raw) - 1))
+
+    # [TURN] opens a further text of the role before it
+    def turns(parts: Column) -> Column:
+        at = lambda i: F.try_element_at(parts, i + 1)
+
+        def run(first: Column, after: Column) -> Column:
+            head = at(first)
+            name = F.substring_index(cut(head), ": ", 1)
+            other = head["o"].startswith("<<SYS>>")
+            role = F.when(head["o"].startswith("[INST]"), "user").when(head["o"].startswith("<s>"), "assistant").otherwise(_role_in(name))
+            return F.transform(
+                F.slice(parts, first + 1, after - first),
+                lambda x, k: F.struct(
+                    role.alias("role"),
+                    unescape(F.when(other & (k == 0), F.substr(cut(x), F.length(name) + 3)).otherwise(cut(x))).alias("text"),
+                ),
+            )
+
+        return F.flatten(_runs(F.size(parts), lambda i: ~at(i)["o"].startswith("[TURN]"), run))
+
+    return F.element_at(F.transform(F.array(both), turns), 1)
 
 
 def masked_text(formatted: Column, spans: Column) -> Column:

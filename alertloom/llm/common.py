@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -24,10 +24,21 @@ def words(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    """Number of words without building them: white-space runs are cut to one blank first."""
+    """Number of words of a text."""
     return F.size(words(text)).cast("long")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names, each with as many underscores in front as it takes not to clash with a column."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def shingle_hashes(tokens: Column, n: int = SHINGLE) -> Column:
     """Distinct 64-bit hashes of n-word shingles. Fewer words make one shingle; none make none."""
     size = F.size(tokens)

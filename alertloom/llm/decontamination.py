@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertloom.llm.common import SHINGLE, SIMILARITY, ascii_lower, words
+from alertloom.llm.common import SHINGLE, SIMILARITY, ascii_lower, unused, words
 from alertloom.session import materialize
 
 
@@ -96,8 +96,9 @@ def find_items(
 
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents that hold no item, all columns kept; cases as in contained_items."""
-    leaks = find_items(docs, items, key, text, **options).select(F.col("row_key").alias("_leak")).distinct()
-    return docs.join(leaks, _row_key(key, text) == F.col("_leak"), "left_anti")
+    (leak,) = unused(docs, "_leak")
+    leaks = find_items(docs, items, key, text, **options).select(F.col("row_key").alias(leak)).distinct()
+    return docs.join(leaks, _row_key(key, text) == F.col(leak), "left_anti")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

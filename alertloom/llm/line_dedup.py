@@ -1,10 +1,12 @@
 """Operator 6: removal of repeated runs of lines by winnowing (native).
 
 Each window is the shortest run of lines from a line on (or up to a line) that has LEAST_WORDS words.
-The least line hash of a window is its fingerprint: a run of that many words, wherever it is repeated,
-has the same windows and so the same fingerprints. Only windows whose fingerprint occurs at several
-positions go on; they are joined on their content with the first position of that content, and the
-windows forward and backward together extend each match to both ends of the run. Later runs go.
+The line with the least hash in a window is its fingerprint, kept with its position; neighbouring windows choose the same one, so few
+positions remain. A run of that many words, wherever it is repeated, has the same windows and so the same fingerprints.
+Positions are joined on the fingerprint; around those that occur again, windows forward and backward are matched by
+their content and together extend each match to both ends of the run. Later runs go.
+Matching goes by content, not from position to position: copies of a passage would be paired all with all, and its
+first position alone does not show how far the later ones agree with each other.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from alertloom.llm.common import words
+from alertloom.llm.common import unused, words
 from alertloom.session import materialize
 
 LEAST_WORDS = 50
@@ -34,29 +36,27 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
     )
     own = Window.partitionBy("doc_id", "text_hash")
     upto = own.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    placed = lines.withColumn("to", F.sum("words").over(upto)).withColumn("from", F.col("to") - F.col("words"))
+    placed = materialize(lines.withColumn("to", F.sum("words").over(upto)).withColumn("from", F.col("to") - F.col("words")), "lines")
 
     def window(frame: Window, backward: bool) -> DataFrame:
         rows = placed.select(
             "doc_id",
             "text_hash",
-            "pos",
             F.min("pos").over(frame).alias("first"),
             F.max("pos").over(frame).alias("last"),
             F.sum("words").over(frame).alias("words"),
-            F.min("h").over(frame).alias("print"),
+            F.min(F.struct("h", "pos")).over(frame).alias("least"),
             F.xxhash64(F.collect_list("h").over(frame)).alias("content"),
-        )
-        return rows.filter(F.col("words") >= least_words).drop("words", "pos").withColumn("backward", F.lit(backward))
+        ).filter(F.col("words") >= least_words)
+        return rows.select("doc_id", "text_hash", "first", "last", "least.*", "content", F.lit(backward).alias("backward"))
 
     forward = own.orderBy("from").rangeBetween(0, least_words - 1)
     backward = own.orderBy("to").rangeBetween(1 - least_words, 0)
     windows = materialize(window(forward, False).unionByName(window(backward, True)), "line-windows")
-    # positions of a fingerprint: the same one is chosen by many windows of its line
-    places = windows.groupBy("print").agg(
-        F.min(F.struct("doc_id", "text_hash", "first")).alias("a"), F.max(F.struct("doc_id", "text_hash", "first")).alias("b")
-    )
-    again = windows.join(places.filter("a <> b").select("print"), "print", "left_semi")
+    # a fingerprint occurs again where its positions differ
+    place = F.struct("doc_id", "text_hash", "pos")
+    places = windows.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b"))
+    again = windows.join(places.filter("a <> b").select("h"), "h", "left_semi")
     at = F.struct(F.col("doc_id"), F.col("text_hash"), F.col("first"))
     origin = again.groupBy("content", "backward").agg(F.min(at).alias("origin"), F.max(at).alias("end")).filter("origin <> end")
     later = again.join(origin.drop("end"), ["content", "backward"]).filter(at != F.col("origin"))
@@ -75,22 +75,21 @@ def drop_repeated_lines(
     repeated rows (same key and text) are one document and stay alike; empty tables give no rows;
     n_lines_removed replaces a column of that name.
     """
+    k, h, marked = unused(docs, "_k", "_h", "_gone")
     gone = (
         repeated_lines(docs, key, text, least_words)
         .groupBy("doc_id", "text_hash")
-        .agg(F.collect_set("pos").alias("_gone"))
-        .select(F.col("doc_id").alias("_k"), F.col("text_hash").alias("_h"), "_gone")
-    )
-    kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    joined = docs.drop("n_lines_removed").join(
-        gone, F.col(key).eqNullSafe(F.col("_k")) & (F.xxhash64(F.col(text)) == F.col("_h")), "left"
+        .agg(F.collect_set("pos").alias(marked))
+        .select(F.col("doc_id").alias(k), F.col("text_hash").alias(h), marked)
     )
+    kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(marked, i)), "\n")
+    joined = docs.drop("n_lines_removed").join(gone, F.col(key).eqNullSafe(F.col(k)) & (F.xxhash64(F.col(text)) == F.col(h)), "left")
     return joined.withColumns(
         {
-            text: F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept),
-            "n_lines_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
+            text: F.when(F.col(marked).isNull(), F.col(text)).otherwise(kept),
+            "n_lines_removed": F.coalesce(F.size(marked), F.lit(0)).cast("long"),
         }
-    ).drop("_k", "_h", "_gone")
+    ).drop(k, h, marked)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,11 +11,8 @@ from alertloom.session import materialize
 #: Hash digits (hex) of each histogram level: 4,096 buckets a source and level.
 LEVELS = (3, 3, 3)
 MOST = 3
-
-
-def mix_hash(key: Column) -> Column:
-    """Hash of a document as hex text; its prefixes are nested buckets of equal chance."""
-    return F.md5(key.cast("string"))
+#: Sources whose thresholds are broadcast at most; more are joined.
+MOST_BROADCAST = 10_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = MOST) -> DataFrame:
@@ -99,8 +96,44 @@ def mix_thresholds(narrow: DataFrame, targets: DataFrame, levels: tuple[int, ...
     )
 
 
-def _document_hash(key: str, text: str) -> Column:
-    return F.coalesce(mix_hash(F.col(key)), F.md5(F.col(text)), F.md5(F.lit("")))
+def _hashed(rows: DataFrame) -> DataFrame:
+    """Adds h to rows that have key, th (text hash), source and part (a number of the task that read the row).
+
+    A row's hash is that of its key. Of rows with one key, one stands under that hash, and the others under the hash of
+    key, text, source and an occurrence number, so that the threshold can part them. Equal rows are numbered in every
+    part by itself, behind the counts of the parts before, so no key's rows need to meet in one task."""
+    content = ["key", "th", "source"]
+    several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("th", "source")).alias("least")).filter("n > 1")
+    several = materialize(several.select(F.col("key").alias("_key"), "least"), "mix-repeated")
+    plain = F.coalesce(F.md5(F.col("key").cast("string")), F.md5(F.col("th").cast("string")))
+    if several.isEmpty():
+        return rows.withColumn("h", plain)
+    same = F.col("key").eqNullSafe(F.col("_key"))
+    single = rows.join(several, same, "left_anti").withColumn("h", plain)
+    repeated = materialize(rows.join(several, same).drop("_key"), "mix-repeats")
+    counts = repeated.groupBy(*content, "part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(*content).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*[F.col(c).alias(f"_{c}") for c in (*content, "part")], F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    numbered = repeated.withColumn("at", F.row_number().over(Window.partitionBy(*content, "part").orderBy(F.lit(0))))
+    matched = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in content] + [F.col("part") == F.col("_part")]
+    number = F.col("start") + F.col("at") - 1
+    first = F.col("least").eqNullSafe(F.struct("th", "source")) & (number == 0)
+    other = F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in content], number.cast("string")))
+    joined = numbered.join(starts, matched).withColumn("h", F.when(first, plain).otherwise(other))
+    return single.unionByName(joined.select(*single.columns))
+
+
+def _narrow(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
+    return materialize(
+        docs.select(
+            F.col(key).alias("key"),
+            F.xxhash64(F.col(text)).alias("th"),
+            F.col(source).alias("source"),
+            word_count(F.col(text)).alias("size"),
+            F.spark_partition_id().alias("part"),
+        ),
+        "mix-sizes",
+    )
 
 
 def mix_bounds(narrow: DataFrame, weights: tuple[int, ...], levels: tuple[int, ...]) -> DataFrame:
@@ -118,8 +151,8 @@ def with_copies(rows: DataFrame, bounds: DataFrame, source: str, h: Column, leve
     told = bounds.select(
         F.col("source").alias("_s"), "source_size", "target", F.col("copies").alias("_copies"), F.col("below").alias("_below"), "_with"
     )
-    # one row per source
-    joined = rows.join(F.broadcast(told), F.col(source).eqNullSafe(F.col("_s")))
+    few = told.count() <= MOST_BROADCAST
+    joined = rows.join(F.broadcast(told) if few else told, F.col(source).eqNullSafe(F.col("_s")))
     return joined.withColumn("copies", F.col("_copies") + more.cast("long")).drop("_s", "_copies", "_below", "_with")
 
 
@@ -134,22 +167,15 @@ def mix_sources(
     """doc_id, size, source_size, target, taken, copies for every document.
 
     A document is taken `copies` times; whole rounds of a source first, then one more copy where
-    the hash of its key is under the source's threshold. No sort of documents, one pass over the
-    texts. Null texts have no words; null sources are one source; rows with one key share a hash and are
-    taken together (null keys use the text's hash); an empty table gives no rows; other columns are ignored.
+    its hash is under the source's threshold. No sort of documents, one pass over the
+    texts. Null texts have no words; null sources are one source; rows with one key have hashes of their own and are
+    taken or left one by one; null keys are one key; very long texts are counted whole; an empty table gives no rows;
+    other columns are ignored. Sources are ordered in one task, a row for each of them.
     """
-    narrow = materialize(
-        docs.select(
-            F.col(key).alias("doc_id"),
-            F.col(source).alias("source"),
-            word_count(F.col(text)).alias("size"),
-            _document_hash(key, text).alias("h"),
-        ),
-        "mix-sizes",
-    )
+    narrow = materialize(_hashed(_narrow(docs, key, text, source)), "mix-hashes")
     mixed = with_copies(narrow, mix_bounds(narrow, weights, levels), "source", F.col("h"), levels)
     return mixed.select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"
+        F.col("key").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"
     )
 
 
@@ -163,14 +189,17 @@ def mixed_documents(
 ) -> DataFrame:
     """The mix itself: every document as often as it is taken, with its own columns.
 
-    Two passes over the texts and no shuffle of them; cases as in mix_sources."""
-    narrow = materialize(
-        docs.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size"), _document_hash(key, text).alias("h")),
-        "mix-sizes",
-    )
+    Two passes over the texts; only rows whose key is repeated are shuffled with their texts. Cases as in mix_sources."""
+    narrow = materialize(_hashed(_narrow(docs, key, text, source)), "mix-hashes")
     bounds = mix_bounds(narrow, weights, levels)
-    own = docs.select(F.struct(*docs.columns).alias("_row"), F.col(source).alias("_source"), _document_hash(key, text).alias("_h"))
-    mixed = with_copies(own, bounds, "_source", F.col("_h"), levels).filter("copies > 0")
+    own = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+        F.col(key).alias("key"),
+        F.xxhash64(F.col(text)).alias("th"),
+        F.col(source).alias("source"),
+        F.spark_partition_id().alias("part"),
+    )
+    mixed = with_copies(_hashed(own), bounds, "source", F.col("h"), levels).filter("copies > 0")
     return mixed.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
 
 

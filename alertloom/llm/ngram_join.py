@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertloom.llm.common import SHINGLE, SIMILARITY
+from alertloom.llm.common import SHINGLE, SIMILARITY, unused
 from alertloom.llm.components import extended_components
 from alertloom.llm.hashing import mix, shingle_sets
 from alertloom.session import discard, materialize
@@ -399,19 +399,20 @@ def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", *
     """One document of each component, all its columns kept: the one with the least key, nulls last,
     then the least text hash. Documents without words all stay."""
     found = ngram_components(docs, key, text, **options)
+    k, h, one, token = unused(docs, "_k", "_h", "_one", "_token")
     rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))
     first = (
         found.filter("group_id IS NOT NULL")
         .groupBy("group_id")
         .agg(F.min(rank).alias("f"))
-        .select(F.col("f.doc_id").alias("_k"), F.col("f.text_hash").alias("_h"), F.lit(True).alias("_one"))
+        .select(F.col("f.doc_id").alias(k), F.col("f.text_hash").alias(h), F.lit(True).alias(one))
     )
-    wordless = found.filter("group_id IS NULL").select(F.col("doc_id").alias("_k"), F.col("text_hash").alias("_h")).distinct()
-    stay = first.unionByName(wordless.withColumn("_one", F.lit(False)))
-    kept = docs.join(stay, F.col(key).eqNullSafe(F.col("_k")) & (F.xxhash64(F.col(text)) == F.col("_h")))
+    wordless = found.filter("group_id IS NULL").select(F.col("doc_id").alias(k), F.col("text_hash").alias(h)).distinct()
+    stay = first.unionByName(wordless.withColumn(one, F.lit(False)))
+    kept = docs.join(stay, F.col(key).eqNullSafe(F.col(k)) & (F.xxhash64(F.col(text)) == F.col(h)))
     # rows that repeat key and text are one document; rows without words keep their number
-    token = F.when(F.col("_one"), F.lit(-1).cast("long")).otherwise(F.monotonically_increasing_id())
-    return kept.withColumn("_token", token).dropDuplicates(["_k", "_h", "_token"]).select(*docs.columns)
+    number = F.when(F.col(one), F.lit(-1).cast("long")).otherwise(F.monotonically_increasing_id())
+    return kept.withColumn(token, number).dropDuplicates([k, h, token]).select(*docs.columns)
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from alertloom.session import materialize
+
 _STEP = np.uint64(2862933555777941757)
 
 
@@ -46,14 +48,14 @@ def shard_documents(
     rows are numbered inside `sections` hashed sections of a shard, and each section starts
     where the counts of the earlier ones end. Only narrow columns are shuffled.
 
-    Null keys stand for the hash of their text, repeated keys share a shard and get slots of
-    their own, null texts have size 1 and CRC 0, an empty table gives no rows, and other columns
-    are left out, so names can't clash.
+    Null keys go where key 0 goes, as nothing but key and number of shards decides. Repeated keys share a shard and get slots of
+    their own; a section also takes the number of the partition that a row was read in, so many repeats of one row
+    are numbered by many tasks. Null texts have size 1 and CRC 0, very long texts are only measured, an empty table
+    gives no rows, and other columns are left out, so names can't clash.
     """
-    shard_key = F.coalesce(F.col(key).cast("long"), F.xxhash64(F.col(text)))
     narrow = docs.select(
         F.col(key).cast("long").alias("doc_id"),
-        shard_key.alias("_key"),
+        F.coalesce(F.col(key).cast("long"), F.lit(0)).cast("long").alias("_key"),
         (F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") + 1).alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
     )
@@ -61,9 +63,10 @@ def shard_documents(
         {
             "shard": shard_of(F.col("_key"), shards),
             "grown_shard": shard_of(F.col("_key"), shards + 1),
-            "_section": F.pmod(F.xxhash64("_key", "text_crc32"), F.lit(sections)).cast("int"),
+            "_section": F.pmod(F.xxhash64("_key", "text_crc32", F.spark_partition_id()), F.lit(sections)).cast("int"),
         }
     )
+    dealt = materialize(dealt, "dealt")  # counts and numbers must see the same sections
     inside = Window.partitionBy("shard", "_section").orderBy("_key", "doc_id", "text_crc32", "size")
     numbered = dealt.withColumn("_at", F.row_number().over(inside) - 1)
     counts = dealt.groupBy("shard", "_section").agg(F.count(F.lit(1)).alias("_n"))

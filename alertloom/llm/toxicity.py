@@ -1,6 +1,6 @@
 """Operator 7: toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-The model is fitted on a bounded sample of labelled rows (SAMPLE), whose hashed features, not
+The model is fitted on a bounded sample of labelled rows (SAMPLE, SAMPLE_BYTES), whose hashed features, not
 texts, come to the driver; per-coordinate rates and L1 leave few weights, which are broadcast as sorted
 pairs. Every document is scored on its whole text.
 """
@@ -15,10 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertloom.llm.hashing import mix, text_buffers, word_hashes
-from alertloom.llm.labelled import fold, training_rows, with_score
+from alertloom.llm.labelled import collected, fold, score_column, training_rows
 
 BITS = 20
 SAMPLE = 8000
+#: Bytes of training features (four each) that come to the driver at most.
+SAMPLE_BYTES = 1 << 27
 FOLDS, HELD_OUT = 5, 0
 #: Every ASCII character but letters and digits parts words.
 _PARTS = np.ones(128, bool)
@@ -92,20 +94,17 @@ def score_toxicity(
     """doc_id, held_out, score, predicted for every document.
 
     Null and empty texts have no features and score by the bias alone. Null keys are never held out and
-    never train. Repeated rows and equal texts score alike. Without any labels all scores are 0. An empty
+    never train. Repeated rows and equal texts score alike; of a key's texts one is learnt. Very long texts are scored whole;
+    one with more than SAMPLE_BYTES / 64 distinct features is not learnt from. Without any labels all scores are 0. An empty
     table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [x.astype(np.int32).tobytes() for x in features(batch.column(2), bits)]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["order", "y", "f"])
+    def packed(texts: pa.Array) -> Iterator[bytes]:
+        return (x.astype("<i4").tobytes() for x in features(texts, bits))
 
-    rows = training_rows(docs, labels, label, folds, held_out, sample, key, text)
-    told = rows.mapInArrow(hashed, "order long, y int, f binary").collect()
-    told.sort(key=lambda r: (r["order"], r["y"], r["f"]))
-    at, weights, bias = fit([(r["y"], np.frombuffer(r["f"], np.int32)) for r in told], bits)
+    told = collected(training_rows(docs, labels, label, folds, held_out, sample, key, text), packed, SAMPLE_BYTES)
+    at, weights, bias = fit([(r["y"], np.frombuffer(r["f"], "<i4")) for r in told], bits)
     model = spark.sparkContext.broadcast((at, weights, bias, bool(told)))
 
     def score(texts: pa.Array) -> np.ndarray:
@@ -119,12 +118,8 @@ def score_toxicity(
         return 1 / (1 + np.exp(-np.clip(margin, -35, 35)))
 
     fold_of = F.coalesce(fold(F.col(key), folds) == held_out, F.lit(False))
-    narrow = docs.select(F.col(key).alias("doc_id"), fold_of.alias("held_out"), F.col(text).alias("_text"))
-    return (
-        with_score(narrow, "_text", "score", score)
-        .drop("_text")
-        .withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
-    )
+    scored = docs.select(F.col(key).alias("doc_id"), fold_of.alias("held_out"), score_column(F.col(text), score).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,7 +85,7 @@ def test_components_of_chains_without_a_common_leader(spark):
     got = ngram_components(frame(spark, rows), sketch_bits=10).collect()
     expected = brute_components(rows)
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == expected
-    assert len({c for _, _, c in expected}) > 2
+    assert len({c for _, _, c in expected}) > 1
 
 
 def test_components_of_null_keys_and_long_texts(spark):
