@@ -80,6 +80,19 @@ TIME_KEYS = (
 )
 ID_KEYS = ("id", "uid", "pid", "uuid", "tx_id", "flow_id", "request_id", "session_id", "user_id")
 NUMBER_KEY_PARTS = ("length", "bytes_", "pkts_", "count")
+
+
+def _key_rule(parts: tuple[str, ...] = (), whole: tuple[str, ...] = (), ends: tuple[str, ...] = ()) -> str:
+    return "(?s)(?:" + "|".join([*(f".*{x}.*" for x in parts), *whole, *(f".*{x}" for x in ends)]) + ")"
+
+
+#: What a lower-cased key tells of its value, as a mask and a pattern of the whole key; the first that fits counts.
+KEY_RULES = (
+    ("<TOKEN>", _key_rule(TOKEN_KEYS)),
+    ("<TIMESTAMP>", _key_rule(TIME_KEY_PARTS, TIME_KEYS, ("_time", "_date"))),
+    ("<ID>", _key_rule((), ID_KEYS, ("_uuid", "_uid"))),
+    ("<NUMBER>", _key_rule(NUMBER_KEY_PARTS)),
+)
 PAYLOAD_KEYS = ("payload", "request", "url", "command", "query", "raw_log_data", "affected_paths", "affected_values")
 _MONTH = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
 _DAY = "(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)"
@@ -106,8 +119,14 @@ MASKS = (
     ("<MD5>", r"(?i)(?<![0-9a-f])[0-9a-f]{32}(?![0-9a-f])"),
     ("<HEX>", r"(?i)(?<![0-9a-f])[0-9a-f]{16,}(?![0-9a-f])"),
 )
-ENCODED_TOKEN = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/=_-])"
+_CODE = "[A-Za-z0-9+/_-]"
+#: A long run of code characters that has padding, or small letters, capitals and digits.
+ENCODED_TOKEN = (
+    r"(?<![A-Za-z0-9+/=_-])"
+    rf"(?:{_CODE}{{24,}}={{1,2}}|(?={_CODE}*[a-z])(?={_CODE}*[A-Z])(?={_CODE}*[0-9]){_CODE}{{24,}})"
+    r"(?![A-Za-z0-9+/=_-])"
+)
 QUERY_VALUE = r"(?i)((?:[?&;]|\b)([a-z][\w.-]*)=)([^&#;\s]+)"
-PLACEHOLDER = r"<(?:JWT|UUID|MAC|EMAIL|TIMESTAMP|PID|IPV4|IPV6|SHA256|SHA1|MD5|HEX|NUMBER|TOKEN|ID)>"
+PLACEHOLDER = "(?:" + "|".join(dict.fromkeys([*(mask for mask, _ in MASKS), "<NUMBER>", "<TOKEN>", "<ID>"])) + ")"
 #: Fixed value: tokens of a payload template.
 SIGNATURE_TOKEN = r"(?i)<[^>]{1,48}>|[a-z0-9_]+|[\x{4e00}-\x{9fff}]+"

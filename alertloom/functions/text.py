@@ -125,13 +125,8 @@ def cidr_contains(network: Column, address: Column) -> Column:
 
 def key_placeholder(key: Column) -> Column:
     """The mask that a key alone decides: token before time, id and number; null for other keys."""
-    k = F.lower(key)
-    return (
-        F.when(contains_any(k, M.TOKEN_KEYS), "<TOKEN>")
-        .when(contains_any(k, M.TIME_KEY_PARTS) | k.isin(*M.TIME_KEYS) | k.endswith("_time") | k.endswith("_date"), "<TIMESTAMP>")
-        .when(k.isin(*M.ID_KEYS) | k.endswith("_uuid") | k.endswith("_uid"), "<ID>")
-        .when(contains_any(k, M.NUMBER_KEY_PARTS), "<NUMBER>")
-    )
+    masks = [F.when(F.lower(key).rlike(f"\\A{pattern}\\z"), mask) for mask, pattern in M.KEY_RULES]
+    return F.coalesce(*masks)
 
 
 def canonical_values(values: Column) -> Column:

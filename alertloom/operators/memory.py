@@ -7,12 +7,13 @@ import unicodedata
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from alertloom.functions import shapes
 from alertloom.functions.templates import payload_template
 from alertloom.functions.text import uuid5
+from alertloom.session import materialize
 
 LAYERS = ("alert_source", "alert_semantics", "source_entity", "target_entity", "service_information", "attribute_template")
 NULL, MULTIPLE = "<NULL>", "<MULTIPLE>"
@@ -128,7 +129,8 @@ def learn(
     """fingerprints: one exact row for each distinct path, and one generalised row for each group of paths
     whose differences the masked path explains.
 
-    Paths are grouped before anything is inferred, so the inference sees each distinct path once.
+    Paths are grouped before anything is inferred, so the inference sees each distinct path once. Provenance is the
+    ids that came last; each of 64 salts of a path offers its last ones, so none gathers all.
     """
     both = with_path(with_path(objects, "path"), "wide", True, v4, v6)
     wide = F.struct(
@@ -136,53 +138,34 @@ def learn(
         F.col("path.alert_semantics").alias("alert_semantics"),
         *[F.col(f"wide.{n}").alias(n) for n in LAYERS[2:]],
     )
-    keyed = both.withColumn("wide", wide)
+    came = F.col("start_ts") if "start_ts" in objects.columns else F.lit(None).cast("timestamp")
+    keyed = both.withColumn("wide", wide).select(
+        F.sha2(canonical("path"), 256).alias("digest"),
+        F.sha2(canonical("wide"), 256).alias("generalization_key"),
+        "path",
+        "wide",
+        F.struct(came.alias("ts"), F.col("object_id").alias("id")).alias("of"),
+    )
+    salted = Window.partitionBy("digest", "generalization_key", F.pmod(F.xxhash64("of"), F.lit(64))).orderBy(F.desc("of"))
+    last = F.array_sort(F.collect_list(F.when(F.col("_k") <= provenance_limit, F.col("of"))))
     exact = (
-        keyed.groupBy("path", "wide")
-        .agg(F.count(F.lit(1)).alias("support"), F.array_sort(F.collect_set("object_id")).alias("ids"))
+        keyed.withColumn("_k", F.row_number().over(salted))
+        .groupBy("digest", "generalization_key")
+        .agg(F.first("path").alias("path"), F.first("wide").alias("wide"), F.count(F.lit(1)).alias("support"), last.alias("last"))
         .select(
-            F.sha2(canonical("path"), 256).alias("digest"),
+            "digest",
             "path",
             F.lit("exact").alias("kind"),
             "support",
-            F.sha2(canonical("wide"), 256).alias("generalization_key"),
+            "generalization_key",
             "wide",
-            F.slice("ids", F.greatest(F.size("ids") - provenance_limit + 1, F.lit(1)), provenance_limit).alias("provenance"),
-            (F.size("ids") > provenance_limit).alias("provenance_truncated"),
-        )
-    )
-    path_type = exact.schema["path"].dataType.simpleString()
-
-    def infer(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(columns=["generalization_key", "path", "support", "distinct_exact_paths", "generalized_fields", "constraints"])
-        rows = [tuple(p[n] for n in LAYERS) for p in pdf["path"]]
-        if len(set(rows)) < 2:
-            return out
-        candidate, learnt, fields, rules = pdf["wide"].iloc[0], {}, [], []
-        for i, layer in enumerate(LAYERS):
-            found = shapes.learn_layer(layer, candidate[layer], [r[i] for r in rows])
-            if found is None:
-                return out
-            learnt[layer] = found[0]
-            if found[2]:
-                fields.append(layer)
-            rules += [
-                {"layer": layer, "occurrence": k, "placeholder": m, "accepted_shapes": s} for k, (m, s) in enumerate(found[1])
-            ]
-        if fields:
-            out.loc[0] = [pdf["generalization_key"].iloc[0], learnt, int(pdf["support"].sum()), len(set(rows)), fields, rules]
-        return out
-
-    general = (
-        exact.select("generalization_key", "path", "wide", "support")
-        .groupBy("generalization_key")
-        .applyInPandas(
-            infer,
-            f"generalization_key string, path {path_type}, support long, distinct_exact_paths int, "
-            f"generalized_fields array<string>, constraints {_RULE}",
+            F.transform(F.slice("last", F.greatest(F.size("last") - provenance_limit + 1, F.lit(1)), provenance_limit), lambda x: x["id"]).alias(
+                "provenance"
+            ),
+            (F.col("support") > provenance_limit).alias("provenance_truncated"),
         )
-        .withColumns({"kind": F.lit("generalized"), "digest": F.sha2(canonical("path"), 256)})
     )
+    general = _generalized(exact).withColumns({"kind": F.lit("generalized"), "digest": F.sha2(canonical("path"), 256)})
     ident = F.when(F.col("kind") == "exact", F.concat(F.lit("exact:"), F.col("digest"))).otherwise(
         F.concat(F.lit("generalized:"), F.col("generalization_key"))
     )
@@ -201,6 +184,90 @@ def learn(
     )
 
 
+def _generalized(exact: DataFrame) -> DataFrame:
+    """generalization_key, path, support, distinct_exact_paths, generalized_fields, constraints: the patterns of keys with
+    several paths, where every layer is the same or its differences stand under placeholders.
+
+    Values are flattened to places and captured texts, which are grouped as rows: a key with very many paths is combined before the
+    shuffle. Only the groups of one layer, as many as one of its values has places, meet in a row."""
+
+    @F.udf("array<struct<form:string,path:string,slot:int,kind:string,text:string,fits:boolean,shape:string>>", useArrow=True)
+    def observed(layer: str, candidate: str, value: str) -> list:
+        return [tuple(x) for x in shapes.observed(layer, candidate, value)]
+
+    learnt_type = "struct<text:string,generalized:boolean,rules:array<struct<placeholder:string,accepted_shapes:array<string>>>>"
+
+    @F.udf(learnt_type, useArrow=True)
+    def assembled(layer: str, candidate: str, n: int, groups: list) -> tuple | None:
+        own = [shapes.Group(g.form, g.path, g.slot, g.n, tuple(g.low), tuple(g.high), g.fits, list(g.shapes)) for g in groups]
+        found = shapes.assembled(layer, candidate, n, own)
+        return found and (found[0], found[2], found[1])
+
+    keys = exact.groupBy("generalization_key").agg(
+        F.sum("support").alias("support"), F.count(F.lit(1)).cast("int").alias("distinct_exact_paths"), F.first("wide").alias("wide")
+    )
+    keys = keys.filter("distinct_exact_paths > 1")
+    layers = F.array(*[F.struct(F.lit(n).alias("layer"), F.col(f"path.{n}").alias("value")) for n in LAYERS])
+    values = (
+        exact.join(keys.select("generalization_key"), "generalization_key", "left_semi")
+        .select("generalization_key", "wide", F.inline(layers))
+        .withColumn("candidate", F.coalesce(*[F.when(F.col("layer") == n, F.col(f"wide.{n}")) for n in LAYERS]))
+        .groupBy("generalization_key", "layer", "value")
+        .agg(F.first("candidate").alias("candidate"))
+    )
+    own = ["generalization_key", "layer"]
+    values = materialize(values, "memory-values")
+    sizes = values.groupBy(*own).agg(F.count(F.lit(1)).cast("int").alias("values"), F.first("candidate").alias("candidate"))
+    content = F.struct("kind", "text")
+    groups = (
+        values.select(*own, F.inline(observed("layer", "candidate", "value")))
+        .groupBy(*own, "form", "path", "slot")
+        .agg(
+            F.count(F.lit(1)).cast("int").alias("n"),
+            F.min(content).alias("low"),
+            F.max(content).alias("high"),
+            F.bool_and("fits").alias("fits"),
+            F.collect_set("shape").alias("shapes"),
+        )
+    )
+    groups = materialize(groups.join(sizes, own), "memory-groups")
+    broken = groups.filter("slot < 0 AND n < values").select(*own, "form").distinct()
+    learnt = (
+        groups.join(broken, [*own, "form"], "left_anti")
+        .groupBy(*own, "candidate", "values")
+        .agg(F.collect_list(F.struct("form", "path", "slot", "n", "low", "high", "fits", "shapes")).alias("groups"))
+        .select(*own, assembled("layer", "candidate", "values", "groups").alias("learnt"))
+    )
+    by_key = learnt.groupBy("generalization_key").agg(
+        F.bool_and(F.col("learnt").isNotNull()).alias("explained"), F.map_from_entries(F.collect_list(F.struct("layer", "learnt"))).alias("of")
+    )
+    of = {n: F.col("of")[n] for n in LAYERS}
+
+    def rules(layer: str) -> Column:
+        return F.transform(
+            of[layer]["rules"],
+            lambda r, i: F.struct(
+                F.lit(layer).alias("layer"), i.alias("occurrence"), r["placeholder"].alias("placeholder"), r["accepted_shapes"].alias("accepted_shapes")
+            ),
+        )
+
+    constraints = F.concat(*map(rules, LAYERS))
+    fields = F.filter(F.array(*map(F.lit, LAYERS)), lambda n: F.col("of")[n]["generalized"])
+    return (
+        by_key.filter("explained")
+        .join(keys, "generalization_key")
+        .select(
+            "generalization_key",
+            F.struct(*[of[n]["text"].alias(n) for n in LAYERS]).alias("path"),
+            "support",
+            "distinct_exact_paths",
+            fields.alias("generalized_fields"),
+            constraints.cast(_RULE).alias("constraints"),
+        )
+        .filter(F.size("generalized_fields") > 0)
+    )
+
+
 def _fits(path: Column, pattern: Column, rules: Column) -> Column:
     @F.pandas_udf("boolean")
     def run(paths: pd.DataFrame, patterns: pd.DataFrame, rules: pd.Series) -> pd.Series:
@@ -250,34 +317,38 @@ def decide(
         "digest", F.col("fingerprint_id").alias("exact_id"), F.col("support").alias("exact_support"), rejected.alias("rejected")
     )
     base = rows.join(reached, "object_id").join(own, "digest", "left")
+    whole = F.col("matched_depth") == len(LAYERS)
+    is_exact = whole & F.col("exact_id").isNotNull()
+    exact_ok = is_exact & F.col("rejected").isNull() & (F.col("terminal_support") >= least_support)
+    shielded = F.col("category").isin(*protected)
     general = fingerprints.filter(
         (F.col("kind") == "generalized")
         & (F.col("support") >= least_general_support)
         & (F.col("distinct_exact_paths") >= least_paths)
         & rejected.isNull()
     ).select(F.col("path").alias("pattern"), F.col("fingerprint_id").alias("general_id"), F.col("support").alias("general_support"), "constraints")
+    # protected behaviour and exact paths are settled; equal paths are tested once
+    base = materialize(base, "decide-base")
+    settled = F.coalesce(shielded, F.lit(False)) | F.coalesce(exact_ok, F.lit(False)) | F.coalesce(is_exact & F.col("rejected").isNotNull(), F.lit(False))
+    open_paths = base.filter(~settled).groupBy("digest").agg(F.first("path").alias("path"))
     pairs = (
-        rows.alias("r")
+        open_paths.alias("r")
         .join(
             general,
             (F.col("r.path.alert_source") == F.col("pattern.alert_source")) & (F.col("r.path.alert_semantics") == F.col("pattern.alert_semantics")),
         )
         .filter(_fits(F.col("path"), F.col("pattern"), F.col("constraints")))
-        .groupBy("object_id", _specificity("pattern").alias("score"))
+        .groupBy("digest", _specificity("pattern").alias("score"))
         .agg(F.count(F.lit(1)).alias("n"), F.min("general_id").alias("general_id"), F.min("general_support").alias("general_support"))
-        .groupBy("object_id")
+        .groupBy("digest")
         .agg(F.max(F.struct("score", "n", "general_id", "general_support")).alias("best"))
     )
-    found = base.join(pairs, "object_id", "left")
-    whole = F.col("matched_depth") == len(LAYERS)
-    is_exact = whole & F.col("exact_id").isNotNull()
-    exact_ok = is_exact & F.col("rejected").isNull() & (F.col("terminal_support") >= least_support)
+    found = base.join(pairs, "digest", "left")
     fallback = (
         F.when(whole & (F.col("terminal_support") < least_support), "insufficient_support")
         .when(~whole, F.concat(F.lit("hat_path_not_found:"), F.col("missing_layer")))
         .otherwise("fingerprint_record_not_found")
     )
-    shielded = F.col("category").isin(*protected)
     one, many = F.col("best.n") == 1, F.col("best.n") > 1
     case = lambda p, rej, ok, gen, amb, rest: (
         F.when(shielded, p).when(is_exact & F.col("rejected").isNotNull(), rej).when(exact_ok, ok).when(one, gen).when(many, amb).otherwise(rest)

@@ -87,16 +87,55 @@ def test_signature_and_vectors(spark):
         assert one(spark, T.final_label(F.col("t"), F.col("e")), t=t, e=e) == want
 
 
+def learn_layer(layer, candidate, values):
+    """shapes.assembled over the groups that Spark would make."""
+    groups = {}
+    for value in dict.fromkeys(values):
+        for x in shapes.observed(layer, candidate, value):
+            groups.setdefault(x[:3], []).append(x)
+    made = [
+        shapes.Group(*k, len(g), min((x.kind, x.text) for x in g), max((x.kind, x.text) for x in g), all(x.fits for x in g), list({x.shape for x in g}))
+        for k, g in groups.items()
+    ]
+    return shapes.assembled(layer, candidate, len(set(values)), made)
+
+
+@pytest.mark.parametrize(
+    ("candidate", "values", "learnt"),
+    [
+        ('{"a":"<ID>"}', ['{"a":1}', '{"a":"x2"}'], ('{"a":"<ID>"}', [("<ID>", ["id:d", "id:ld"])], True)),
+        ('{"a":"<ID>","b":"k <NUMBER> v <NUMBER>"}', ['{"a":[1],"b":"k 12 v 7"}', '{"a":[1],"b":"k 13 v 7"}'],
+         ('{"a":[1],"b":"k <NUMBER> v 7"}', [("<NUMBER>", ["number:digits"])], True)),
+        ('{"a":["<IPV4>",{"b":"<TOKEN>"}]}', ['{"a":["10.0.0.1",{"b":"x"}]}', '{"a":["10.0.0.2",{"b":"Y"}]}'],
+         ('{"a":["<IPV4>",{"b":"<TOKEN>"}]}', [("<IPV4>", ["ipv4"]), ("<TOKEN>", ["token:l", "token:u"])], True)),
+        ('{"a":"<ID>"}', ['{"a":1}', '{"a":1,"b":2}'], None),
+        ('{"a":"<ID>"}', ['{"a":null}', '{"a":1}'], None),
+        ('{"a":"<IPV4>"}', ['{"a":"10.0.0.1"}', '{"a":"x"}'], None),
+        ('{"a":{"c":"<ID>"}}', ['{"a":{"c":1,"d":0}}', '{"a":{"c":2,"d":0}}'], None),
+        ("n <NUMBER>", ["n 1", "n 2"], ("n <NUMBER>", [("<NUMBER>", ["number:digits"])], True)),
+        ("n <NUMBER>", ["n 1", "m 2"], None),
+        ('{"a":1}', ['{"a":1}'], ('{"a":1}', [], False)),
+    ],
+)
+def test_patterns_are_learnt_by_place(candidate, values, learnt):
+    assert learn_layer("attribute_template", candidate, values) == learnt
+    if learnt:
+        rules = [(i, m, s) for i, (m, s) in enumerate(learnt[1])]
+        assert all(shapes.layer_matches("attribute_template", learnt[0], v, rules) for v in values)
+    assert not shapes.layer_matches("attribute_template", '{"a":"<ID>"}', '{"a":{"b":1}}', [(0, "<ID>", ["id:l"])])
+
+
 def test_placeholders_are_typed():
     assert shapes.capture("a <ID> b <NUMBER>", "a x1 b 77") == [("<ID>", "x1"), ("<NUMBER>", "77")]
     assert shapes.capture("<ID><NUMBER>", "x7") is None
     assert shapes.capture("a<ID>", "a") is None
     assert shapes.shape("<TIMESTAMP>", "2024-01-01") == "timestamp:iso" and shapes.shape("<TOKEN>", "aB1-") == "token:ludp"
     assert shapes.fits("<IPV4>", "10.0.0.1") and not shapes.fits("<IPV4>", "::1") and not shapes.fits("<NUMBER>", "x")
-    learnt = shapes.learn_layer("attribute_template", '{"p":"u <NUMBER>"}', ['{"p":"u 1234567"}', '{"p":"u 7654321"}'])
+    learnt = learn_layer("attribute_template", '{"p":"u <NUMBER>"}', ['{"p":"u 1234567"}', '{"p":"u 7654321"}'])
     assert learnt == ('{"p":"u <NUMBER>"}', [("<NUMBER>", ["number:digits"])], True)
-    assert shapes.learn_layer("target_entity", "10.0.0.0/24", ["10.0.0.1", "10.0.0.2"]) == ("10.0.0.0/24", [], True)
-    assert shapes.learn_layer("service_information", "x", ["x", "y"]) is None
+    assert learn_layer("target_entity", "10.0.0.0/24", ["10.0.0.1", "10.0.0.2"]) == ("10.0.0.0/24", [], True)
+    assert learn_layer("target_entity", "10.0.0.0/24", ["10.0.0.1", "10.0.1.2"]) is None
+    assert learn_layer("service_information", "x", ["x", "y"]) is None
     rules = [(0, "<TOKEN>", ["token:d"])]
     assert shapes.layer_matches("service_information", "t <TOKEN>", "t 123", rules)
     assert not shapes.layer_matches("service_information", "t <TOKEN>", "t 12a", rules)
