@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import ipaddress
+import json
 import unicodedata
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,6 +17,7 @@ from alertloom.functions.templates import payload_template
 from alertloom.functions.text import uuid5
 from alertloom.session import materialize
 
+VERSION = 1
 LAYERS = ("alert_source", "alert_semantics", "source_entity", "target_entity", "service_information", "attribute_template")
 NULL, MULTIPLE = "<NULL>", "<MULTIPLE>"
 PROTECTED = ("brute_force", "dns_tunnel", "denial_of_service")
@@ -124,13 +127,19 @@ def match_tree(paths: DataFrame, tree: DataFrame, ident: str, layers: tuple[str,
 
 
 def learn(
-    objects: DataFrame, v4: int = 24, v6: int = 64, provenance_limit: int = 1000, expires_at: datetime | None = None
+    objects: DataFrame,
+    v4: int = 24,
+    v6: int = 64,
+    provenance_limit: int = 1000,
+    expires_at: datetime | None = None,
+    lives: timedelta | None = None,
 ) -> DataFrame:
     """fingerprints: one exact row for each distinct path, and one generalised row for each group of paths
     whose differences the masked path explains.
 
     Paths are grouped before anything is inferred, so the inference sees each distinct path once. Provenance is the
-    ids that came last; each of 64 salts of a path offers its last ones, so none gathers all.
+    ids that came last; each of 64 salts of a path offers its last ones, so none gathers all. Fingerprints expire at a time
+    (expires_at) or a span after their last alert (lives).
     """
     both = with_path(with_path(objects, "path"), "wide", True, v4, v6)
     wide = F.struct(
@@ -138,6 +147,8 @@ def learn(
         F.col("path.alert_semantics").alias("alert_semantics"),
         *[F.col(f"wide.{n}").alias(n) for n in LAYERS[2:]],
     )
+    if lives is not None and "start_ts" not in objects.columns:
+        raise ValueError("a span of life needs start_ts")
     came = F.col("start_ts") if "start_ts" in objects.columns else F.lit(None).cast("timestamp")
     keyed = both.withColumn("wide", wide).select(
         F.sha2(canonical("path"), 256).alias("digest"),
@@ -163,8 +174,10 @@ def learn(
                 "provenance"
             ),
             (F.col("support") > provenance_limit).alias("provenance_truncated"),
+            F.element_at("last", -1)["ts"].alias("last_ts"),
         )
     )
+    ends = F.lit(expires_at).cast("timestamp") if lives is None else F.timestamp_micros(F.unix_micros("last_ts") + int(lives.total_seconds() * 1e6))
     general = _generalized(exact).withColumns({"kind": F.lit("generalized"), "digest": F.sha2(canonical("path"), 256)})
     ident = F.when(F.col("kind") == "exact", F.concat(F.lit("exact:"), F.col("digest"))).otherwise(
         F.concat(F.lit("generalized:"), F.col("generalization_key"))
@@ -178,9 +191,10 @@ def learn(
                 "fingerprint_id": uuid5(ident),
                 "verified": F.lit(True),
                 "active": F.lit(True),
-                "expires_at": F.lit(expires_at).cast("timestamp"),
+                "expires_at": ends,
             }
         )
+        .drop("last_ts")
     )
 
 
@@ -204,7 +218,10 @@ def _generalized(exact: DataFrame) -> DataFrame:
         return found and (found[0], found[2], found[1])
 
     keys = exact.groupBy("generalization_key").agg(
-        F.sum("support").alias("support"), F.count(F.lit(1)).cast("int").alias("distinct_exact_paths"), F.first("wide").alias("wide")
+        F.sum("support").alias("support"),
+        F.count(F.lit(1)).cast("int").alias("distinct_exact_paths"),
+        F.first("wide").alias("wide"),
+        F.max("last_ts").alias("last_ts"),
     )
     keys = keys.filter("distinct_exact_paths > 1")
     layers = F.array(*[F.struct(F.lit(n).alias("layer"), F.col(f"path.{n}").alias("value")) for n in LAYERS])
@@ -261,6 +278,7 @@ def _generalized(exact: DataFrame) -> DataFrame:
             F.struct(*[of[n]["text"].alias(n) for n in LAYERS]).alias("path"),
             "support",
             "distinct_exact_paths",
+            "last_ts",
             fields.alias("generalized_fields"),
             constraints.cast(_RULE).alias("constraints"),
         )
@@ -377,13 +395,48 @@ def route(objects: DataFrame, decisions: DataFrame, decision: str) -> DataFrame:
     return objects.join(decisions.filter(F.col("decision") == decision).select("object_id"), "object_id", "left_semi")
 
 
-def save_memory(fingerprints: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Stores the fingerprints; refuses to replace a store unless told to."""
-    fingerprints.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
-
-
-def load_memory(spark: SparkSession, path: str) -> DataFrame:
-    """The stored fingerprints; a row whose digest doesn't fit its path, or a repeated one, ends the job."""
-    stored = spark.read.parquet(path)
-    bad = F.raise_error(F.concat(F.lit("digest does not fit its path: "), "fingerprint_id")).cast("string")
-    return stored.withColumn("digest", F.when(F.sha2(canonical("path"), 256) == F.col("digest"), F.col("digest")).otherwise(bad))
+def signature(settings: dict) -> str:
+    """Digest of the settings under which a store was learnt."""
+    return hashlib.sha256(json.dumps(settings, sort_keys=True, default=str).encode()).hexdigest()
+
+
+def validate_memory(fingerprints: DataFrame) -> None:
+    """Raises ValueError where a digest doesn't fit its path, an id or exact path is repeated, supports aren't positive, or a
+    generalised row doesn't count the exact paths of its key."""
+    checks = {
+        "digest does not fit its path": fingerprints.filter(~F.sha2(canonical("path"), 256).eqNullSafe(F.col("digest"))).select("fingerprint_id"),
+        "repeated fingerprint": fingerprints.groupBy("fingerprint_id").count().filter("count > 1"),
+        "repeated exact path": fingerprints.filter("kind = 'exact'").groupBy("digest").count().filter("count > 1"),
+        "support is not positive": fingerprints.filter("support IS NULL OR support < 1").select("fingerprint_id"),
+    }
+    exact = fingerprints.filter("kind = 'exact'").groupBy("generalization_key").agg(F.sum("support").alias("s"), F.count(F.lit(1)).alias("n"))
+    general = fingerprints.filter("kind = 'generalized'").join(exact, "generalization_key", "left")
+    checks["generalised support differs from its exact paths"] = general.filter(
+        ~(F.col("support").eqNullSafe(F.col("s")) & F.col("distinct_exact_paths").cast("long").eqNullSafe(F.col("n")))
+    ).select("fingerprint_id")
+    for what, bad in checks.items():
+        row = bad.first()
+        if row is not None:
+            raise ValueError(f"{what}: {row[0]}")
+
+
+def save_memory(fingerprints: DataFrame, path: str, overwrite: bool = False, settings: dict | None = None) -> None:
+    """Stores valid fingerprints and the signature of their settings; refuses to replace a store unless told to."""
+    validate_memory(fingerprints)
+    mode = "overwrite" if overwrite else "errorifexists"
+    fingerprints.write.mode(mode).parquet(f"{path}/fingerprints")
+    spark = fingerprints.sparkSession
+    spark.createDataFrame([(VERSION, signature(settings or {}))], "version int, signature string").coalesce(1).write.mode(mode).parquet(f"{path}/about")
+
+
+def load_memory(spark: SparkSession, path: str, settings: dict | None = None) -> DataFrame:
+    """The stored fingerprints. Another version, other settings than the store was learnt with (where they are given) or a store that isn't valid
+    raises ValueError."""
+    about = spark.read.parquet(f"{path}/about").first()
+    if about["version"] != VERSION:
+        raise ValueError(f"memory of version {about['version']}, not {VERSION}")
+    if settings is not None and about["signature"] != signature(settings):
+        raise ValueError("memory was learnt under other settings")
+    stored = spark.read.parquet(f"{path}/fingerprints")
+    validate_memory(stored)
+    return stored

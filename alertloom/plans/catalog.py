@@ -39,7 +39,7 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-ALERTS = """a AS (SELECT 'ev-' || lpad(event_id::VARCHAR, 12, '0') AS alert_id, ts, event_type AS alert_semantics,
+ALERTS = """a AS (SELECT 'ev-' || lpad(event_id::VARCHAR, 12, '0') AS alert_id, ts, event_type AS alert_semantics, props,
   'user-' || user_id AS source_entity, 'host-' || (regexp_extract(props, '([0-9]+)', 1)::INT % 20) AS target_entity,
   'tcp/' || (1000 + regexp_extract(props, '([0-9]+)', 1)::INT % 5) AS service FROM events)"""
 
@@ -61,12 +61,11 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = objects(spark, sf_dir).withColumn("pattern", F.struct("alert_semantics", "services"))
-    return scoring.score(rows)
+    return scoring.score(scoring.with_pattern(objects(spark, sf_dir)))
 
 
 SCORED = f"""{ALERTS},
-w AS (SELECT *, date_trunc('day', ts) AS w, alert_semantics || service AS p, source_entity || alert_semantics || service || target_entity AS r FROM a),
+w AS (SELECT *, date_trunc('day', ts) AS w, alert_semantics || service || props AS p, source_entity || alert_semantics || service || target_entity || props AS r FROM a),
 e AS (SELECT w, alert_id, source_entity AS entity FROM w UNION SELECT w, alert_id, target_entity FROM w),
 ec AS (SELECT w, entity, count(*) AS n FROM e GROUP BY ALL),
 ef AS (SELECT e.w, e.alert_id, avg(n) AS ef FROM e JOIN ec USING (w, entity) GROUP BY ALL),
@@ -209,17 +208,17 @@ def context_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def context_three_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = objects(spark, sf_dir)
-    found = context.context(rows, rows.filter("alert_semantics = 'error'"), "backward", HOUR, 5, 3)
+    found = context.context(rows, rows, "backward", HOUR, 5, 3)
     return found.select("object_id", "cand_id", "hop", "relevance_rank", "relationship", "parent_id")
 
 
 @query("""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, c.vec_id AS entry_id, list_cosine_similarity(q.v, c.v) AS similarity FROM e q JOIN e c ON q.label = c.label WHERE q.vec_id % 10 = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS entry_id, list_cosine_similarity(q.v, c.v) AS similarity FROM e q JOIN e c ON q.label = c.label WHERE q.vec_id % 20 = 0),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 6) DESC, entry_id) AS rank FROM s WHERE similarity >= 0.1)
 SELECT query_id, entry_id, round(similarity, 4) AS similarity, rank::INTEGER AS rank FROM k WHERE rank <= 5""")
 def bucket_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings").withColumn("v", T.normalized_vector(F.col("embedding")))
-    found = knowledge.retrieve(rows.filter("vec_id % 10 = 0"), rows, "label", "vec_id", "vec_id", "v", 5, 0.1)
+    found = knowledge.retrieve(rows.filter("vec_id % 20 = 0"), rows, "label", "vec_id", "vec_id", "v", 5, 0.1)
     return found.select("query_id", "entry_id", F.round("similarity", 4).alias("similarity"), "rank")
 
 
@@ -229,7 +228,7 @@ _LAYERS = ("l_returnflag", "l_linestatus", "l_linenumber", "l_shipmonth", "l_sup
 def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "lineitem").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
-        "l_orderkey",
+        "l_shipdate",
         "l_returnflag",
         "l_linestatus",
         F.col("l_linenumber").cast("string").alias("l_linenumber"),
@@ -239,8 +238,8 @@ def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_PATHS = """p AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey, [l_returnflag, l_linestatus, l_linenumber::VARCHAR, month(l_shipdate)::VARCHAR, (l_suppkey % 5)::VARCHAR, l_quantity::INT::VARCHAR] AS v FROM lineitem),
-x AS (SELECT id, l_orderkey, unnest(range(1, 7)) AS depth, v FROM p),
+_PATHS = """p AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_shipdate, [l_returnflag, l_linestatus, l_linenumber::VARCHAR, month(l_shipdate)::VARCHAR, (l_suppkey % 5)::VARCHAR, l_quantity::INT::VARCHAR] AS v FROM lineitem),
+x AS (SELECT id, l_shipdate, unnest(range(1, 7)) AS depth, v FROM p),
 t AS (SELECT depth, v[1:depth] AS prefix, count(*) AS support FROM x WHERE {where} GROUP BY ALL)"""
 
 
@@ -255,12 +254,13 @@ def tree_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.tree_summary(memory.prefix_tree(_paths(spark, sf_dir), _LAYERS))
 
 
-@query(f"WITH {_PATHS.format(where='l_orderkey % 50 = 0')}, h AS (SELECT x.id, coalesce(max(CASE WHEN t.support IS NOT NULL THEN x.depth END), 0) AS d, coalesce(max(CASE WHEN x.depth = 6 THEN t.support END), 0) AS s FROM x LEFT JOIN t ON t.depth = x.depth AND t.prefix = x.v[1:x.depth] WHERE x.l_orderkey % 50 <> 0 GROUP BY 1) "
+@query(f"WITH {_PATHS.format(where="l_shipdate < DATE '1995-01-01'")}, h AS (SELECT x.id, coalesce(max(CASE WHEN t.support IS NOT NULL THEN x.depth END), 0) AS d, coalesce(max(CASE WHEN x.depth = 6 THEN t.support END), 0) AS s FROM x LEFT JOIN t ON t.depth = x.depth AND t.prefix = x.v[1:x.depth] WHERE x.l_shipdate >= DATE '1995-01-01' GROUP BY 1) "
        "SELECT id, d::INTEGER AS matched_depth, s AS terminal_support, ['l_returnflag', 'l_linestatus', 'l_linenumber', 'l_shipmonth', 'l_suppmod', 'l_qty'][d + 1] AS missing_layer FROM h")
 def tree_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _paths(spark, sf_dir)
-    tree = memory.prefix_tree(rows.filter("l_orderkey % 50 = 0"), _LAYERS)
-    return memory.match_tree(rows.filter("l_orderkey % 50 <> 0"), tree, "id", _LAYERS)
+    old = F.col("l_shipdate") < F.lit("1995-01-01").cast("date")
+    tree = memory.prefix_tree(rows.filter(old), _LAYERS)
+    return memory.match_tree(rows.filter(~old), tree, "id", _LAYERS)
 
 
 @query("WITH e AS (SELECT l_orderkey || '-' || l_linenumber AS object_id, 'supp-' || l_suppkey AS entity FROM lineitem UNION SELECT l_orderkey || '-' || l_linenumber, 'cust-' || o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT entity, count(DISTINCT object_id) AS degree FROM e GROUP BY 1")
@@ -274,25 +274,26 @@ def entity_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.entity_degrees(scoring.edges(rows))
 
 
-_STRATA = """d AS (SELECT lang, source, doc_id FROM documents JOIN labels USING (doc_id) WHERE quality = 1),
-s AS (SELECT lang, source, count(*) AS n, floor(count(*) * 0.2) AS f, round(count(*) * 0.2 - floor(count(*) * 0.2), 9) AS rest FROM d GROUP BY ALL),
-k AS (SELECT *, greatest(1, floor(sum(n) OVER () * 0.2)) - sum(f) OVER () AS left_over, row_number() OVER (ORDER BY rest DESC, lang, source) AS k FROM s),
-t AS (SELECT lang, source, n, (f + CASE WHEN k <= left_over THEN 1 ELSE 0 END)::BIGINT AS take FROM k)"""
+_STRATA = """d AS (SELECT quality, lang, source, doc_id FROM documents JOIN labels USING (doc_id)),
+s AS (SELECT quality, lang, source, count(*) AS n, floor(count(*) * 0.2) AS f, round(count(*) * 0.2 - floor(count(*) * 0.2), 9) AS rest FROM d GROUP BY ALL),
+k AS (SELECT *, greatest(1, floor(sum(n) OVER () * 0.2)) - sum(f) OVER () AS left_over, row_number() OVER (ORDER BY rest DESC, quality NULLS FIRST, lang NULLS FIRST, source NULLS FIRST) AS k FROM s),
+t AS (SELECT quality, lang, source, n, (f + CASE WHEN k <= left_over THEN 1 ELSE 0 END)::BIGINT AS take FROM k)"""
+_BY = ["quality", "lang", "source"]
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").drop("text").join(_table(spark, sf_dir, "labels"), "doc_id")
 
 
-@query(f"WITH {_STRATA} SELECT lang, source, n, take FROM t")
+@query(f"WITH {_STRATA} SELECT quality, lang, source, n, take FROM t")
 def strata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return knowledge.stratified_allocation(_labelled(spark, sf_dir).filter("quality = 1"), ["lang", "source"], 0.2)
+    return knowledge.stratified_allocation(_labelled(spark, sf_dir), _BY, 0.2)
 
 
-@query(f"WITH {_STRATA} SELECT lang, source, take AS n FROM t WHERE take > 0")
+@query(f"WITH {_STRATA}, o AS (SELECT *, row_number() OVER (PARTITION BY quality, lang, source ORDER BY md5('20260817:' || doc_id), doc_id) AS i FROM d) "
+       "SELECT doc_id FROM o JOIN t ON o.quality IS NOT DISTINCT FROM t.quality AND o.lang IS NOT DISTINCT FROM t.lang AND o.source IS NOT DISTINCT FROM t.source WHERE i <= take")
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = knowledge.stratified_sample(_labelled(spark, sf_dir).filter("quality = 1"), ["lang", "source"], 0.2, "doc_id")
-    return rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
+    return knowledge.stratified_sample(_labelled(spark, sf_dir), _BY, 0.2, "doc_id").select("doc_id")
 
 
 @query("WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position FROM conversations) SELECT conv_id, position::INTEGER AS position, role, CASE WHEN turn % 3 = 0 THEN 'benign' WHEN turn % 3 = 1 THEN role ELSE 'false_positive' END AS label FROM n")
@@ -324,11 +325,9 @@ def fit_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"WITH {ALERTS}, u AS (SELECT source_entity, count(*) AS n, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS sec FROM a WHERE date_trunc('month', ts) = (SELECT min(date_trunc('month', ts)) FROM a) GROUP BY 1) SELECT source_entity, CASE WHEN n < 2 THEN '0-1' WHEN n < 10 THEN '2-9' WHEN n < 100 THEN '10-99' WHEN n < 1000 THEN '100-999' ELSE '1000+' END AS n_bucket, CASE WHEN sec < 60 THEN '<1m' WHEN sec < 300 THEN '1-5m' WHEN sec < 3600 THEN '5-60m' ELSE '60m+' END AS span_bucket, CASE WHEN n * 60.0 / greatest(sec, 1.0) < 1 THEN '<1/min' WHEN n * 60.0 / greatest(sec, 1.0) < 10 THEN '1-10/min' WHEN n * 60.0 / greatest(sec, 1.0) < 100 THEN '10-100/min' ELSE '100+/min' END AS rate_bucket FROM u")
+@query(f"WITH {ALERTS}, u AS (SELECT source_entity, count(*) AS n, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS sec FROM a GROUP BY 1) SELECT source_entity, CASE WHEN n < 2 THEN '0-1' WHEN n < 10 THEN '2-9' WHEN n < 100 THEN '10-99' WHEN n < 1000 THEN '100-999' ELSE '1000+' END AS n_bucket, CASE WHEN sec < 60 THEN '<1m' WHEN sec < 300 THEN '1-5m' WHEN sec < 3600 THEN '5-60m' ELSE '60m+' END AS span_bucket, CASE WHEN n * 60.0 / greatest(sec, 1.0) < 1 THEN '<1/min' WHEN n * 60.0 / greatest(sec, 1.0) < 10 THEN '1-10/min' WHEN n * 60.0 / greatest(sec, 1.0) < 100 THEN '10-100/min' ELSE '100+/min' END AS rate_bucket FROM u")
 def buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = alerts(spark, sf_dir).withColumn("m", F.date_trunc("month", "ts"))
-    first = rows.agg(F.min("m").alias("m"))
-    users = rows.join(F.broadcast(first), "m").groupBy("source_entity").agg(  # one row
+    users = alerts(spark, sf_dir).groupBy("source_entity").agg(
         F.count(F.lit(1)).alias("n"), ((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 1e6).alias("sec")
     )
     return users.select(

@@ -1,4 +1,4 @@
-"""Streaming forms: windowed counts, deduplication and gap-and-cap sessions."""
+"""Streaming forms: windowed counts, deduplication, gap-and-cap sessions, fixed windows and daily scores."""
 
 from __future__ import annotations
 
@@ -7,8 +7,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from alertloom.operators.scoring import score, window_start
+
 
 def window_counts(alerts: DataFrame, key: str, window: str = "1 day", late: str = "1 hour", ts: str = "ts") -> DataFrame:
     """Counts of a key in each UTC window, final once the watermark has passed its end."""
@@ -69,3 +72,44 @@ def capped_sessions(
     return found.select(
         F.col("key").alias(key), F.timestamp_micros("first_us").alias("first_ts"), F.timestamp_micros("last_us").alias("last_ts"), "members"
     )
+
+
+def first_member_windows(
+    alerts: DataFrame, key: str, window_seconds: float, late: str | None = "0 seconds", ts: str = "ts"
+) -> DataFrame:
+    """key, first_ts, last_ts, members: windows from a key's first alert on, whatever the gaps inside. A window is
+    emitted when the watermark has passed its end."""
+    return capped_sessions(alerts, key, window_seconds, window_seconds, late, ts)
+
+
+def score_closed_days(objects: DataFrame, path: str, checkpoint: str, late_seconds: int = 3600, ts: str = "start_ts") -> StreamingQuery:
+    """Starts a stream that scores each UTC day once it is closed: the latest start seen is late_seconds past its end.
+
+    Objects (with their pattern) are kept by day under path/objects, a micro-batch in a folder of its own, so that one that is repeated replaces itself; scores
+    of a day are written to path/scores. Objects that come after their day was scored stay in path/objects and aren't scored."""
+    spark = objects.sparkSession
+
+    def days(table: DataFrame) -> DataFrame:
+        return table.withColumn("day", F.date_format(window_start(F.col(ts), 86400), "yyyy-MM-dd"))
+
+    def fold(batch: DataFrame, number: int) -> None:
+        days(batch).write.mode("overwrite").partitionBy("day").parquet(f"{path}/objects/batch={number}")
+        kept = spark.read.parquet(f"{path}/objects")
+        latest = kept.agg(F.max(F.unix_seconds(ts))).first()[0]
+        if latest is None:
+            return
+        closed = F.unix_seconds(window_start(F.col(ts), 86400)) + 86400 + late_seconds <= latest
+        done = _stored_days(spark, f"{path}/scores")
+        due = kept.filter(closed).filter(~F.col("day").cast("string").isin(done)) if done else kept.filter(closed)
+        if not due.isEmpty():
+            score(due.drop("batch")).write.mode("append").partitionBy("day").parquet(f"{path}/scores")
+
+    return objects.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).start()
+
+
+def _stored_days(spark, path: str) -> list[str]:
+    """Days that have scores: one row each."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return []
+    return [str(r[0]) for r in spark.read.parquet(path).select("day").distinct().collect()]
