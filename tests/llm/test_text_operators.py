@@ -200,6 +200,30 @@ def test_line_dedup_of_odd_rows(spark):
     assert drop_repeated_lines(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_of_long_texts_and_clashing_names(spark):
+    long = "\n".join(" ".join(f"x{i}_{j}" for j in range(12)) for i in range(4000))
+    docs = frame(spark, [(1, long), (2, "own start\n" + long + "\nown end")]).selectExpr("doc_id", "text", "1 AS _gone", "2 AS _k", "3 AS n_lines_removed", "4 AS _h")
+    got = {r.doc_id: r for r in drop_repeated_lines(docs).collect()}
+    assert got[1].text == long and got[2].text == "own start\nown end" and got[2].n_lines_removed == 4000
+    assert (got[2]._gone, got[2]._k, got[2]._h) == (1, 2, 4)
+
+
+def test_names_that_clash_in_filters(spark):
+    docs = frame(spark, [(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "clean words")]).selectExpr("doc_id", "text", "0 AS _leak", "0 AS _k", "0 AS _one", "0 AS _token")
+    item = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
+    assert decontaminate(docs, item).columns == docs.columns and [r.doc_id for r in decontaminate(docs, item).collect()] == [3]
+    one = keep_one_of_each(docs, sketch_bits=10)
+    assert one.columns == docs.columns and sorted(r.doc_id for r in one.collect()) == [1, 3]
+
+
+def test_items_in_very_long_documents(spark):
+    item = " ".join(f"i{k}" for k in range(20))
+    long = " ".join(f"w{k}" for k in range(60_000))
+    docs = frame(spark, [(1, f"{long} {item} {long}"), (2, long), (3, None)])
+    items = spark.createDataFrame([(1, item), (2, None)], "item_id long, text string")
+    assert [r.doc_id for r in decontaminate(docs, items).orderBy("doc_id").collect()] == [2, 3]
+
+
 PAGE = """<!doctype html><html><head><title>T</title><script>var a="<p>no</p>";</script></head><body>
 <header><h1>Site</h1></header><nav><a href="/">Home</a></nav><div class="cookie-notice">We use <b>cookies</b></div>
 <article><h1>Head &amp; line</h1><p>First   para<br>goes on&nbsp;here.<p>Second <i>par</i>a.<div class="ad">Buy!</div><ul><li>one</li><li>two</li></ul></article>
