@@ -101,6 +101,12 @@ def prefix_tree(paths: DataFrame, layers: tuple[str, ...] = LAYERS, count: Colum
     )
 
 
+def tree_paths(tree: DataFrame, depth: int = len(LAYERS)) -> DataFrame:
+    """path, support: the whole paths of a tree in order (a range sort, no single task)."""
+    whole = tree.filter((F.col("depth") == depth) & (F.col("terminal_support") > 0))
+    return whole.select(F.col("prefix").alias("path"), F.col("terminal_support").alias("support")).orderBy("path")
+
+
 def tree_summary(tree: DataFrame, depth: int = len(LAYERS)) -> DataFrame:
     """node_count (with the root), path_count, total_support."""
     return tree.agg(

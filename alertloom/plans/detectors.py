@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertloom.operators import classify, memory, scoring, sessions
+from alertloom.operators import classify, knowledge, memory, scoring, sessions
 from alertloom.plans.catalog import CAP, GAP, query
 from alertloom.session import materialize
 from alertloom.sources import jsonl, normalize
@@ -370,6 +370,38 @@ def graph_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("object_id", "pattern.semantics", join("protocols"), join("services"), "pattern.template")
 
 
+@query(f"WITH {_FLOWS} SELECT l2 || '/' || l3 || '/' || l4 || '/' || l5 || '/' || l6 AS path, count(*) AS support FROM f GROUP BY 1")
+def tree_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = memory.with_path(_flows(spark, sf_dir)).select("path.*")
+    found = memory.tree_paths(memory.prefix_tree(rows))
+    return found.select(F.array_join(F.slice("path", 2, 5), "/").alias("path"), "support")
+
+
+@query(f"SELECT 'ev-' || lpad(event_id::VARCHAR, 12, '0') AS object_id, {_case(['' if '"source_port"' not in r[1] else '443' for r in RULES])} AS source, "
+       + _case(["50001" if '"destination_port":"50001"' in r[1] else "80,9,x" if "dest_port" in r[1] else r[7] for r in RULES]) + f" AS destination, CASE WHEN {_case([r[3] for r in RULES])} = 'brute_force' THEN 'brute_force' END AS category FROM events")
+def node_ports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ports of graph nodes on both sides, and the category that only tells brute force."""
+    rows = classify.with_evidence(_made_alerts(spark, sf_dir)).withColumns(
+        {"object_type": F.lit("alert"), "object_id": F.col("alert_id"), "services": F.array("service"), "category": classify.brute_force_category()}
+    )
+    text = lambda role: F.array_join(scoring.ports(role), ",").alias(role)
+    return rows.select("object_id", text("source"), text("destination"), "category")
+
+
+@query(f"WITH {_FLOWS} SELECT l2 AS semantics, CASE WHEN l5 = '<NULL>' THEN '' ELSE 'tcp/80' END AS services, count(*) AS n FROM f GROUP BY ALL")
+def coarse_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = knowledge.with_coarse_key(scoring.with_pattern(_flows(spark, sf_dir)))
+    keys = rows.groupBy("coarse_key").agg(F.count(F.lit(1)).alias("n"))
+    return keys.select("coarse_key.semantics", F.array_join("coarse_key.services", ",").alias("services"), "n")
+
+
+@query(f"WITH {_EVENTS} SELECT CASE WHEN k % 2 = 0 THEN 'webids-ids_dolog' ELSE 'webids-webattack_dolog' END AS log_type, count(*) AS n FROM e WHERE k % 3 <> 0 GROUP BY 1")
+def vendor_row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("k") % 3 == 0, "other_log").when(F.col("k") % 2 == 0, "webids-ids_dolog").otherwise("webids-webattack_dolog")
+    rows = normalize.extract_vendor_rows(jsonl.parse_objects(_lines(_events(spark, sf_dir), _json(log_type=kind))))
+    return rows.groupBy(F.try_variant_get("raw", "$.log_type", "string").alias("log_type")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"""WITH {_FLOWS}, n AS (SELECT object_id, l3 AS entity, 'source' AS role FROM f UNION SELECT object_id, unnest(CASE WHEN l4 = '<MULTIPLE>' THEN ['a', 'b'] ELSE [l4] END), 'target' FROM f)
 SELECT 'graph_alert_nodes' AS name, count(*) AS rows FROM f UNION ALL SELECT 'graph_alert_entity_edges', count(*) FROM n UNION ALL SELECT 'graph_entity_nodes', count(DISTINCT entity) FROM n
 UNION ALL SELECT 'graph_alert_services', count(*) FROM f WHERE l5 <> '<NULL>' UNION ALL SELECT 'graph_member_edges', count(*) FROM f UNION ALL SELECT 'graph_original_alerts', count(*) FROM f

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import argparse
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertloom.operators.labeling import align, expected_name, gapless, label, label_statistics
+from alertloom.operators.labeling import align, expected_name, gapless, label
 from alertloom.session import build_session
 from alertloom.sources.jsonl import read_json_lines, read_label_archives, reject_labels
 
@@ -29,18 +30,26 @@ def label_scenario(spark: SparkSession, scenario: str, wazuh: str, aminer: str,
     """scenario, source_file, source_line, detector, raw, label. The label file's rows follow the first file, then the second."""
     first, n = _part(spark, wazuh, "wazuh", 0)
     second, _ = _part(spark, aminer, "aminer", n)
-    official = read_label_archives(spark, archive, COLUMNS).filter(F.col("member").startswith(scenario)).withColumnRenamed("row", "position")
+    official = read_label_archives(spark, archive, COLUMNS).filter(F.col("member").rlike(rf"(?:^|/){re.escape(scenario)}(?=[_.])")).withColumnRenamed("row", "position")
     aligned = align(first.unionByName(second), official, {"name": "name", "ip": "ip"})
     return label(aligned).select(F.lit(scenario).alias("scenario"), "source_file", "source_line", "detector", "raw", "label")
 
 
-def write_labelled(labelled: DataFrame, path: str) -> dict[str, int]:
-    """Writes each object with its label as a JSON line and returns the counts of labels."""
+def write_labelled(labelled: DataFrame, path: str) -> dict:
+    """Writes each object with its label as a JSON line, and _labeling_summary (which readers of the lines pass over): records and labels of each file and scenario, and of all."""
     text = F.regexp_replace(F.to_json("raw"), r"\}$", "")
     body = F.concat(text, F.when(text == "{", "").otherwise(","), F.lit('"label":'), F.to_json(F.struct("label")).substr(F.lit(10), F.length("label") + 2), F.lit("}"))
     labelled.select("scenario", "source_file", body.alias("value")).write.partitionBy("scenario", "source_file").text(path)
-    counts = label_statistics(labelled, "scenario", "label").filter("scenario IS NOT NULL AND label IS NOT NULL")
-    return {f"{r['scenario']}:{r['label']}": r["records"] for r in counts.collect()}
+    told: dict = {"records": 0, "labels": {}, "scenarios": {}}
+    # one row for each label of a file
+    for r in labelled.groupBy("scenario", "source_file", "label").count().orderBy("scenario", "source_file", "label").collect():
+        scenario = told["scenarios"].setdefault(r["scenario"], {"records": 0, "labels": {}, "files": {}})
+        for at in (told, scenario, scenario["files"].setdefault(r["source_file"], {"records": 0, "labels": {}})):
+            at["records"] += r["count"]
+            at["labels"][r["label"]] = at["labels"].get(r["label"], 0) + r["count"]
+    spark = labelled.sparkSession
+    spark.createDataFrame([(json.dumps(told, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_labeling_summary")
+    return told
 
 
 def main(args: list[str] | None = None) -> None:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from alertloom.functions import markers as M
 from alertloom.functions.text import clean, contains_any, stable_id
+from alertloom.session import materialize
 from alertloom.sources.jsonl import first_value
 
 _EVE = "/var/log/suricata/eve.json"
@@ -41,6 +42,16 @@ def _object(**fields: Column) -> Column:
     return F.parse_json(F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)])))
 
 
+def _without_empty(**fields: Column) -> Column:
+    """As _object, without empty texts, arrays and objects."""
+    empty = ('""', "[]", "{}")
+    return _object(**{k: F.when(~F.coalesce(F.to_json(v).isin(*empty) if k in _NESTED else v == "", F.lit(False)), v) for k, v in fields.items()})
+
+
+#: Fields that hold any JSON value.
+_NESTED = ("appid", "packet_size", "response_status", "severity", "confidence", "payload_fields")
+
+
 def _part(raw: Column, path: str) -> Column:
     """A nested value; JSON null is null."""
     v = F.try_variant_get(raw, path, "variant")
@@ -189,14 +200,14 @@ def normalize_vendor(records: DataFrame, zone: str = "Asia/Shanghai", vendor: st
         kind = kind.when(t("$.log_type") == log_type, category)
     kind = F.coalesce(kind, F.raise_error(F.lit("unsupported log_type")).cast("string"))
     cut = lambda f, n: F.nullif(F.substring(t(f"$.{f}"), 1, n), F.lit(""))
-    network = _object(
+    network = _without_empty(
         attack_type=cut("attack_type", 512),
         vuln_type=cut("vuln_type", 512),
         attack_method=cut("attack_method", 512),
         appid=_part(raw, "$.appid"),
         packet_size=_part(raw, "$.packet_size"),
     )
-    web = _object(
+    web = _without_empty(
         method=cut("method", 32),
         host=cut("host", 1024),
         uri=cut("uri", 4096),
@@ -207,7 +218,7 @@ def normalize_vendor(records: DataFrame, zone: str = "Asia/Shanghai", vendor: st
     )
     payload = F.when(kind == "network_ids", network).otherwise(web)
     protocol, port = t("$.proto"), t("$.dport")
-    attributes = _object(
+    attributes = _without_empty(
         rule_id=t("$.rule_id"),
         severity=_part(raw, "$.severity"),
         confidence=_part(raw, "$.confidence"),
@@ -249,3 +260,11 @@ def extract_vendor_rows(items: DataFrame, most: int | None = None) -> DataFrame:
     """The rows of a vendor export whose log type is an IDS one."""
     kept = items.filter(F.try_variant_get("raw", "$.log_type", "string").isin(*[x for x, _ in M.VENDOR_LOG_TYPES]))
     return kept if most is None else kept.orderBy("source_line").limit(most)
+
+
+def write_vendor_rows(items: DataFrame, path: str, most: int | None = None) -> dict[str, int]:
+    """Writes the IDS rows of an export as JSON lines in their order, all or none, and returns their number by log type."""
+    rows = materialize(extract_vendor_rows(items, most), "vendor-rows")
+    rows.sort("source_file", "source_line").select(F.to_json("raw").alias("value")).write.mode("overwrite").text(path)
+    counts = rows.groupBy(F.try_variant_get("raw", "$.log_type", "string").alias("log_type")).count().collect()
+    return {r["log_type"]: r["count"] for r in counts}
