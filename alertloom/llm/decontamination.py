@@ -29,6 +29,16 @@ def _all_grams(tokens: Column, widths: list[int]) -> Column:
     return F.concat(*[_grams(tokens, n) for n in widths])
 
 
+def _gram_hashes(word_hashes: Column, n: int) -> Column:
+    """Hashes of the n-word shingles, from the hashes of the words in order, repeats included; none where there are fewer words. The words' hashes
+    must be a column of their own: an expression would be evaluated for every shingle."""
+    every = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(word_hashes) - n + 1, F.lit(1))),
+        lambda i: F.xxhash64(*[F.try_element_at(word_hashes, i + k) for k in range(n)]),
+    )
+    return F.when(F.size(word_hashes) >= n, every).otherwise(F.array().cast("array<bigint>"))
+
+
 def _row_key(key: str, text: str) -> Column:
     """Names a row even where keys are null or repeated."""
     return F.xxhash64(F.col(key), F.col(text))
@@ -60,12 +70,15 @@ def find_items(
     prepared = items.select(
         F.col(item_key).alias("item_id"), words(ascii_lower(F.col(item_text))).alias("w")
     ).filter(F.size("w") > 0)
+    hashed_words = F.transform("w", lambda x: F.xxhash64(x))
+    prepared = materialize(prepared.withColumn("h", hashed_words), "leak-items")
     width = F.least(F.size("w"), F.lit(n))
     # at most n numbers
     widths = sorted({n, *(r[0] for r in prepared.select(width).distinct().collect())})
     sets = prepared.select(
         "item_id",
         F.coalesce(*[F.when(width == k, _grams(F.col("w"), k)) for k in widths]).alias("grams"),
+        F.coalesce(*[F.when(width == k, _gram_hashes(F.col("h"), k)) for k in widths]).alias("hashes"),
     ).withColumn("n_item", F.size("grams"))
     upper = F.pow(F.lit(2.0), F.ceil(F.log2("n_item")))
     sets = sets.withColumn("k", (F.floor((1 - threshold) * upper + 1e-9) + 1).cast("int")).withColumn(
@@ -73,16 +86,15 @@ def find_items(
     )
     sketches = sets.select(
         "item_key",
-        F.explode(F.slice(F.array_sort(F.transform("grams", lambda g: F.xxhash64(g))), F.lit(1), F.col("k"))).alias("h"),
+        F.explode(F.slice(F.array_sort(F.array_distinct("hashes")), F.lit(1), F.col("k"))).alias("h"),
     ).distinct()
     rows = docs.select(
         _row_key(key, text).alias("row_key"),
         F.col(key).alias("doc_id"),
         words(ascii_lower(F.col(text))).alias("w"),
     )
-    hashed = rows.select(
-        "row_key", F.explode(F.transform(_all_grams(F.col("w"), widths), lambda g: F.xxhash64(g))).alias("h")
-    )
+    hashes = F.concat(*[_gram_hashes(F.col("h"), n) for n in widths])
+    hashed = rows.select("row_key", hashed_words.alias("h")).select("row_key", F.explode(hashes).alias("h"))
     candidates = materialize(hashed.join(sketches, "h").select("row_key", "item_key").distinct(), "leak-candidates")
     shared = F.size(F.array_intersect("grams", "doc_grams"))
     found = rows.join(candidates, "row_key").select("row_key", "doc_id", "item_key", _all_grams(F.col("w"), widths).alias("doc_grams"))
