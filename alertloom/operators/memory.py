@@ -183,6 +183,7 @@ def learn(
             F.element_at("last", -1)["ts"].alias("last_ts"),
         )
     )
+    exact = materialize(exact, "exact-paths")
     ends = F.lit(expires_at).cast("timestamp") if lives is None else F.timestamp_micros(F.unix_micros("last_ts") + int(lives.total_seconds() * 1e6))
     general = _generalized(exact).withColumns({"kind": F.lit("generalized"), "digest": F.sha2(canonical("path"), 256)})
     ident = F.when(F.col("kind") == "exact", F.concat(F.lit("exact:"), F.col("digest"))).otherwise(

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertloom.functions import text as T
-from alertloom.functions.templates import masked, masked_native
+from alertloom.functions.templates import masked, masked_native, payload_template
 from alertloom.operators import asof, classify, context, knowledge, labeling, memory, scoring, sessions
 from alertloom.plans import triage
 from alertloom.session import materialize
@@ -39,7 +39,7 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-ALERTS = """a AS (SELECT 'ev-' || lpad(event_id::VARCHAR, 12, '0') AS alert_id, ts, event_type AS alert_semantics, props,
+ALERTS = """a AS (SELECT 'ev-' || lpad(event_id::VARCHAR, 12, '0') AS alert_id, ts, event_type AS alert_semantics, props, value,
   'user-' || user_id AS source_entity, 'host-' || (regexp_extract(props, '([0-9]+)', 1)::INT % 20) AS target_entity,
   'tcp/' || (1000 + regexp_extract(props, '([0-9]+)', 1)::INT % 5) AS service FROM events)"""
 
@@ -374,11 +374,15 @@ def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"WITH {ALERTS} SELECT alert_semantics, service, min_by(alert_id, ts) AS representative, count(*) AS support, array_to_string(list(alert_id ORDER BY ts, alert_id)[1:20], ',') AS provenance FROM a GROUP BY alert_semantics, service")
+_TEMPLATE = """'{"command":"' || replace(props, '"', chr(92) || '"') || '"' || CASE WHEN value IS NULL THEN '' ELSE ',"count":"<NUMBER>"' END || '}'"""
+
+
+@query(f"WITH {ALERTS}, t AS (SELECT a.*, {_TEMPLATE} AS index_text FROM a) SELECT alert_semantics, service, index_text, min_by(alert_id, (ts, alert_id)) AS representative, count(*) AS support, array_to_string(list(alert_id ORDER BY ts, alert_id)[1:20], ',') AS provenance, "
+       "'kp-' || substr(sha256('{\"alert_semantics\":\"' || alert_semantics || '\",\"alert_source\":\"events\",\"index_text\":\"' || replace(replace(index_text, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"') || '\",\"service\":\"' || service || '\"}'), 1, 24) AS pattern_id FROM t GROUP BY alert_semantics, service, index_text")
 def knowledge_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = alerts(spark, sf_dir).withColumn("template", F.lit("fixed"))
+    rows = alerts(spark, sf_dir).withColumn("template", payload_template(F.col("attributes"), True, 3))
     return knowledge.knowledge_documents(rows).select(
-        "alert_semantics", "service", "representative", "support", F.array_join("provenance", ",").alias("provenance")
+        "alert_semantics", "service", "index_text", "representative", "support", F.array_join("provenance", ",").alias("provenance"), "pattern_id"
     )
 
 

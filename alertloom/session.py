@@ -41,11 +41,16 @@ def _tables(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/alertloom/{spark.sparkContext.applicationId}"
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own under the shared folder for what a query stores."""
+    return f"{_tables(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage with a table in the shared folder; a lost executor re-reads it, and the
     parquet statistics let the planner pick join strategies from real sizes."""
     spark = df.sparkSession
-    path = f"{_tables(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.materialized_at = path

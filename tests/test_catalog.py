@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from alertloom.plans import catalog
+from alertloom.plans import catalog, detectors, stores  # noqa: F401  the last two add their queries
 from alertloom.streaming.windows import capped_sessions, distinct_alerts, window_counts
 
 DIR = os.environ.get("ALERTLOOM_TEST_DIR", "/root/testdata/sf0.001")
