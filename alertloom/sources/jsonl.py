@@ -46,7 +46,13 @@ def parse_objects(lines: DataFrame) -> DataFrame:
     where = F.concat_ws(":", "source_file", F.col("source_line").cast("string"))
     bad = F.raise_error(F.concat(F.lit("not a JSON object at "), where)).cast("variant")
     is_object = F.coalesce(F.schema_of_variant(raw).startswith("OBJECT"), F.lit(False))
-    return rows.withColumn("raw", F.when(is_object, raw).otherwise(bad)).drop("line")
+    return once(rows.withColumn("raw", F.when(is_object, raw).otherwise(bad)).drop("line"), "raw")
+
+
+def once(rows: DataFrame, column: str) -> DataFrame:
+    """The rows with a column that is computed once a row, however often it is read: an expression that isn't deterministic is never
+    copied into its readers."""
+    return rows.withColumn(column, F.when(F.rand() >= 0, F.col(column)))
 
 
 def read_json_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -61,7 +67,7 @@ def reject_labels(records: DataFrame) -> DataFrame:
     for t in taken[1:]:
         hit = hit | t
     bad = F.raise_error(F.concat(F.lit("label fields at "), where)).cast("variant")
-    return records.withColumn("raw", F.when(hit, bad).otherwise(F.col("raw")))
+    return once(records.withColumn("raw", F.when(hit, bad).otherwise(F.col("raw"))), "raw")
 
 
 def _running(pieces: DataFrame, value: Column, name: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from alertloom.functions import markers as M
 from alertloom.functions.text import clean, contains_any, stable_id
 from alertloom.session import materialize
-from alertloom.sources.jsonl import first_value
+from alertloom.sources.jsonl import first_value, once
 
 _EVE = "/var/log/suricata/eve.json"
 _OFFSET = r"(Z|[+-]\d{2}:?\d{2})$"
@@ -216,7 +216,8 @@ def normalize_vendor(records: DataFrame, zone: str = "Asia/Shanghai", vendor: st
         response_status=_part(raw, "$.rsp_status"),
         content_type=cut("rsp_content_type", 512),
     )
-    payload = F.when(kind == "network_ids", network).otherwise(web)
+    records = once(records.withColumn("_payload", F.when(kind == "network_ids", network).otherwise(web)), "_payload")
+    payload = F.col("_payload")
     protocol, port = t("$.proto"), t("$.dport")
     attributes = _without_empty(
         rule_id=t("$.rule_id"),
