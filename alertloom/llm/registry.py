@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from alertloom.llm import chat, decontamination, html_text, line_dedup, mixing, neighbours, ngram_join, quality, sharding, toxicity
+from alertloom.llm import bpe, chat, decontamination, html_text, line_dedup, mixing, neighbours, ngram_join, quality, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op10_html_extraction": html_text.op10_html_extraction,
+        "op13_bpe": bpe.op13_bpe,
         "op1_ngram_join": ngram_join.op1_ngram_join,
         "op2_decontamination": decontamination.op2_decontamination,
         "op3_mixing": mixing.op3_mixing,
