@@ -27,10 +27,10 @@ _MASK = (1 << _BITS) - 1
 MOST_BYTES = 64 << 20
 #: Pre-tokens of up to SHORT characters are remembered, REMEMBERED of them a worker.
 SHORT = 48
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 #: So many characters are encoded together.
-_AT_ONCE = 4 << 20
-#: Rows that are decoded together.
+_AT_ONCE = 1 << 20
+#: Rows that leave Arrow together.
 _ROWS = 256
 
 
@@ -302,10 +302,13 @@ def token_ids(text: Column, vocabulary: bytes, pattern: str) -> Column:
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _encoder(vocabulary, pattern)
         for batch in batches:
-            texts = batch.cast(pa.binary() if batch.type == pa.string() else pa.large_binary()).to_pylist()
-            packed = encoder.encode([t.decode(errors="replace") if t else "" for t in texts])
-            ends = np.cumsum([0, *(len(p) // 4 for p in packed)])
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+            parts = []
+            for at in range(0, len(batch), _ROWS):
+                texts = batch.slice(at, _ROWS).cast(pa.binary() if batch.type == pa.string() else pa.large_binary()).to_pylist()
+                packed = encoder.encode([t.decode(errors="replace") if t else "" for t in texts])
+                ends = np.cumsum([0, *(len(p) // 4 for p in packed)])
+                parts.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), np.int32))))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     return encode(text)
 
