@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from alertloom.llm import bpe, chat, decontamination, html_text, line_dedup, mixing, neighbours, ngram_join, prefix_trie, quality, sharding, toxicity
+from alertloom.llm import bpe, chat, decontamination, html_text, lexical, line_dedup, mixing, neighbours, ngram_join, prefix_trie, quality, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op10_html_extraction": html_text.op10_html_extraction,
+        "op11_lexical_search": lexical.op11_lexical_search,
         "op12_prefix_trie": prefix_trie.op12_prefix_trie,
         "op13_bpe": bpe.op13_bpe,
         "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_lexical_search": lexical.ORACLE,
         "op12_prefix_trie": prefix_trie.ORACLE,
         "op1_ngram_join": ngram_join.ORACLE,
         "op2_decontamination": decontamination.ORACLE,
