@@ -67,9 +67,9 @@ class Blocks:
         sums = self.rows.filter("_block >= 0").groupBy(*self.keys, "_block").agg(*(whole(*what).alias(f"_of_{name}") for name, what in wanted.items()))
         before = Window.partitionBy(*self.keys).orderBy(turn("_block")).rowsBetween(Window.unboundedPreceding, -1)
         carried = sums.select(*self.keys, "_block", *(_HOW[how][0](F.col(f"_of_{name}")).over(before).alias(f"_of_{name}") for name, (how, _) in wanted.items()))
-        joined = told.alias("r").join(F.broadcast(carried.alias("c")), _same([*self.keys, "_block"], "r", "c"), "left")
-        merged = {name: _HOW[how][1](F.col(f"c._of_{name}"), F.col(f"r.{name}")).alias(name) for name, (how, _) in wanted.items()}
-        return replace(self, rows=joined.select(*(merged.get(c, F.col(f"r.{c}")) for c in told.columns)))
+        joined = told.alias("_scanned").join(F.broadcast(carried.alias("_carried")), _same([*self.keys, "_block"], "_scanned", "_carried"), "left")
+        merged = {name: _HOW[how][1](F.col(f"_carried._of_{name}"), F.col(f"_scanned.{name}")).alias(name) for name, (how, _) in wanted.items()}
+        return replace(self, rows=joined.select(*(merged.get(c, F.col(f"_scanned.{c}")) for c in told.columns)))
 
     def with_rows(self, rows: DataFrame) -> Blocks:
         """The same blocks with other columns."""
@@ -93,8 +93,8 @@ def in_blocks(df: DataFrame, keys: list[str], order: list[str], rows: int = BLOC
     total = busy.agg(F.sum("_n")).first()[0]
     if not total:
         return Blocks(table.withColumn("_block", F.lit(-1)), keys, order, False)
-    there = F.broadcast(busy.alias("b"))
-    rest = table.alias("t").join(there, _same(keys, "t", "b"), "left_anti").withColumn("_block", F.lit(-1))
-    many = table.alias("t").join(there, _same(keys, "t", "b"), "left_semi")
+    there = F.broadcast(busy.alias("_busy"))
+    rest = table.alias("_all").join(there, _same(keys, "_all", "_busy"), "left_anti").withColumn("_block", F.lit(-1))
+    many = table.alias("_all").join(there, _same(keys, "_all", "_busy"), "left_semi")
     cut = many.repartitionByRange(max(2, ceil(total / rows)), *keys, *order).withColumn("_block", F.spark_partition_id())
     return Blocks(rest.unionByName(materialize(cut, f"{name}-cut")), keys, order, True)

@@ -5,7 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from alertloom.operators.asof import nearest_seed
 from alertloom.operators.blocks import in_blocks
+from alertloom.operators.context import context
+from alertloom.operators.sessions import session_starts
 
 
 @pytest.mark.parametrize("rows", [7, 100_000])
@@ -47,3 +50,60 @@ def test_a_key_with_most_rows_is_dealt_over_many_tasks(spark):
 
 def test_an_empty_table(spark):
     assert in_blocks(spark.createDataFrame([], "k string, t long"), ["k"], ["t"]).number("n").result().count() == 0
+
+
+def fold(times, gap, cap):
+    start, last, out = None, None, {}
+    for t in sorted(set(times)):
+        if start is None or (gap is not None and t - last > gap) or t - start > cap:
+            start = t
+        out[t] = start
+        last = t
+    return out
+
+
+@pytest.mark.parametrize(("gap", "fold_times"), [(3, 1000), (3, 2), (None, 1000), (None, 2)])
+def test_sessions_of_a_busy_key(spark, gap, fold_times):
+    rng = random.Random(6)
+    data = [(i, rng.choice(["hot"] * 8 + ["a", None]), rng.choice([None, *range(500)])) for i in range(700)]
+    df = spark.createDataFrame(data, "alert_id long, k string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    got = {r.alert_id: r.session_start for r in session_starts(df, ["k"], "ts", "alert_id", gap, 20, fold_times, block=40).collect()}
+    starts = {k: fold([s for _, x, s in data if x == k and s is not None], gap, 20) for k in ("hot", "a", None)}
+    assert got == {i: None if s is None else starts[k][s] * 1_000_000 for i, k, s in data}
+
+
+def test_nearest_seeds_of_a_busy_key(spark):
+    rng = random.Random(7)
+    data = [(i, rng.choice(["hot"] * 8 + ["a", None]), rng.choice([None, *range(120)]), rng.choice("spn")) for i in range(500)]
+    df = spark.createDataFrame(data, "id long, k string, s long, kind string").withColumn("ts", F.timestamp_seconds("s"))
+    got = nearest_seed(df, ["k"], "ts", "id", "id", F.col("kind") == "s", F.col("kind") == "p", 2, block=25).collect()
+    want = {}
+    for i, k, s, kind in data:
+        seeds = [(t, j) for j, x, t, what in data if what == "s" and x == k and t is not None]
+        best = None
+        if kind == "p" and s is not None:
+            before = max((x for x in seeds if x[0] < s), default=None)
+            after = min((x for x in seeds if x[0] >= s), default=None)
+            best = min(((abs(x[0] - s), *x) for x in (before, after) if x), default=None)
+        want[i] = best[2] if best and best[0] <= 2 else None
+    assert {r.id: r._near for r in got} == want and len(got) == len(data)
+
+
+@pytest.mark.parametrize("direction", ["backward", "forward"])
+def test_context_of_a_busy_entity(spark, direction):
+    rng = random.Random(8)
+    data = [(f"o{i:03}", i * 7 % 400, rng.choice([["hot"], ["hot"], ["a", "b"], []]), rng.choice([["x"], ["hot", "y"], ["z"]])) for i in range(300)]
+    objects = spark.createDataFrame(data, "object_id string, s long, sources array<string>, targets array<string>")
+    objects = objects.withColumns({"start_ts": F.timestamp_seconds("s"), "end_ts": F.timestamp_seconds(F.col("s") + F.col("s") % 3)})
+    found = [{tuple(map(str, r)) for r in context(objects, objects, direction, 60, 4, block=b).collect()} for b in (20, 1_000_000)]
+    assert found[0] == found[1]
+    spans = {i: (s, s + s % 3, set(a), set(b)) for i, s, a, b in data}
+    want = 0
+    for i, (s, e, a, b) in spans.items():
+        seeds = (b or a | b) if direction == "forward" else a | b
+        near = 0
+        for j, (s2, e2, a2, b2) in spans.items():
+            d = s2 - e if direction == "forward" else s - e2
+            near += j != i and 0 < d <= 60 and bool(seeds & (a2 | b2))
+        want += min(near, 4)
+    assert len(found[0]) == want
