@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from alertloom.functions import shapes
 from alertloom.functions.templates import payload_template
 from alertloom.functions.text import uuid5
+from alertloom.operators.pattern_index import candidate_pairs
 from alertloom.session import materialize
 
 VERSION = 1
@@ -322,8 +323,8 @@ def decide(
 ) -> DataFrame:
     """object_id, decision, fingerprint_id, support, reason for each object.
 
-    Order: protected behaviour, exact path, the single most specific generalised pattern of the same source and
-    semantics, else forward with the reason why.
+    Order: protected behaviour, exact path, the single most specific generalised pattern that fits, else forward with the reason why.
+    A layer that a pattern doesn't generalise must be equal; patterns are looked up by those layers and a literal fragment of the template.
     """
     clock = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
     rows = with_path(objects)
@@ -351,17 +352,17 @@ def decide(
         & (F.col("support") >= least_general_support)
         & (F.col("distinct_exact_paths") >= least_paths)
         & rejected.isNull()
-    ).select(F.col("path").alias("pattern"), F.col("fingerprint_id").alias("general_id"), F.col("support").alias("general_support"), "constraints")
+    ).select(
+        F.col("path").alias("pattern"), F.col("fingerprint_id").alias("general_id"), F.col("support").alias("general_support"), "constraints", "generalized_fields"
+    )
     # protected behaviour and exact paths are settled; equal paths are tested once
     base = materialize(base, "decide-base")
     settled = F.coalesce(shielded, F.lit(False)) | F.coalesce(exact_ok, F.lit(False)) | F.coalesce(is_exact & F.col("rejected").isNotNull(), F.lit(False))
-    open_paths = base.filter(~settled).groupBy("digest").agg(F.first("path").alias("path"))
+    open_paths = materialize(base.filter(~settled).groupBy("digest").agg(F.first("path").alias("path")), "open-paths")
+    met = candidate_pairs(open_paths, general, LAYERS, LAYERS[-1])
     pairs = (
-        open_paths.alias("r")
-        .join(
-            general,
-            (F.col("r.path.alert_source") == F.col("pattern.alert_source")) & (F.col("r.path.alert_semantics") == F.col("pattern.alert_semantics")),
-        )
+        met.join(open_paths, "digest")
+        .join(general, "general_id")
         .filter(_fits(F.col("path"), F.col("pattern"), F.col("constraints")))
         .groupBy("digest", _specificity("pattern").alias("score"))
         .agg(F.count(F.lit(1)).alias("n"), F.min("general_id").alias("general_id"), F.min("general_support").alias("general_support"))

@@ -417,3 +417,71 @@ def graph_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     for c in counts[1:]:
         out = out.unionByName(c)
     return out
+
+
+def _shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as objects between addresses and stores, with a command that holds a number and a level."""
+    text = lambda c: F.expr(c).cast("string")
+    command = F.concat(F.lit('{"payload_fields":{"command":"run '), text("1000000 + o_orderkey"), F.lit(' fast","level":"'), F.substring("o_orderpriority", 1, 1), F.lit('"}}'))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.lit("alert").alias("object_type"),
+        F.col("o_orderkey").cast("string").alias("object_id"),
+        F.lit("orders").alias("alert_source"),
+        F.col("o_orderstatus").alias("alert_semantics"),
+        F.array(F.concat(F.lit("10."), text("o_custkey % 4"), F.lit("."), text("o_custkey % 7"), F.lit("."), text("o_custkey % 250"))).alias("sources"),
+        F.array(F.concat(F.lit("store-"), text("o_custkey % 5"))).alias("targets"),
+        F.array(F.concat(F.lit("tcp/"), text("o_orderkey % 3"))).alias("services"),
+        command.alias("attributes"),
+    )
+
+
+_SHIPMENTS = """o AS (SELECT o_orderkey::VARCHAR AS object_id, o_orderstatus AS l2, o_custkey AS c, o_orderkey % 3 AS service, left(o_orderpriority, 1)::INT AS level FROM orders)"""
+
+
+@query(f"""WITH {_SHIPMENTS},
+g AS (SELECT s_suppkey AS k, (['O', 'F', 'P'])[s_suppkey % 3 + 1] AS l2, CASE WHEN s_suppkey % 2 = 0 THEN '10.' || (s_suppkey % 4) || '.0.0/16' ELSE '10.' || (s_suppkey % 4) || '.' || (s_suppkey % 7) || '.0/24' END AS net,
+  CASE WHEN s_suppkey % 5 < 3 THEN '{{"command":"run  fast","level":"' || (s_suppkey % 5 + 1) || '"}}' ELSE '{{"command":"run  fast","level":""}}' END AS literal FROM supplier),
+m AS (SELECT o.object_id, g.k, length('orders' || g.l2 || net || 'store-0' || 'tcp/0' || literal) AS score FROM o JOIN g ON g.l2 = o.l2 AND o.c % 5 = g.k % 5 AND o.service = g.k % 3
+  AND o.c % 4 = g.k % 4 AND (g.k % 2 = 0 OR o.c % 7 = g.k % 7) AND (g.k % 5 >= 3 OR o.level = g.k % 5 + 1)),
+b AS (SELECT object_id, max(score) AS score FROM m GROUP BY object_id),
+n AS (SELECT m.object_id, count(*) AS n, min(m.k) AS k FROM m JOIN b USING (object_id, score) GROUP BY m.object_id)
+SELECT o.object_id, CASE WHEN n.n = 1 THEN 'filter' ELSE 'forward' END AS decision, CASE WHEN n.n = 1 THEN 'pattern-' || n.k END AS fingerprint_id, CASE WHEN n.n = 1 THEN n.k + 2 ELSE 0 END::BIGINT AS support,
+  CASE WHEN n.n = 1 THEN 'verified_benign_generalized_match' WHEN n.n > 1 THEN 'ambiguous_generalized_match' ELSE 'hat_path_not_found:alert_source' END AS reason
+FROM o LEFT JOIN n USING (object_id)""")
+def competing_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern for each supplier, over networks of two widths and with one or two numbers: the single most specific one decides,
+    two of equal rank none."""
+    k = F.col("s_suppkey")
+    text = lambda c: F.expr(c).cast("string")
+    wide = F.concat(F.lit("10."), text("s_suppkey % 4"), F.lit(".0.0/16"))
+    net = F.when(k % 2 == 0, wide).otherwise(F.concat(F.lit("10."), text("s_suppkey % 4"), F.lit("."), text("s_suppkey % 7"), F.lit(".0/24")))
+    level = F.when(k % 5 < 3, text("s_suppkey % 5 + 1")).otherwise("<NUMBER>")
+    rule = lambda i: F.struct(F.lit("attribute_template").alias("layer"), F.lit(i).alias("occurrence"), F.lit("<NUMBER>").alias("placeholder"), F.array(F.lit("number:digits")).alias("accepted_shapes"))
+    layers = (
+        F.lit("orders"), F.element_at(F.array(F.lit("O"), F.lit("F"), F.lit("P")), (k % 3 + 1).cast("int")), net, F.concat(F.lit("store-"), text("s_suppkey % 5")),
+        F.concat(F.lit("tcp/"), text("s_suppkey % 3")), F.concat(F.lit('{"command":"run <NUMBER> fast","level":"'), level, F.lit('"}')),
+    )
+    patterns = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
+        F.concat(F.lit("pattern-"), k.cast("string")).alias("fingerprint_id"),
+        F.struct(*[c.alias(n) for c, n in zip(layers, memory.LAYERS, strict=True)]).alias("path"),
+        F.lit("generalized").alias("kind"), (k + 2).cast("long").alias("support"), F.lit(2).alias("distinct_exact_paths"), F.lit(True).alias("active"), F.lit(True).alias("verified"),
+        F.lit(None).cast("timestamp").alias("expires_at"), F.array(F.lit("source_entity"), F.lit("attribute_template")).alias("generalized_fields"),
+        F.when(k % 5 < 3, F.array(rule(0))).otherwise(F.array(rule(0), rule(1))).alias("constraints"), F.lit("").alias("digest"),
+    )
+    return memory.decide(_shipments(spark, sf_dir), patterns)
+
+
+@query(f"""WITH {_FLOWS}, p AS (SELECT l2, l3, l4, l5, l6, count(*) AS n, length(l3 || l6) % 4 AS state FROM f GROUP BY ALL)
+SELECT f.object_id, CASE WHEN p.state > 0 AND f.k % 5 > 0 AND p.n >= 2 AND p.state > 2 THEN 'filter' ELSE 'forward' END AS decision,
+ CASE WHEN f.k % 5 = 0 THEN 'protected_high_frequency_behavior:brute_force' WHEN p.state = 0 THEN 'inactive_fingerprint' WHEN p.state = 1 THEN 'unverified_fingerprint' WHEN p.state = 2 THEN 'expired_fingerprint'
+  WHEN p.n < 2 THEN 'insufficient_support' ELSE 'verified_benign_exact_match' END AS reason
+FROM (SELECT f.*, e.k FROM f JOIN e USING (event_id)) f JOIN p ON p.l2 = f.l2 AND p.l3 = f.l3 AND p.l4 = f.l4 AND p.l5 = f.l5 AND p.l6 = f.l6""")
+def fingerprint_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known paths whose fingerprints are inactive, unverified, expired or seen too seldom, and behaviour that is never filtered."""
+    rows = _flows(spark, sf_dir)
+    k = F.regexp_extract("attributes", "job ([0-9]+)", 1).cast("int") - 1_000_000
+    rows = rows.withColumn("statistics", F.struct(F.when(k % 5 == 0, "brute_force").alias("behavior_category")))
+    known = materialize(memory.learn(rows), "fingerprints").filter("kind = 'exact'")
+    state = F.length(F.concat("path.source_entity", "path.attribute_template")) % 4
+    known = known.withColumns({"active": state != 0, "verified": state != 1, "expires_at": F.when(state == 2, F.lit("2020-01-01").cast("timestamp"))})
+    return memory.decide(rows, known, least_support=2).select("object_id", "decision", "reason")
