@@ -403,7 +403,18 @@ def signature_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query(f"""WITH RECURSIVE {ALERTS}, b AS (SELECT alert_id, ts, service, source_entity || ' ' || target_entity || ' ' || service AS template FROM a),
+t AS (SELECT service, template, min(ts) AS ts, arg_min(alert_id, (ts, alert_id)) AS ident FROM b GROUP BY ALL),
+k AS (SELECT *, regexp_extract_all(lower(template), '[a-z0-9_]+') AS w, row_number() OVER (PARTITION BY service ORDER BY ts, ident) AS k FROM t),
+n AS (SELECT service, template, ident, k, list_distinct(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || '::' || w[i + 1]))) AS s FROM k),
+r AS (SELECT service, k, [struct_pack(k := k, ident := ident, s := s)] AS leaders FROM n WHERE k = 1
+  UNION ALL SELECT n.service, n.k, CASE WHEN len(list_filter(r.leaders, lambda x: len(list_intersect(x.s, n.s)) / len(list_distinct(list_concat(x.s, n.s))) >= 0.5)) > 0 THEN r.leaders
+    ELSE list_append(r.leaders, struct_pack(k := n.k, ident := n.ident, s := n.s)) END
+  FROM r JOIN n ON n.service = r.service AND n.k = r.k + 1),
+l AS (SELECT service, unnest(arg_max(leaders, k)) AS l FROM r GROUP BY service),
+m AS (SELECT n.service, n.template, l.l.ident AS leader, l.l.k AS place, len(list_intersect(l.l.s, n.s)) / len(list_distinct(list_concat(l.l.s, n.s))) AS similarity FROM n JOIN l ON l.service = n.service AND l.l.k <= n.k),
+c AS (SELECT service, template, arg_max(leader, (similarity, -place)) AS leader, max(similarity) AS similarity FROM m GROUP BY ALL)
+SELECT alert_id, leader, similarity FROM b JOIN c USING (service, template)""")
 def leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = alerts(spark, sf_dir).withColumn("template", F.concat_ws(" ", "source_entity", "target_entity", "service"))
     return knowledge.leader_clusters(rows, ["service"], ["ts"], "alert_id", "template", 0.5).select("alert_id", "leader", "similarity")
