@@ -6,6 +6,7 @@ import hashlib
 import ipaddress
 import json
 import unicodedata
+from dataclasses import dataclass
 from datetime import datetime, timedelta
 
 import pandas as pd
@@ -133,90 +134,173 @@ def match_tree(paths: DataFrame, tree: DataFrame, ident: str, layers: tuple[str,
     return hits.withColumn("missing_layer", F.try_element_at(names, F.col("matched_depth") + 1))
 
 
-def learn(
-    objects: DataFrame,
-    v4: int = 24,
-    v6: int = 64,
-    provenance_limit: int = 1000,
-    expires_at: datetime | None = None,
-    lives: timedelta | None = None,
-) -> DataFrame:
-    """fingerprints: one exact row for each distinct path, and one generalised row for each group of paths
-    whose differences the masked path explains.
+@dataclass(frozen=True)
+class Memory:
+    """What is learnt, as tables that can be merged.
+
+    exact: a row for each distinct path and key with support, the last ids that came with their times, and flags;
+    groups: what stands at each place of a key's layers, as counts, least and greatest content (see shapes.Group), for keys with several paths;
+    general: the pattern of each such key that has one."""
+
+    exact: DataFrame
+    groups: DataFrame
+    general: DataFrame
+    provenance_limit: int
+
+    def tables(self) -> dict[str, DataFrame]:
+        return {"exact": self.exact, "groups": self.groups, "general": self.general}
+
+
+def remember(objects: DataFrame, v4: int = 24, v6: int = 64, provenance_limit: int = 1000) -> Memory:
+    """The memory of a batch of objects.
 
     Paths are grouped before anything is inferred, so the inference sees each distinct path once. Provenance is the
-    ids that came last; each of 64 salts of a path offers its last ones, so none gathers all. Fingerprints expire at a time
-    (expires_at) or a span after their last alert (lives).
-    """
+    ids that came last; each of 64 salts of a path offers its last ones, so none gathers all."""
     both = with_path(with_path(objects, "path"), "wide", True, v4, v6)
     wide = F.struct(
         F.col("path.alert_source").alias("alert_source"),
         F.col("path.alert_semantics").alias("alert_semantics"),
         *[F.col(f"wide.{n}").alias(n) for n in LAYERS[2:]],
     )
-    if lives is not None and "start_ts" not in objects.columns:
-        raise ValueError("a span of life needs start_ts")
-    came = F.col("start_ts") if "start_ts" in objects.columns else F.lit(None).cast("timestamp")
+    came = F.col("start_ts") if "start_ts" in objects.columns else F.lit(None)
     keyed = both.withColumn("wide", wide).select(
         F.sha2(canonical("path"), 256).alias("digest"),
         F.sha2(canonical("wide"), 256).alias("generalization_key"),
         "path",
         "wide",
-        F.struct(came.alias("ts"), F.col("object_id").alias("id")).alias("of"),
+        F.struct(came.cast("timestamp").alias("ts"), F.col("object_id").alias("id")).alias("of"),
     )
     salted = Window.partitionBy("digest", "generalization_key", F.pmod(F.xxhash64("of"), F.lit(64))).orderBy(F.desc("of"))
-    last = F.array_sort(F.collect_list(F.when(F.col("_k") <= provenance_limit, F.col("of"))))
+    last = F.collect_list(F.when(F.col("_k") <= provenance_limit, F.col("of")))
     exact = (
         keyed.withColumn("_k", F.row_number().over(salted))
         .groupBy("digest", "generalization_key")
-        .agg(F.first("path").alias("path"), F.first("wide").alias("wide"), F.count(F.lit(1)).alias("support"), last.alias("last"))
-        .select(
-            "digest",
-            "path",
-            F.lit("exact").alias("kind"),
-            "support",
-            "generalization_key",
-            "wide",
-            F.transform(F.slice("last", F.greatest(F.size("last") - provenance_limit + 1, F.lit(1)), provenance_limit), lambda x: x["id"]).alias(
-                "provenance"
-            ),
-            (F.col("support") > provenance_limit).alias("provenance_truncated"),
-            F.element_at("last", -1)["ts"].alias("last_ts"),
-        )
+        .agg(F.first("path").alias("path"), F.first("wide").alias("wide"), F.count(F.lit(1)).alias("support"), _last(last, provenance_limit).alias("last"))
+        .withColumns({"verified": F.lit(True), "active": F.lit(True)})
     )
     exact = materialize(exact, "exact-paths")
+    keys = _keys(exact)
+    several = keys.filter("distinct_exact_paths > 1").select("generalization_key")
+    groups = materialize(_groups(_values(exact.join(several, "generalization_key", "left_semi"))), "memory-groups")
+    return Memory(exact, groups, materialize(_generalized(groups, keys), "memory-general"), provenance_limit)
+
+
+def merge(old: Memory, new: Memory) -> Memory:
+    """The memory of both batches, the same as if they had been learnt at once.
+
+    Only keys that the new batch touches are looked at again, and of those only values that the old one hasn't seen: their groups are
+    added to the old ones. Supports add up, the last ids stay by time, and what was made inactive or unverified stays so."""
+    if old.provenance_limit != new.provenance_limit:
+        raise ValueError("memories of different provenance limits")
+    path = ["digest", "generalization_key"]
+    exact = (
+        old.exact.unionByName(new.exact)
+        .groupBy(*path)
+        .agg(
+            F.first("path").alias("path"), F.first("wide").alias("wide"), F.sum("support").alias("support"), _last(F.flatten(F.collect_list("last")), old.provenance_limit).alias("last"),
+            F.bool_and("verified").alias("verified"), F.bool_and("active").alias("active"),
+        )
+    )
+    exact = materialize(exact, "exact-paths")
+    touched = materialize(new.exact.select("generalization_key").distinct(), "touched-keys")
+    among = lambda df, keys, how="left_semi": df.join(keys, "generalization_key", how)
+    keys = materialize(_keys(among(exact, touched)), "memory-keys")
+    # a key that had one path so far has no groups yet: all its values are new
+    counted = old.groups.select("generalization_key").distinct()
+    seen = _values(among(among(old.exact, touched), counted)).select("generalization_key", "layer", "value")
+    several = keys.filter("distinct_exact_paths > 1").select("generalization_key")
+    fresh = _values(among(exact, several)).join(seen, ["generalization_key", "layer", "value"], "left_anti")
+    own = ["generalization_key", "layer", "candidate", "form", "path", "slot"]
+    added = among(old.groups, touched).unionByName(_groups(fresh)).groupBy(*own).agg(
+        F.sum("n").cast("int").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.bool_and("fits").alias("fits"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("shapes")))).alias("shapes"),
+    )
+    groups = materialize(among(old.groups, touched, "left_anti").unionByName(added), "memory-groups")
+    general = _generalized(among(groups, touched), keys).drop("verified", "active")
+    flags = old.general.select("generalization_key", "verified", "active")
+    general = general.join(flags, "generalization_key", "left").withColumns({c: F.coalesce(c, F.lit(True)) for c in ("verified", "active")})
+    kept = among(old.general, touched, "left_anti")
+    return Memory(exact, groups, materialize(kept.unionByName(general), "memory-general"), old.provenance_limit)
+
+
+def _last(of: Column, most: int) -> Column:
+    """The last `most` of the ids with their times, in order."""
+    ordered = F.array_sort(of)
+    return F.slice(ordered, F.greatest(F.size(ordered) - most + 1, F.lit(1)), most)
+
+
+def learn(
+    objects: DataFrame,
+    v4: int = 24,
+    v6: int = 64,
+    provenance_limit: int = 1000,
+    expires_at: datetime | None = None,
+    lives: timedelta | None = None,
+) -> DataFrame:
+    """fingerprints: one exact row for each distinct path, and one generalised row for each group of paths
+    whose differences the masked path explains. Fingerprints expire at a time (expires_at) or a span after their last alert (lives)."""
+    if lives is not None and "start_ts" not in objects.columns:
+        raise ValueError("a span of life needs start_ts")
+    return fingerprints(remember(objects, v4, v6, provenance_limit), expires_at, lives)
+
+
+def fingerprints(memory: Memory, expires_at: datetime | None = None, lives: timedelta | None = None) -> DataFrame:
+    """The fingerprints of a memory: what decisions are made from."""
     ends = F.lit(expires_at).cast("timestamp") if lives is None else F.timestamp_micros(F.unix_micros("last_ts") + int(lives.total_seconds() * 1e6))
-    general = _generalized(exact).withColumns({"kind": F.lit("generalized"), "digest": F.sha2(canonical("path"), 256)})
+    exact = memory.exact.select(
+        "digest", "path", F.lit("exact").alias("kind"), "support", "generalization_key", F.transform("last", lambda x: x["id"]).alias("provenance"),
+        (F.col("support") > memory.provenance_limit).alias("provenance_truncated"), F.element_at("last", -1)["ts"].alias("last_ts"), F.lit(1).alias("distinct_exact_paths"),
+        F.array().cast("array<string>").alias("generalized_fields"), F.array().cast(_RULE).alias("constraints"), "verified", "active",
+    )
+    general = memory.general.withColumns({"kind": F.lit("generalized"), "digest": F.sha2(canonical("path"), 256)})
     ident = F.when(F.col("kind") == "exact", F.concat(F.lit("exact:"), F.col("digest"))).otherwise(
         F.concat(F.lit("generalized:"), F.col("generalization_key"))
     )
-    return (
-        exact.drop("wide")
-        .withColumns({"distinct_exact_paths": F.lit(1), "generalized_fields": F.array().cast("array<string>"), "constraints": F.array().cast(_RULE)})
-        .unionByName(general, allowMissingColumns=True)
-        .withColumns(
-            {
-                "fingerprint_id": uuid5(ident),
-                "verified": F.lit(True),
-                "active": F.lit(True),
-                "expires_at": ends,
-            }
-        )
-        .drop("last_ts")
+    both = exact.unionByName(general, allowMissingColumns=True)
+    return both.withColumns({"fingerprint_id": uuid5(ident), "expires_at": ends}).drop("last_ts")
+
+
+def _keys(exact: DataFrame) -> DataFrame:
+    return exact.groupBy("generalization_key").agg(
+        F.sum("support").alias("support"),
+        F.count(F.lit(1)).cast("int").alias("distinct_exact_paths"),
+        F.max(F.element_at("last", -1)["ts"]).alias("last_ts"),
     )
 
 
-def _generalized(exact: DataFrame) -> DataFrame:
-    """generalization_key, path, support, distinct_exact_paths, generalized_fields, constraints: the patterns of keys with
-    several paths, where every layer is the same or its differences stand under placeholders.
+def _values(exact: DataFrame) -> DataFrame:
+    """generalization_key, layer, value, candidate: the distinct values of each layer of a key and its masked form."""
+    layers = F.array(*[F.struct(F.lit(n).alias("layer"), F.col(f"path.{n}").alias("value"), F.col(f"wide.{n}").alias("candidate")) for n in LAYERS])
+    return exact.select("generalization_key", F.inline(layers)).groupBy("generalization_key", "layer", "value").agg(F.first("candidate").alias("candidate"))
+
 
-    Values are flattened to places and captured texts, which are grouped as rows: a key with very many paths is combined before the
-    shuffle. Only the groups of one layer, as many as one of its values has places, meet in a row."""
+def _groups(values: DataFrame) -> DataFrame:
+    """What stands at each place of the values of a key's layer. Values are flattened to places and captured texts, which are grouped as rows: a key
+    with very many paths is combined before the shuffle. A row of form `all` counts the values."""
 
     @F.udf("array<struct<form:string,path:string,slot:int,kind:string,text:string,fits:boolean,shape:string>>", useArrow=True)
     def observed(layer: str, candidate: str, value: str) -> list:
-        return [tuple(x) for x in shapes.observed(layer, candidate, value)]
+        return [tuple(x) for x in shapes.observed(layer, candidate, value)] + [("all", "", -1, "", "", True, "")]
 
+    content = F.struct("kind", "text")
+    return (
+        values.select("generalization_key", "layer", "candidate", F.inline(observed("layer", "candidate", "value")))
+        .groupBy("generalization_key", "layer", "candidate", "form", "path", "slot")
+        .agg(
+            F.count(F.lit(1)).cast("int").alias("n"),
+            F.min(content).alias("low"),
+            F.max(content).alias("high"),
+            F.bool_and("fits").alias("fits"),
+            F.array_sort(F.collect_set("shape")).alias("shapes"),
+        )
+    )
+
+
+def _generalized(groups: DataFrame, keys: DataFrame) -> DataFrame:
+    """generalization_key, path, support, distinct_exact_paths, last_ts, generalized_fields, constraints and flags: the patterns of keys with
+    several paths, where every layer is the same or its differences stand under placeholders.
+
+    Only the groups of one layer, as many as one of its values has places, meet in a row."""
     learnt_type = "struct<text:string,generalized:boolean,rules:array<struct<placeholder:string,accepted_shapes:array<string>>>>"
 
     @F.udf(learnt_type, useArrow=True)
@@ -225,40 +309,12 @@ def _generalized(exact: DataFrame) -> DataFrame:
         found = shapes.assembled(layer, candidate, n, own)
         return found and (found[0], found[2], found[1])
 
-    keys = exact.groupBy("generalization_key").agg(
-        F.sum("support").alias("support"),
-        F.count(F.lit(1)).cast("int").alias("distinct_exact_paths"),
-        F.first("wide").alias("wide"),
-        F.max("last_ts").alias("last_ts"),
-    )
-    keys = keys.filter("distinct_exact_paths > 1")
-    layers = F.array(*[F.struct(F.lit(n).alias("layer"), F.col(f"path.{n}").alias("value")) for n in LAYERS])
-    values = (
-        exact.join(keys.select("generalization_key"), "generalization_key", "left_semi")
-        .select("generalization_key", "wide", F.inline(layers))
-        .withColumn("candidate", F.coalesce(*[F.when(F.col("layer") == n, F.col(f"wide.{n}")) for n in LAYERS]))
-        .groupBy("generalization_key", "layer", "value")
-        .agg(F.first("candidate").alias("candidate"))
-    )
     own = ["generalization_key", "layer"]
-    values = materialize(values, "memory-values")
-    sizes = values.groupBy(*own).agg(F.count(F.lit(1)).cast("int").alias("values"), F.first("candidate").alias("candidate"))
-    content = F.struct("kind", "text")
-    groups = (
-        values.select(*own, F.inline(observed("layer", "candidate", "value")))
-        .groupBy(*own, "form", "path", "slot")
-        .agg(
-            F.count(F.lit(1)).cast("int").alias("n"),
-            F.min(content).alias("low"),
-            F.max(content).alias("high"),
-            F.bool_and("fits").alias("fits"),
-            F.collect_set("shape").alias("shapes"),
-        )
-    )
-    groups = materialize(groups.join(sizes, own), "memory-groups")
-    broken = groups.filter("slot < 0 AND n < values").select(*own, "form").distinct()
+    sizes = groups.filter("form = 'all'").select(*own, F.col("n").alias("values"))
+    sized = groups.filter("form <> 'all'").join(sizes, own)
+    broken = sized.filter("slot < 0 AND n < values").select(*own, "form").distinct()
     learnt = (
-        groups.join(broken, [*own, "form"], "left_anti")
+        sized.join(broken, [*own, "form"], "left_anti")
         .groupBy(*own, "candidate", "values")
         .agg(F.collect_list(F.struct("form", "path", "slot", "n", "low", "high", "fits", "shapes")).alias("groups"))
         .select(*own, assembled("layer", "candidate", "values", "groups").alias("learnt"))
@@ -289,6 +345,8 @@ def _generalized(exact: DataFrame) -> DataFrame:
             "last_ts",
             fields.alias("generalized_fields"),
             constraints.cast(_RULE).alias("constraints"),
+            F.lit(True).alias("verified"),
+            F.lit(True).alias("active"),
         )
         .filter(F.size("generalized_fields") > 0)
     )

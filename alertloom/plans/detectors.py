@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertloom.operators import classify, knowledge, memory, scoring, sessions
-from alertloom.plans.catalog import CAP, GAP, query
+from alertloom.plans.catalog import CAP, GAP, ORACLES, query
 from alertloom.session import materialize
 from alertloom.sources import jsonl, normalize
 
@@ -331,7 +331,11 @@ SELECT l2 AS semantics, CASE WHEN n3 > 1 THEN net ELSE l3 END AS source, l4 AS t
 FROM g WHERE paths > 1""")
 def generalized_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What paths of one masked form have in common: subnets and typed placeholders, with their rules."""
-    found = memory.learn(_flows(spark, sf_dir)).filter("kind = 'generalized'")
+    return _told_patterns(memory.learn(_flows(spark, sf_dir)))
+
+
+def _told_patterns(fingerprints: DataFrame) -> DataFrame:
+    found = fingerprints.filter("kind = 'generalized'")
     rule = F.transform("constraints", lambda c: F.concat_ws(":", c["layer"], c["occurrence"].cast("string"), c["placeholder"], F.array_join(c["accepted_shapes"], "|")))
     return found.select(
         F.col("path.alert_semantics").alias("semantics"), F.col("path.source_entity").alias("source"), F.col("path.target_entity").alias("target"),
@@ -485,3 +489,25 @@ def fingerprint_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = F.length(F.concat("path.source_entity", "path.attribute_template")) % 4
     known = known.withColumns({"active": state != 0, "verified": state != 1, "expires_at": F.when(state == 2, F.lit("2020-01-01").cast("timestamp"))})
     return memory.decide(rows, known, least_support=2).select("object_id", "decision", "reason")
+
+
+def _merged(spark: SparkSession, sf_dir: str, provenance_limit: int = 1000) -> memory.Memory:
+    """Three memories of parts of the flows, merged one by one: the first days, later days, and what is left of all days."""
+    rows = _flows(spark, sf_dir)
+    part = F.when(F.xxhash64("object_id") % 5 == 0, 2).otherwise((F.dayofmonth("start_ts") > _KNOWN_DAYS).cast("int"))
+    known = [memory.remember(rows.filter(part == k), provenance_limit=provenance_limit) for k in range(3)]
+    return memory.merge(memory.merge(known[0], known[1]), known[2])
+
+
+@query(ORACLES["generalized_patterns"])
+def merged_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns of memories that were learnt apart and merged."""
+    return _told_patterns(memory.fingerprints(_merged(spark, sf_dir)))
+
+
+@query(f"""WITH {_FLOWS}, p AS (SELECT l1, l2, l3, l4, l5, l6, count(*) AS support, list(object_id ORDER BY ts, object_id) AS ids FROM f GROUP BY ALL)
+SELECT {_DIGEST} AS digest, support, array_to_string(ids[-2:], ',') AS provenance, support > 2 AS truncated FROM p""")
+def merged_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact fingerprints of merged memories: supports add up and the last ids stay."""
+    found = memory.fingerprints(_merged(spark, sf_dir, 2)).filter("kind = 'exact'")
+    return found.select("digest", "support", F.array_join("provenance", ",").alias("provenance"), F.col("provenance_truncated").alias("truncated"))
