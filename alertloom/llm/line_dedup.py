@@ -11,7 +11,7 @@ first position alone does not show how far the later ones agree with each other.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from alertloom.llm.common import unused, words
@@ -22,12 +22,10 @@ LEAST_WORDS = 50
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, text_hash, pos: every line that stands in a later repeated run (pos from 0)."""
+    # hashed and split in front of the explosion, so that no line carries its text
     lines = (
-        docs.select(
-            F.col(key).alias("doc_id"),
-            F.xxhash64(F.col(text)).alias("text_hash"),
-            F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"),
-        )
+        docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.split(F.col(text), "\n").alias("lines"))
+        .select("doc_id", "text_hash", F.posexplode("lines").alias("pos", "line"))
         .select(
             "doc_id", "text_hash", "pos", F.xxhash64(F.trim("line")).alias("h"), F.size(words(F.col("line"))).alias("words")
         )
@@ -73,7 +71,7 @@ def drop_repeated_lines(
     The first occurrence of a run, by key, then text hash, then line, stays. Blank lines and lines
     outside such runs stay as they are. Null texts stay null; empty texts stay empty; null keys come first;
     repeated rows (same key and text) are one document and stay alike; empty tables give no rows;
-    n_lines_removed replaces a column of that name.
+    n_lines_removed replaces a column of that name. The lines of one text are counted in one task, without the text.
     """
     k, h, marked = unused(docs, "_k", "_h", "_gone")
     gone = (
@@ -82,7 +80,13 @@ def drop_repeated_lines(
         .agg(F.collect_set("pos").alias(marked))
         .select(F.col("doc_id").alias(k), F.col("text_hash").alias(h), marked)
     )
-    kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(marked, i)), "\n")
+
+    def kept_of(lines: Column) -> Column:
+        index = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(marked))
+        return F.array_join(F.transform(index, lambda i: lines[i]), "\n")
+
+    # the lines are split once, as what a function is applied to
+    kept = F.element_at(F.transform(F.array(F.split(F.col(text), "\n")), kept_of), 1)
     joined = docs.drop("n_lines_removed").join(gone, F.col(key).eqNullSafe(F.col(k)) & (F.xxhash64(F.col(text)) == F.col(h)), "left")
     return joined.withColumns(
         {

@@ -390,3 +390,13 @@ def test_extract_text_keeps_rows(spark):
     got = extract_text(pages).collect()
     assert sorted((r.page_id or 0, r.n_chars) for r in got) == [(0, 0), (1, len(main_text(PAGE)))]
     assert extract_text(pages.limit(0)).count() == 0
+
+
+def test_no_line_of_a_very_long_text_carries_its_text(spark):
+    line = "array_join(transform(sequence(1, 55), j -> concat('w', (i * 7 + j * j) % 9973)), ' ')"
+    long = spark.range(2).selectExpr("id AS doc_id", f"array_join(transform(sequence(1, 10000), i -> {line}), '\n') AS text")
+    got = drop_repeated_lines(long)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not [p for p in plan.split("\n") if "Generate" in p and "text#" in p]
+    rows = {r.doc_id: (r.n_lines_removed, len(r.text.split("\n"))) for r in got.select("doc_id", "n_lines_removed", "text").collect()}
+    assert rows[1] == (10000, 1) and rows[0][0] == 10000 - 9973
