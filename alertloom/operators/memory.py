@@ -6,6 +6,7 @@ import hashlib
 import ipaddress
 import json
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
@@ -18,6 +19,7 @@ from alertloom.functions.templates import payload_template
 from alertloom.functions.text import uuid5
 from alertloom.operators.pattern_index import candidate_pairs
 from alertloom.session import materialize
+from alertloom.sources.versions import current, publish
 
 VERSION = 1
 LAYERS = ("alert_source", "alert_semantics", "source_entity", "target_entity", "service_information", "attribute_template")
@@ -487,22 +489,41 @@ def validate_memory(fingerprints: DataFrame) -> None:
 
 
 def save_memory(fingerprints: DataFrame, path: str, overwrite: bool = False, settings: dict | None = None) -> None:
-    """Stores valid fingerprints and the signature of their settings; refuses to replace a store unless told to."""
-    validate_memory(fingerprints)
-    mode = "overwrite" if overwrite else "errorifexists"
-    fingerprints.write.mode(mode).parquet(f"{path}/fingerprints")
-    spark = fingerprints.sparkSession
-    spark.createDataFrame([(VERSION, signature(settings or {}))], "version int, signature string").coalesce(1).write.mode(mode).parquet(f"{path}/about")
+    """Stores valid fingerprints and the signature of their settings as a whole; refuses to replace a store unless told to. What was stored before
+    stays current until the new store is whole and valid, so fingerprints may be read from the store that they replace."""
+    about = fingerprints.sparkSession.createDataFrame([(VERSION, signature(settings or {}))], "version int, signature string").coalesce(1)
+    publish({"fingerprints": fingerprints, "about": about}, path, overwrite, lambda stored: validate_memory(stored["fingerprints"]))
 
 
 def load_memory(spark: SparkSession, path: str, settings: dict | None = None) -> DataFrame:
     """The stored fingerprints. Another version, other settings than the store was learnt with (where they are given) or a store that isn't valid
     raises ValueError."""
-    about = spark.read.parquet(f"{path}/about").first()
+    return _checked(spark, path, settings, "fingerprints", validate_memory)
+
+
+def _checked(spark: SparkSession, path: str, settings: dict | None, table: str, check: Callable[[DataFrame], None]) -> DataFrame:
+    folder = current(spark, path)
+    about = spark.read.parquet(f"{folder}/about").first()
     if about["version"] != VERSION:
         raise ValueError(f"memory of version {about['version']}, not {VERSION}")
     if settings is not None and about["signature"] != signature(settings):
         raise ValueError("memory was learnt under other settings")
-    stored = spark.read.parquet(f"{path}/fingerprints")
-    validate_memory(stored)
+    stored = spark.read.parquet(f"{folder}/{table}")
+    check(stored)
     return stored
+
+
+def save_state(memory: Memory, path: str, overwrite: bool = False, settings: dict | None = None) -> None:
+    """Stores a memory so that later batches can be merged into it. It may be the merge of the state that it replaces."""
+    about = memory.exact.sparkSession.createDataFrame([(VERSION, signature(settings or {}), memory.provenance_limit)], "version int, signature string, provenance_limit int")
+    publish(memory.tables() | {"about": about.coalesce(1)}, path, overwrite)
+
+
+def load_state(spark: SparkSession, path: str, settings: dict | None = None) -> Memory:
+    """A stored memory; another version or other settings raise ValueError, as do fingerprints that aren't valid."""
+    exact = _checked(spark, path, settings, "exact", lambda _: None)
+    folder = current(spark, path)
+    limit = spark.read.parquet(f"{folder}/about").first()["provenance_limit"]
+    found = Memory(exact, spark.read.parquet(f"{folder}/groups"), spark.read.parquet(f"{folder}/general"), limit)
+    validate_memory(fingerprints(found))
+    return found

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from alertloom.functions.text import stable_id
 from alertloom.operators.memory import signature
+from alertloom.session import materialize
+from alertloom.sources.versions import current, publish
 
 VERSION = 1
 
@@ -118,20 +120,21 @@ def corpus_signature(documents: DataFrame) -> str:
     return hashlib.sha256(f"{row[0]}:{row[1]}".encode()).hexdigest()
 
 
-def save_knowledge(documents: DataFrame, path: str, settings: dict | None = None) -> None:
-    """Stores documents with their vectors and the signatures of their settings and of themselves; refuses to replace a store."""
-    documents.write.mode("errorifexists").parquet(f"{path}/documents")
-    spark = documents.sparkSession
-    stored = spark.read.parquet(f"{path}/documents")
-    about = [(VERSION, signature(settings or {}), corpus_signature(stored))]
-    spark.createDataFrame(about, "version int, settings string, corpus string").coalesce(1).write.mode("errorifexists").parquet(f"{path}/about")
+def save_knowledge(documents: DataFrame, path: str, settings: dict | None = None, overwrite: bool = False) -> None:
+    """Stores documents with their vectors and the signatures of their settings and of themselves, as a whole; refuses to replace a store
+    unless told to."""
+    documents = materialize(documents, "knowledge")
+    about = [(VERSION, signature(settings or {}), corpus_signature(documents))]
+    about = documents.sparkSession.createDataFrame(about, "version int, settings string, corpus string").coalesce(1)
+    publish({"documents": documents, "about": about}, path, overwrite)
 
 
 def load_knowledge(spark: SparkSession, path: str, dims: int | None = None, settings: dict | None = None) -> DataFrame:
     """Stored documents. Another version, other settings (where they are given) or other documents than were stored raise ValueError; a vector that
     is null, of another size or not of length one ends the job."""
-    about = spark.read.parquet(f"{path}/about").first()
-    stored = spark.read.parquet(f"{path}/documents")
+    folder = current(spark, path)
+    about = spark.read.parquet(f"{folder}/about").first()
+    stored = spark.read.parquet(f"{folder}/documents")
     if about["version"] != VERSION:
         raise ValueError(f"knowledge of version {about['version']}, not {VERSION}")
     if settings is not None and about["settings"] != signature(settings):

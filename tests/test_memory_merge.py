@@ -4,9 +4,11 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from alertloom.operators import memory
+from alertloom.sources import versions
 
 SCHEMA = "object_type string, object_id string, start_ts timestamp, alert_source string, alert_semantics string, sources array<string>, targets array<string>, services array<string>, attributes string"
 
@@ -54,3 +56,36 @@ def test_flags_stay_and_limits_must_agree(spark):
 def test_an_empty_batch_changes_nothing(spark):
     known = memory.remember(objects(spark, 2, 30, 0))
     assert told(memory.merge(known, memory.remember(objects(spark, 2, 1, 0).limit(0)))) == told(known)
+
+
+def test_a_state_is_replaced_by_its_own_merge(spark, tmp_path):
+    where, parts = str(tmp_path / "m"), [objects(spark, k, 30, 1000 * k) for k in range(4)]
+    memory.save_state(memory.remember(parts[0]), where, settings={"v4": 24})
+    with pytest.raises(ValueError):
+        memory.save_state(memory.remember(parts[1]), where)
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+        memory.save_state(memory.merge(memory.load_state(spark, where, {"v4": 24}), memory.remember(part)), where, True, {"v4": 24})
+    assert told(memory.load_state(spark, where, {"v4": 24})) == told(memory.remember(whole))
+    assert len([f for f in (tmp_path / "m").iterdir() if f.name != "versions"]) == 2  # the current one and the one before
+    with pytest.raises(ValueError):
+        memory.load_state(spark, where, {"v4": 16})
+    with pytest.raises(ValueError):
+        memory.load_state(spark, str(tmp_path / "none"))
+
+
+def test_a_failed_writer_leaves_the_store(spark, tmp_path):
+    where = str(tmp_path / "s")
+    versions.publish({"a": spark.range(3), "b": spark.range(2)}, where)
+    bad = spark.range(5).select(F.when(F.col("id") == 4, F.raise_error(F.lit("no"))).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(PySparkException):
+        versions.publish({"a": spark.range(9), "b": bad}, where, replace=True)
+
+    def check(tables):
+        raise ValueError("not valid")
+
+    with pytest.raises(ValueError, match="not valid"):
+        versions.publish({"a": spark.range(9)}, where, replace=True, check=check)
+    assert [versions.read_table(spark, where, t).count() for t in "ab"] == [3, 2]
+    assert len(list((tmp_path / "s").iterdir())) == 2

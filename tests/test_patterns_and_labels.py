@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from alertloom.operators import knowledge, patterns
 from alertloom.plans.labels import COLUMNS, label_scenario, write_labelled
+from alertloom.sources.versions import current
 
 
 def clusters(spark):
@@ -44,7 +45,7 @@ def test_patterns_are_generated_cached_and_stored(spark, tmp_path):
         patterns.save_knowledge(docs, str(tmp_path / "kb"))
     with pytest.raises(ValueError, match="other settings"):
         patterns.load_knowledge(spark, str(tmp_path / "kb"), 8, {"dims": 8})
-    docs.limit(1).write.mode("append").parquet(str(tmp_path / "kb" / "documents"))
+    docs.limit(1).write.mode("append").parquet(current(spark, str(tmp_path / "kb")) + "/documents")
     with pytest.raises(ValueError, match="differ from their signature"):
         patterns.load_knowledge(spark, str(tmp_path / "kb"), 8)
     assert patterns.same_ids(found, found, "cluster_id") and not patterns.same_ids(found, left, "cluster_id")
