@@ -511,3 +511,37 @@ def merged_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact fingerprints of merged memories: supports add up and the last ids stay."""
     found = memory.fingerprints(_merged(spark, sf_dir, 2)).filter("kind = 'exact'")
     return found.select("digest", "support", F.array_join("provenance", ",").alias("provenance"), F.col("provenance_truncated").alias("truncated"))
+
+
+_TUNNELS = f"""WITH RECURSIVE {_EVENTS}, d AS (SELECT 'user-' || user_id % 10 AS s, epoch_us(ts) AS t, k % 3 = 0 AS enc, CASE WHEN k % 3 = 0 THEN k % 2 ELSE k % 4 END AS d,
+  row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts, event_id) AS n FROM e),
+r AS (SELECT s, n, t, enc, d, CASE WHEN enc AND d = 0 THEN t END AS f0, CASE WHEN enc AND d = 0 THEN t END AS l0, CASE WHEN enc AND d = 1 THEN t END AS f1, CASE WHEN enc AND d = 1 THEN t END AS l1, enc AS joined FROM d WHERE n = 1
+  UNION ALL SELECT x.s, x.n, x.t, x.enc, x.d,
+    CASE WHEN x.d = 0 AND x.enc AND NOT x.go THEN x.t ELSE x.f0 END, CASE WHEN x.d = 0 AND (x.enc OR x.go) THEN x.t ELSE x.l0 END,
+    CASE WHEN x.d = 1 AND x.enc AND NOT x.go THEN x.t ELSE x.f1 END, CASE WHEN x.d = 1 AND (x.enc OR x.go) THEN x.t ELSE x.l1 END, x.enc OR x.go
+  FROM (SELECT d.s, d.n, d.t, d.enc, d.d, r.f0, r.l0, r.f1, r.l1, coalesce(CASE d.d WHEN 0 THEN d.t - r.l0 <= {GAP}000000 AND d.t - r.f0 <= {CAP}000000
+    WHEN 1 THEN d.t - r.l1 <= {GAP}000000 AND d.t - r.f1 <= {CAP}000000 END, false) AS go FROM r JOIN d ON d.s = r.s AND d.n = r.n + 1) x)
+SELECT s AS source, 'encoded_subdomain:evil' || d || '.com' AS family, CASE d WHEN 0 THEN f0 ELSE f1 END AS start_us, max(t) AS end_us, count(*)::INTEGER AS members FROM r WHERE joined GROUP BY s, d, 3 HAVING count(*) > 1"""
+
+
+@query(_TUNNELS)
+def tunnel_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of encoded DNS names and of the plain names of the same domain that continue them."""
+    text = lambda c: c.cast("string")
+    k = F.col("k")
+    name = F.when(k % 3 == 0, F.concat(F.lit("12x3-.4-.data.evil"), text(k % 2), F.lit(".com"))).otherwise(F.concat(F.lit("x.evil"), text(k % 4), F.lit(".com")))
+    rows = _events(spark, sf_dir).select(
+        F.concat(F.lit("ev-"), F.lpad(text(F.col("event_id")), 12, "0")).alias("alert_id"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.lit("events").alias("alert_source"),
+        F.lit("odd dns").alias("alert_semantics"),
+        F.concat(F.lit("user-"), text(F.col("user_id") % 10)).alias("source_entity"),
+        F.lit("resolver").alias("target_entity"),
+        F.lit("dns/53").alias("service"),
+        F.concat(F.lit('{"payload_fields":{"dns":{"rrname":"'), name, F.lit('"}},"protocol":"dns"}')).alias("attributes"),
+    )
+    metas = sessions.aggregate_sessions(rows, GAP, CAP).filter("object_type = 'meta_alert'")
+    return metas.select(
+        F.element_at("sources", 1).alias("source"), F.col("statistics.behavior_family").alias("family"), F.unix_micros("start_ts").alias("start_us"),
+        F.unix_micros("end_ts").alias("end_us"), F.col("statistics.member_count").alias("members"),
+    )

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from alertloom.operators import sessions
 from alertloom.operators.asof import nearest_seed
 from alertloom.operators.blocks import in_blocks
 from alertloom.operators.context import context
@@ -107,3 +108,27 @@ def test_context_of_a_busy_entity(spark, direction):
             near += j != i and 0 < d <= 60 and bool(seeds & (a2 | b2))
         want += min(near, 4)
     assert len(found[0]) == want
+
+
+def test_tunnels_of_a_busy_key(spark):
+    rng = random.Random(9)
+    data = [(f"a{i:04}", rng.choice(["hot"] * 6 + ["b"]), rng.randrange(4000), rng.choice(["12x3-.4-.data.e0.com", "12x3-.4-.data.e1.com", "x.e0.com", "x.e1.com", "x.e2.com"])) for i in range(400)]
+    df = spark.createDataFrame(data, "alert_id string, _source string, s long, name string").select(
+        "alert_id", "_source", F.timestamp_seconds("s").alias("ts"), F.lit("t").alias("target_entity"), F.lit("dns").alias("_stable"), F.array("name").alias("_names"), F.lit("g").alias("signal"),
+        F.when(F.col("name").startswith("12x3"), F.concat(F.lit("encoded_subdomain:"), F.substring("name", 15, 6))).alias("family"),
+    )
+    want = {}
+    for key in ("hot", "b"):
+        active = {}
+        for ident, _, t, name in sorted((r for r in data if r[1] == key), key=lambda r: (r[2], r[0])):
+            domain = name.split(".", 1)[1] if name[0] == "x" else name[14:]
+            s = active.get(domain)
+            fits = s is not None and t - s[1] <= 30 and t - s[0] <= 200
+            if name[0] != "x" and not fits:
+                s = active[domain] = [t, t]
+            if name[0] != "x" or fits:
+                s[1] = t
+                want[ident] = (f"encoded_subdomain:{domain}", s[0] * 1_000_000)
+    for block in (15, 1_000_000):
+        got = {r.alert_id: (r.family, r.session_start) for r in sessions._tunnel_sessions(df, 30, 200, block).collect()}
+        assert got == want
