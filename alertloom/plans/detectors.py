@@ -545,3 +545,22 @@ def tunnel_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at("sources", 1).alias("source"), F.col("statistics.behavior_family").alias("family"), F.unix_micros("start_ts").alias("start_us"),
         F.unix_micros("end_ts").alias("end_us"), F.col("statistics.member_count").alias("members"),
     )
+
+
+@query(f"""WITH {_EVENTS} SELECT event_id, CASE k % 5 WHEN 0 THEN '10.0.0.' || user_id % 250 WHEN 1 THEN '10.1.0.' || user_id % 250 WHEN 2 THEN 'user-' || user_id WHEN 3 THEN '<NULL>' ELSE '2001:db8::' || user_id % 100 END AS source FROM e""")
+def log_line_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of alerts that name none themselves: the first address that a raw line begins with or tells as its client."""
+    text = lambda c: F.expr(c).cast("string")
+    k = F.col("k") % 5
+    lines = (
+        F.when(k == 0, F.concat(F.lit('"raw_log_data":["no address","10.0.0.'), text("user_id % 250"), F.lit(' - - GET /","10.9.9.9 - - GET /"]')))
+        .when(k == 1, F.concat(F.lit('"full_log":"denied [client 10.1.0.'), text("user_id % 250"), F.lit(':443] AH01630"')))
+        .when(k == 3, F.lit('"raw_log_data":["999.1.1.1 - - GET /","plain text 10.2.0.1"]'))
+        .when(k == 4, F.concat(F.lit('"raw_log_data":["2001:db8::'), text("user_id % 100"), F.lit(' - - GET /"]')))
+        .otherwise(F.lit('"raw_log_data":["10.3.0.1 - - GET /"]'))
+    )
+    rows = _events(spark, sf_dir).select(
+        "event_id", F.col("event_type").alias("alert_semantics"), F.lit("tcp/80").alias("service"), F.concat(F.lit('{"payload_fields":{'), lines, F.lit("}}")).alias("attributes"),
+        F.when(k == 2, F.concat(F.lit("user-"), text("user_id"))).when(k == 1, "").alias("source_entity"),
+    )
+    return classify.with_evidence(rows).select("event_id", F.col("_source").alias("source"))

@@ -170,3 +170,31 @@ def aligned_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered = labeling.gapless(official, "row").drop("row")
     aligned = labeling.align(labeling.gapless(records, "source_line"), numbered, {"name": "name", "ip": "ip"})
     return labeling.label(aligned).select(F.try_variant_get("raw", "$.event_id", "long").alias("event_id"), "detector", "label")
+
+
+@query("SELECT event_id, user_id, event_type, epoch_us(ts) AS ts_us FROM events")
+def array_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as JSON arrays, some hundred to a file, and read again item by item."""
+    where = new_folder(spark, "arrays")
+    rows = _events(spark, sf_dir).select((F.col("event_id") % 64).alias("part"), F.struct("event_id", "user_id", "event_type", F.unix_micros("ts").alias("ts_us")).alias("item"))
+    # a folder for each array, so that a file holds one
+    rows.groupBy("part").agg(F.to_json(F.collect_list("item")).alias("value")).write.partitionBy("part").text(where)
+    raw = lambda field, kind: F.try_variant_get("raw", f"$.{field}", kind).alias(field)
+    return jsonl.read_json_array(spark, f"{where}/*").select(raw("event_id", "long"), raw("user_id", "long"), raw("event_type", "string"), raw("ts_us", "long"))
+
+
+@query("WITH u AS (SELECT user_id, list('ev-' || lpad(event_id::VARCHAR, 12, '0') ORDER BY ts, event_id) AS ids FROM events GROUP BY user_id) "
+       "SELECT 'user-' || user_id AS object_id, array_to_string(ids[1:20], ',') AS members, least(len(ids), 20)::INTEGER AS n, 'click' AS semantics FROM u")
+def prompt_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model is told of an alert of many members: the first twenty."""
+    member = F.struct("ts", "event_id", F.concat(F.lit("ev-"), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("id"))
+    rows = _events(spark, sf_dir).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(member)), lambda m: m["id"]).alias("member_ids"))
+    candidates = rows.select(
+        F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("object_id"), "member_ids", F.lit("events").alias("alert_source"), F.lit("click").alias("alert_semantics"),
+        *[F.array(F.lit(c)).alias(c) for c in ("sources", "targets", "services")], F.lit(1.0).alias("total"),
+    )
+    evidence = spark.createDataFrame([], "object_id string, evidence array<struct<evidence_id:string>>")
+    known = spark.createDataFrame([], "query_id string, rank int, entry_id string, similarity double")
+    told = adjudicate.prompts(candidates, evidence, known)
+    members = F.from_json(F.get_json_object("prompt", "$.alert.members"), "array<string>")
+    return told.select("object_id", F.array_join(members, ",").alias("members"), F.size(members).alias("n"), F.get_json_object("prompt", "$.alert.alert_semantics").alias("semantics"))
