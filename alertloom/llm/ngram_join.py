@@ -10,8 +10,11 @@
    Each posting list pairs its members with one leader, the member that holds the shingle earliest in
    its prefix and so passes the positional filter with most others (linear). Links make components. A list
    whose members are in one component is done; in the others the next leader is taken among the members outside
-   the largest component, round by round, until few pairs between components are left, and these are all tested.
-   So a group of near copies never becomes all pairs, and still no link between components is lost.
+   the largest component, round by round, until the pairs between components that are left are at most twice the postings,
+   or a round removes less than a tenth of them, or after twelve rounds; what is left is tested.
+   Of two members of a list the smaller must stand in the shorter prefix by which larger partners find it, so documents
+   that share a template but are not similar meet in no list, and a group of near copies never becomes all pairs.
+   No link between components is lost.
 4. Components are labelled with the least doc_id in them.
 """
 
@@ -220,6 +223,13 @@ def _differences() -> Column:
     return reduce(operator.add, (F.bit_count(F.col(o).bitwiseXOR(F.col(f"{o}_m"))) for o in _PARITY))
 
 
+def _indexed(percent: int) -> Column:
+    """Whether a member of a list can be found there by partners of its size or more. They share 2t / (1 + t) of its shingles, more than the t that
+    smaller partners do, so it stands early enough only in the lists of a shorter prefix."""
+    n = F.col("n")
+    return F.col("pos") <= n - F.ceil(F.lit(2 * percent) * n / F.lit(100 + percent) - 1e-9)
+
+
 def _may_link(n_a: Column, n_b: Column, pos_a: Column, pos_b: Column, percent: int) -> Column:
     """Length and positional filters, in whole numbers."""
     need = _need(n_a, n_b, percent)
@@ -243,7 +253,7 @@ def ngram_links(docs: DataFrame, key: str, text: str, threshold: float, n_gram:
         _frequency_ranks(both.filter("chunk IS NOT NULL").select("chunk", "counts"), bits).tobytes()
     )
     rows = materialize(source.mapInArrow(_postings(n_gram, percent, lambda: ranks.value), "h long, cls long, n int, pos int"), "prefixes")
-    several = rows.groupBy("h").count().filter("count > 1").select("h")
+    several = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.bool_or(_indexed(percent)).alias("some")).filter("c > 1 AND some").select("h")
     found = materialize(rows.join(several, "h", "left_semi").distinct(), "postings")
     discard(rows)
     classes = materialize(_classes(members, found), "class-rows")
@@ -252,7 +262,7 @@ def ngram_links(docs: DataFrame, key: str, text: str, threshold: float, n_gram:
     lists, roots, tested = _with_first_leaders(found), None, []
     discard(found)
     while True:
-        final = before is not None and (before[0] <= _REST * postings or before[0] > 0.9 * before[1] or len(tested) == _ROUNDS)
+        final = before is not None and (before[0] <= _REST * postings or before[0] > 0.9 * before[1] or len(tested) >= _ROUNDS)
         pairs = _rest_of_pairs(lists, percent) if final else _leader_pairs(lists, percent)
         for old in tested:
             pairs = pairs.join(old, ["a", "b"], "left_anti")  # once per pair
@@ -263,7 +273,7 @@ def ngram_links(docs: DataFrame, key: str, text: str, threshold: float, n_gram:
         discard(links, *([old_roots] if old_roots is not None else []))
         if final:
             break
-        old_lists, lists = lists, _with_next_leaders(lists, roots)
+        old_lists, lists = lists, _with_next_leaders(lists, roots, percent)
         discard(old_lists)
         left = lists.select("h", "many").distinct().agg(F.sum("many")).first()[0]
         if left is None:
@@ -284,18 +294,24 @@ def _with_first_leaders(found: DataFrame) -> DataFrame:
     return materialize(rows.drop("place").join(leaders, "h"), "lists")
 
 
-def _with_next_leaders(lists: DataFrame, roots: DataFrame) -> DataFrame:
+def _with_next_leaders(lists: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """What is left of the lists, without the leaders that have been compared with all: those with members of several
-    components. The next leader is outside the largest component (main); many is the number of pairs left at most."""
+    components, some of them indexed. The next leader is outside the largest component (main); many is the number of pairs left at most."""
     rows = lists.filter("cls <> leader.cls").select("h", "cls", "n", "pos").join(roots.withColumnRenamed("node", "cls"), "cls", "left")
     rows = materialize(rows.withColumns({"part": F.coalesce("root", "cls"), "place": _place()}).drop("root"), "rows")
-    sizes = rows.groupBy("h", "part").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(*_LEADER)).alias("first"))
+    sizes = rows.groupBy("h", "part").agg(
+        F.count(F.lit(1)).alias("c"), F.min(F.struct(*_LEADER)).alias("first"), F.sum(_indexed(percent).cast("double")).alias("i")
+    )
+    largest = F.struct("c", "part")
     mains = (
         sizes.groupBy("h")
-        .agg(F.max_by("part", F.struct("c", "part")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("c").alias("all"), F.max("c").alias("most"))
-        .filter("parts > 1")
-        .select("h", "main", (F.col("all").cast("double") * (F.col("all") - F.col("most"))).alias("many"))
-    )
+        .agg(
+            F.max_by("part", largest).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("c").alias("all"), F.max("c").alias("most"),
+            F.sum("i").alias("indexed"), F.max_by("i", largest).alias("in_main"),
+        )
+        .filter("parts > 1 AND indexed > 0")
+        .select("h", "main", ((F.col("indexed") - F.col("in_main")) * F.col("all") + F.col("in_main") * (F.col("all") - F.col("most"))).alias("many"))
+    )
     leaders = sizes.join(mains, "h").filter("part <> main").groupBy("h", "main", "many").agg(F.min("first").alias("leader"))
     out = materialize(rows.drop("place").join(leaders, "h").select("h", "cls", "n", "pos", "part", "leader", "main", "many"), "lists")
     discard(rows)
@@ -314,14 +330,18 @@ def _leader_pairs(lists: DataFrame, percent: int) -> DataFrame:
 
 
 def _rest_of_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """All pairs between components that the lists still hold; at least one side is outside the largest component."""
-    minor = lists.filter("part <> main").select("h", *[F.col(c).alias(f"{c}_m") for c in ("cls", "n", "pos", "part")])
+    """The pairs between components that the lists still hold: of an indexed member with one of its size or more, at least one of the two
+    outside the largest component. Members that aren't indexed in a list are not paired with each other."""
+    fields = "h", "cls", "n", "pos", "part", "main"
+    indexed = lists.filter(_indexed(percent)).select("h", *[F.col(c).alias(f"{c}_m") for c in ("cls", "n", "pos", "part")])
+    inside = F.col("part_m") == F.col("main")
+    sides = lists.select(*fields, (F.col("part") == F.col("main")).alias("_in"))
+    own = lists.select("h", "main").distinct()
+    small = indexed.join(own, "h").withColumn("_of", inside).drop("main")
+    pairs = small.filter("NOT _of").join(sides, "h").unionByName(small.filter("_of").join(sides.filter("NOT _in"), "h"))
     return (
-        minor.join(lists, "h")
-        .filter(
-            (F.col("part") != F.col("part_m"))
-            & ((F.col("part") == F.col("main")) | (F.col("cls") < F.col("cls_m")))
-            & _may_link(F.col("n"), F.col("n_m"), F.col("pos"), F.col("pos_m"), percent)
+        pairs.filter(
+            (F.col("part") != F.col("part_m")) & (F.col("n") >= F.col("n_m")) & _may_link(F.col("n"), F.col("n_m"), F.col("pos"), F.col("pos_m"), percent)
         )
         .select(F.least("cls", "cls_m").alias("a"), F.greatest("cls", "cls_m").alias("b"))
         .distinct()

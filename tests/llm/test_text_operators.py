@@ -400,3 +400,27 @@ def test_no_line_of_a_very_long_text_carries_its_text(spark):
     assert not [p for p in plan.split("\n") if "Generate" in p and "text#" in p]
     rows = {r.doc_id: (r.n_lines_removed, r.left) for r in got.selectExpr("doc_id", "n_lines_removed", "length(text) AS left").collect()}
     assert rows[1] == (10000, 0) and rows[0][0] == 10000 - 9973
+
+
+def test_documents_of_one_template_form_no_pairs(spark):
+    rng = random.Random(12)
+    shared = [f"s{i}" for i in range(84)]
+    rows = [(i, " ".join(shared + [f"u{i}x{k}" for k in range(20)])) for i in range(300)]
+    # and some that are near copies of one of them, or of another size
+    for i in range(0, 300, 15):
+        words = rows[i][1].split()
+        words[rng.randrange(100)] = "edit"
+        rows.append((1000 + i, " ".join(words)))
+        rows.append((2000 + i, " ".join(words[:80])))
+    got = ngram_components(frame(spark, rows), sketch_bits=12).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
+
+
+def test_lists_of_a_template_are_left_out(spark):
+    from alertloom.llm import ngram_join
+
+    # eighty of a hundred shingles in common: each of these lists has members beyond the shorter prefix only
+    lists = spark.range(500).selectExpr("7L AS h", "id AS cls", "100 AS n", "22 AS pos", "id AS part", "0L AS main")
+    assert ngram_join._rest_of_pairs(lists, 75).count() == 0
+    early = lists.unionByName(spark.range(500, 503).selectExpr("7L AS h", "id AS cls", "100 AS n", "3 AS pos", "id AS part", "0L AS main"))
+    assert ngram_join._rest_of_pairs(early, 75).count() == 3
