@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -25,13 +26,15 @@ def build_session(app: str = "alertloom", master: str = "local[*]", **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where it is unset (tests, local mode) a folder of this machine is chosen.
+    Only where it is unset in local mode (tests) a folder of this machine is chosen; on a cluster that raises ValueError.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         ctx = spark.sparkContext
         path = ctx.getCheckpointDir()
         if not path:
+            if not re.fullmatch(r"local(\[.*\])?", ctx.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             path = "file://" + tempfile.mkdtemp(prefix="alertloom-")
             ctx.setCheckpointDir(path)
     return path

@@ -2,6 +2,8 @@
 
 import os
 
+import pytest
+
 from alertloom.session import drop_tables, materialize, shared_dir
 
 
@@ -13,3 +15,18 @@ def test_tables_are_written_to_the_shared_folder_and_dropped(spark):
     assert os.path.isdir(folder)
     drop_tables(spark)
     assert not os.path.exists(folder)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf = {}
+        sparkContext = Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
