@@ -205,6 +205,29 @@ def context_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _context(spark, sf_dir, "forward")
 
 
+@query("""WITH o AS (SELECT 'ev-' || lpad(event_id::VARCHAR, 12, '0') AS id, ts, user_id % 12 AS s, regexp_extract(props, '([0-9]+)', 1)::INT % 12 AS t FROM events),
+j AS (SELECT c.id AS object_id, n.id AS cand_id, 'backward' AS temporal_role, c.s = n.s AS ss, c.t = n.t AS tt, n.t = c.s AS moves, epoch_us(c.ts) - epoch_us(n.ts) AS d
+  FROM o c JOIN o n ON n.ts < c.ts AND n.ts >= c.ts - INTERVAL 1 HOUR AND (n.s IN (c.s, c.t) OR n.t IN (c.s, c.t))
+  UNION ALL SELECT c.id, n.id, 'forward', c.s = n.s, c.t = n.t, n.s = c.t, epoch_us(n.ts) - epoch_us(c.ts)
+  FROM o c JOIN o n ON n.ts > c.ts AND n.ts <= c.ts + INTERVAL 1 HOUR AND c.t IN (n.s, n.t)),
+r AS (SELECT *, CASE WHEN ss AND tt THEN 5 WHEN moves THEN 4 WHEN tt OR ss THEN 3 ELSE 2 END AS priority,
+  CASE WHEN ss AND tt THEN 'same_source_target_pair' WHEN moves THEN CASE temporal_role WHEN 'forward' THEN 'target_to_source_progression' ELSE 'predecessor_to_source_progression' END
+    WHEN tt THEN 'shared_target' WHEN ss THEN 'shared_source' ELSE 'shared_seed_entity' END AS relationship FROM j),
+k AS (SELECT *, row_number() OVER (PARTITION BY object_id, temporal_role ORDER BY priority DESC, d, cand_id) AS relevance_rank FROM r)
+SELECT object_id, cand_id, temporal_role, relationship, priority, relevance_rank::INTEGER AS relevance_rank FROM k WHERE relevance_rank <= 5""")
+def context_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both directions between nodes that are sources as well as targets, so that every relation of one hop occurs."""
+    k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
+    nodes = _table(spark, sf_dir, "events").select(
+        F.concat(F.lit("ev-"), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("object_id"),
+        F.col("ts").cast("timestamp").alias("start_ts"),
+        F.col("ts").cast("timestamp").alias("end_ts"),
+        F.array((F.col("user_id") % 12).cast("string")).alias("sources"),
+        F.array((k % 12).cast("string")).alias("targets"),
+    )
+    return context.both_directions(nodes, nodes, HOUR, 5, 1).select("object_id", "cand_id", "temporal_role", "relationship", "priority", "relevance_rank")
+
+
 @query()
 def context_three_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = objects(spark, sf_dir)
