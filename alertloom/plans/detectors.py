@@ -374,6 +374,18 @@ def graph_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("object_id", "pattern.semantics", join("protocols"), join("services"), "pattern.template")
 
 
+@query(f"""WITH {_FLOWS} SELECT f.object_id, l2 AS semantics, CASE WHEN e.k % 7 = 0 THEN 'udp' WHEN l5 = '<NULL>' THEN '' ELSE 'tcp' END AS protocols, CASE WHEN l5 = '<NULL>' THEN '' ELSE l5 END AS services,
+ CASE WHEN e.k % 5 = 0 THEN '<NULL>' ELSE '{{"command":"job <NUMBER> done"}}' END AS template FROM f JOIN e USING (event_id)""")
+def whole_graph_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns of all objects: without services, with a protocol of their own, and without a payload."""
+    k = F.regexp_extract("attributes", "job ([0-9]+)", 1).cast("int") - 1_000_000
+    own = F.when(k % 7 == 0, F.lit(',"protocol":"UDP"')).otherwise("")
+    payload = F.when(k % 5 == 0, F.lit('{"payload_fields":{}')).otherwise(F.concat(F.lit('{"payload_fields":{"command":"job '), (1_000_000 + k).cast("string"), F.lit(' done"}')))
+    found = scoring.with_pattern(_flows(spark, sf_dir).withColumn("attributes", F.concat(payload, own, F.lit("}"))))
+    join = lambda c: F.array_join(f"pattern.{c}", ",").alias(c)
+    return found.select("object_id", "pattern.semantics", join("protocols"), join("services"), "pattern.template")
+
+
 @query(f"WITH {_FLOWS} SELECT l2 || '/' || l3 || '/' || l4 || '/' || l5 || '/' || l6 AS path, count(*) AS support FROM f GROUP BY 1")
 def tree_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = memory.with_path(_flows(spark, sf_dir)).select("path.*")
