@@ -12,7 +12,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Callable
-from functools import cache, partial, reduce
+from functools import cache, lru_cache, partial, reduce
 from typing import Any
 from urllib.parse import unquote_plus
 
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from alertloom.functions import markers as M
 
 VALUE_CHARS = 4096
+#: Masked texts that a worker remembers, and their length at most.
+REMEMBERED, REMEMBERED_CHARS = 50_000, 256
 TEMPLATE_CHARS = 16384
 _EMPTY = (None, "", [], {})
 
@@ -66,9 +68,17 @@ def plain_text(text: str, limit: int = VALUE_CHARS) -> str:
 
 
 def mask_text(text: str, limit: int = VALUE_CHARS, digits: int | None = 6) -> str:
+    """Values of payloads recur, so short ones are masked once a worker."""
+    return (_mask_once if len(text) <= REMEMBERED_CHARS else _mask)(text, limit, digits)
+
+
+def _mask(text: str, limit: int, digits: int | None) -> str:
     return reduce(lambda t, stage: stage(t), _stages(digits), unicodedata.normalize("NFKC", text[:limit]))
 
 
+_mask_once = lru_cache(REMEMBERED)(_mask)
+
+
 def walk(value: Any, on_text: Callable[[str], str], mask_keys: bool, key: str | None = None) -> Any:
     """A JSON value with on_text applied to its texts, empty members gone and, with mask_keys, values
     replaced whose key tells what they are."""
