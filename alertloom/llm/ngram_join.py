@@ -310,10 +310,10 @@ def _with_next_leaders(lists: DataFrame, roots: DataFrame, percent: int) -> Data
             F.sum("i").alias("indexed"), F.max_by("i", largest).alias("in_main"),
         )
         .filter("parts > 1 AND indexed > 0")
-        .select("h", "main", ((F.col("indexed") - F.col("in_main")) * F.col("all") + F.col("in_main") * (F.col("all") - F.col("most"))).alias("many"))
+        .select("h", "main", ((F.col("indexed") - F.col("in_main")) * F.col("all") + F.col("in_main") * (F.col("all") - F.col("most"))).alias("many"), (F.col("indexed") - F.col("in_main")).alias("outside"))
     )
-    leaders = sizes.join(mains, "h").filter("part <> main").groupBy("h", "main", "many").agg(F.min("first").alias("leader"))
-    out = materialize(rows.drop("place").join(leaders, "h").select("h", "cls", "n", "pos", "part", "leader", "main", "many"), "lists")
+    leaders = sizes.join(mains, "h").filter("part <> main").groupBy("h", "main", "many", "outside").agg(F.min("first").alias("leader"))
+    out = materialize(rows.drop("place").join(leaders, "h").select("h", "cls", "n", "pos", "part", "leader", "main", "many", "outside"), "lists")
     discard(rows)
     return out
 
@@ -332,13 +332,12 @@ def _leader_pairs(lists: DataFrame, percent: int) -> DataFrame:
 def _rest_of_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """The pairs between components that the lists still hold: of an indexed member with one of its size or more, at least one of the two
     outside the largest component. Members that aren't indexed in a list are not paired with each other."""
-    fields = "h", "cls", "n", "pos", "part", "main"
-    indexed = lists.filter(_indexed(percent)).select("h", *[F.col(c).alias(f"{c}_m") for c in ("cls", "n", "pos", "part")])
-    inside = F.col("part_m") == F.col("main")
-    sides = lists.select(*fields, (F.col("part") == F.col("main")).alias("_in"))
-    own = lists.select("h", "main").distinct()
-    small = indexed.join(own, "h").withColumn("_of", inside).drop("main")
-    pairs = small.filter("NOT _of").join(sides, "h").unionByName(small.filter("_of").join(sides.filter("NOT _in"), "h"))
+    inner = F.col("part") == F.col("main")
+    # members of the largest component are met in lists with an indexed member outside it only, and not by each other
+    sides = lists.filter(~inner | (F.col("outside") > 0)).select("h", "cls", "n", "pos", "part", inner.alias("inner"))
+    both = F.when(inner, F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
+    small = lists.filter(_indexed(percent)).select("h", *[F.col(c).alias(f"{c}_m") for c in ("cls", "n", "pos", "part")], F.explode(both).alias("inner"))
+    pairs = small.join(sides, ["h", "inner"])
     return (
         pairs.filter(
             (F.col("part") != F.col("part_m")) & (F.col("n") >= F.col("n_m")) & _may_link(F.col("n"), F.col("n_m"), F.col("pos"), F.col("pos_m"), percent)

@@ -6,6 +6,7 @@ from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from alertloom.llm.decontamination import contained_items, decontaminate
 from alertloom.llm.html_text import extract_text, main_text
@@ -420,7 +421,8 @@ def test_lists_of_a_template_are_left_out(spark):
     from alertloom.llm import ngram_join
 
     # eighty of a hundred shingles in common: each of these lists has members beyond the shorter prefix only
-    lists = spark.range(500).selectExpr("7L AS h", "id AS cls", "100 AS n", "22 AS pos", "id AS part", "0L AS main")
+    lists = spark.range(500).selectExpr("7L AS h", "id AS cls", "100 AS n", "22 AS pos", "id AS part", "0L AS main", "0D AS outside")
     assert ngram_join._rest_of_pairs(lists, 75).count() == 0
-    early = lists.unionByName(spark.range(500, 503).selectExpr("7L AS h", "id AS cls", "100 AS n", "3 AS pos", "id AS part", "0L AS main"))
+    early = spark.range(500, 503).selectExpr("7L AS h", "id AS cls", "100 AS n", "3 AS pos", "id AS part", "0L AS main", "0D AS outside")
+    early = lists.unionByName(early).withColumn("outside", F.lit(3.0))
     assert ngram_join._rest_of_pairs(early, 75).count() == 3
