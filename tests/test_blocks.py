@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from alertloom.operators import context as context_module
 from alertloom.operators import sessions
 from alertloom.operators.asof import nearest_seed
 from alertloom.operators.blocks import in_blocks
@@ -132,3 +133,34 @@ def test_tunnels_of_a_busy_key(spark):
     for block in (15, 1_000_000):
         got = {r.alert_id: (r.family, r.session_start) for r in sessions._tunnel_sessions(df, 30, 200, block).collect()}
         assert got == want
+
+
+@pytest.mark.parametrize("rows", [7, 1_000_000])
+def test_values_ahead(spark, rows):
+    rng = random.Random(4)
+    data = [(rng.choice(["hot", "hot", "b", None]), i, rng.choice([None, i, i])) for i in range(120)]
+    df = spark.createDataFrame(data, "key string, at int, v int")
+    found = in_blocks(df, ["key"], ["at"], rows, stored=False).ahead("next", F.col("v"), 3).result().collect()
+    assert {r.at: r.next for r in found} == {at: [v for k, a, v in data if k == key and a > at and v is not None][:3] for key, at, _ in data}
+
+
+def test_only_the_best_of_a_hop_are_joined_and_expanded(spark, monkeypatch):
+    """Fails if candidates that can't be among the best are paired, or objects with enough evidence go on to further hops."""
+    seen = {}
+    write = context_module.materialize
+
+    def told(df, name):
+        table = write(df, name)
+        seen.setdefault(name, table)
+        return table
+
+    monkeypatch.setattr(context_module, "materialize", told)
+    data = [(f"o{i:03}", i, "u", "h") for i in range(60)] + [("far", 0, "u", "other"), ("late", 100, "x", "h2")]
+    objects = spark.createDataFrame(data, "object_id string, s long, a string, b string").select(
+        "object_id", F.timestamp_seconds("s").alias("start_ts"), F.timestamp_seconds("s").alias("end_ts"), F.array("a").alias("sources"), F.array("b").alias("targets")
+    )
+    found = context(objects, objects, "backward", 60, 4, 3).collect()
+    assert max(r.relevance_rank for r in found) == 4
+    assert max(r.relevance_rank for r in seen["context"].collect()) == 4
+    settled = {r.object_id for r in seen["context"].groupBy("object_id").count().filter("count >= 4").collect()}
+    assert settled and not settled & {r.object_id for r in seen["frontier"].collect()}
