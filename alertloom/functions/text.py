@@ -12,8 +12,10 @@ from alertloom.functions import markers as M
 
 
 def clean(value: Column) -> Column:
-    """Text without white space at its ends; blank text is null."""
-    return F.nullif(F.regexp_replace(value.cast("string"), r"(?U)^\s+|\s+$", ""), F.lit(""))
+    """Text without white space at its ends; blank text is null. Only texts that begin or end with it go through the pattern."""
+    text = value.cast("string")
+    ends = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1))
+    return F.nullif(F.when(ends.rlike(r"(?U)\s"), F.regexp_replace(text, r"(?U)^\s+|\s+$", "")).otherwise(text), F.lit(""))
 
 
 def squeezed(value: Column) -> Column:
@@ -58,12 +60,10 @@ def rate_bucket(n: Column, seconds: Column) -> Column:
 
 def entropy(text: Column) -> Column:
     """Shannon entropy in bits of the lower-cased characters."""
-    chars = F.filter(F.split(F.lower(text), ""), lambda c: c != "")
+    low = F.lower(text)
+    chars = F.filter(F.split(low, ""), lambda c: c != "")
     n = F.size(chars)
-    parts = F.transform(
-        F.array_distinct(chars),
-        lambda c: F.size(F.filter(chars, lambda x: x == c)) / n,
-    )
+    parts = F.transform(F.array_distinct(chars), lambda c: (n - F.length(F.replace(low, c, F.lit("")))) / n)
     bits = F.aggregate(F.array_sort(parts), F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
     return F.when(n > 0, bits).otherwise(0.0)
 

@@ -23,8 +23,10 @@ _EVENTS = "e AS (SELECT *, regexp_extract(props, '([0-9]+)', 1)::INT AS k FROM e
 
 
 def _lines(rows: DataFrame, line: Column) -> DataFrame:
-    """Records as the reader gives them: file, line number, text."""
-    return rows.select(F.lit("made.json").alias("source_file"), (F.col("event_id") + 1).alias("source_line"), line.alias("line"))
+    """Records as the reader gives them: file, line number, text. The texts are far longer than the rows they are made of, so rows are dealt to all tasks first."""
+    rows = rows.repartition("event_id")
+    made = rows.select(F.lit("made.json").alias("source_file"), (F.col("event_id") + 1).alias("source_line"), line.alias("line"))
+    return jsonl.once(made, "line")
 
 
 def _json(**fields: Column) -> Column:

@@ -6,6 +6,8 @@ alerts: alert_id, ts, alert_source, alert_semantics, source_entity, target_entit
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -181,10 +183,17 @@ def normalize(records: DataFrame) -> DataFrame:
     return normalize_aminer(records.filter(aminer)).unionByName(normalize_wazuh(records.filter(~aminer)))
 
 
-def behaviour_hint(raw: Column) -> Column:
-    """English hint for the vendor's Chinese texts."""
+#: Fields of a vendor's row that are read as texts.
+_VENDOR_TEXTS = (
+    "log_type", "attack_type", "vuln_type", "attack_method", "method", "host", "uri", "parameter", "req_body", "rsp_content_type", "proto", "dport", "sport",
+    "rule_id", "rule_name", "detail_info", "@timestamp", "uuid", "sip", "dip",
+)
+
+
+def behaviour_hint(text: Callable[[str], Column]) -> Column:
+    """English hint for the vendor's Chinese texts; text gives a field's."""
     fields = ("rule_name", "attack_type", "vuln_type", "detail_info")
-    evidence = F.lower(F.concat_ws(" ", *[_text(raw, f"$.{f}") for f in fields]))
+    evidence = F.lower(F.concat_ws(" ", *map(text, fields)))
     out = F.when(F.lit(False), "")
     for hint, marks in M.VENDOR_HINTS:
         out = out.when(contains_any(evidence, marks), hint)
@@ -194,11 +203,15 @@ def behaviour_hint(raw: Column) -> Column:
 def normalize_vendor(records: DataFrame, zone: str = "Asia/Shanghai", vendor: str = "vendor") -> DataFrame:
     """Vendor IDS rows, ids and sources under the vendor's name; the truth stays in is_attack. Other log types, missing times and labels end the job."""
     raw = F.col("raw")
-    t = lambda path: _text(raw, path)
+    # every text is read once a row; as plain expressions the many readers would copy its reading
+    texts = F.struct(*[_text(raw, f"$['{f}']").alias(f) for f in _VENDOR_TEXTS])
+    records = once(records.withColumn("_texts", texts), "_texts")
+    t = lambda path: F.col("_texts")[path.removeprefix("$.")]
     kind = F.when(F.lit(False), "")
     for log_type, category in M.VENDOR_LOG_TYPES:
         kind = kind.when(t("$.log_type") == log_type, category)
-    kind = F.coalesce(kind, F.raise_error(F.lit("unsupported log_type")).cast("string"))
+    records = once(records.withColumn("_kind", F.coalesce(kind, F.raise_error(F.lit("unsupported log_type")).cast("string"))), "_kind")
+    kind = F.col("_kind")
     cut = lambda f, n: F.nullif(F.substring(t(f"$.{f}"), 1, n), F.lit(""))
     network = _without_empty(
         attack_type=cut("attack_type", 512),
@@ -217,6 +230,7 @@ def normalize_vendor(records: DataFrame, zone: str = "Asia/Shanghai", vendor: st
         content_type=cut("rsp_content_type", 512),
     )
     records = once(records.withColumn("_payload", F.when(kind == "network_ids", network).otherwise(web)), "_payload")
+    records = once(records.withColumn("_hint", behaviour_hint(t)), "_hint")
     payload = F.col("_payload")
     protocol, port = t("$.proto"), t("$.dport")
     attributes = _without_empty(
@@ -229,7 +243,7 @@ def normalize_vendor(records: DataFrame, zone: str = "Asia/Shanghai", vendor: st
         attack_type=t("$.attack_type"),
         vuln_type=t("$.vuln_type"),
         attack_method=t("$.attack_method"),
-        behavior_hint=behaviour_hint(raw),
+        behavior_hint=F.col("_hint"),
         payload_fields=F.when(F.to_json(payload) != "{}", payload),
     )
     truth = F.try_variant_get(raw, "$.is_attack", "string")
@@ -238,10 +252,10 @@ def normalize_vendor(records: DataFrame, zone: str = "Asia/Shanghai", vendor: st
         .when(truth.isin("0", "false"), False)
         .otherwise(F.raise_error(F.lit("is_attack must be 0 or 1")).cast("boolean"))
     )
-    stamp = F.coalesce(t("$['@timestamp']"), F.raise_error(F.lit("alert has no @timestamp")).cast("string"))
+    stamp = F.coalesce(t("@timestamp"), F.raise_error(F.lit("alert has no @timestamp")).cast("string"))
     where = F.concat_ws(":", "source_file", F.col("source_line").cast("string"))
     material = F.concat_ws(":", where, kind, F.coalesce(t("$.uuid"), F.lit("")))
-    return records.select(
+    found = records.select(
         F.concat(F.lit(f"{vendor}-"), kind, F.lit("-"), F.substring(F.sha2(material, 256), 1, 32)).alias("alert_id"),
         zoned_timestamp(stamp, zone).alias("ts"),
         F.concat(F.lit(f"{vendor}_"), kind).alias("alert_source"),
@@ -255,6 +269,7 @@ def normalize_vendor(records: DataFrame, zone: str = "Asia/Shanghai", vendor: st
         "source_file",
         "source_line",
     )
+    return once(found, "attributes")
 
 
 def extract_vendor_rows(items: DataFrame, most: int | None = None) -> DataFrame:

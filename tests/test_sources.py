@@ -6,9 +6,10 @@ from datetime import datetime
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from alertloom.operators.labeling import align, expected_name, label
-from alertloom.sources.jsonl import read_json_array, read_json_lines, read_label_archives, reject_labels, write_json_lines
+from alertloom.sources.jsonl import once, read_json_array, read_json_lines, read_label_archives, reject_labels, write_json_lines
 from alertloom.sources.normalize import extract_vendor_rows, normalize, normalize_vendor
 
 WAZUH = {
@@ -113,3 +114,10 @@ def test_written_lines_have_sorted_keys(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "out")).first()[0] == '{"a":"ü","b":2,"c":null}'
     with pytest.raises(PySparkException):
         write_json_lines(rows, str(tmp_path / "out"))
+
+
+def test_once_keeps_its_readers_from_copying(spark):
+    """The optimizer must not see through it, or every reader computes the text again."""
+    rows = once(spark.range(3).withColumn("x", F.concat(F.lit("a"), F.col("id").cast("string"))), "x")
+    plan = rows.filter(F.length("x") > 1).select(F.concat("x", "x", "x").alias("y"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("concat(a") == 1
