@@ -415,6 +415,10 @@ def decide(
     ).select(
         F.col("path").alias("pattern"), F.col("fingerprint_id").alias("general_id"), F.col("support").alias("general_support"), "constraints", "generalized_fields"
     )
+    # equal patterns fit the same paths, so they are tested as one
+    alike = ["pattern", "constraints", "generalized_fields"]
+    general = general.groupBy(*alike).agg(F.min("general_id").alias("general_id"), F.min("general_support").alias("general_support"), F.count(F.lit(1)).alias("equal"))
+    general = materialize(general, "distinct-patterns")
     # protected behaviour and exact paths are settled; equal paths are tested once
     base = materialize(base, "decide-base")
     settled = F.coalesce(shielded, F.lit(False)) | F.coalesce(exact_ok, F.lit(False)) | F.coalesce(is_exact & F.col("rejected").isNotNull(), F.lit(False))
@@ -425,7 +429,7 @@ def decide(
         .join(general, "general_id")
         .filter(_fits(F.col("path"), F.col("pattern"), F.col("constraints")))
         .groupBy("digest", _specificity("pattern").alias("score"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min("general_id").alias("general_id"), F.min("general_support").alias("general_support"))
+        .agg(F.sum("equal").alias("n"), F.min("general_id").alias("general_id"), F.min("general_support").alias("general_support"))
         .groupBy("digest")
         .agg(F.max(F.struct("score", "n", "general_id", "general_support")).alias("best"))
     )

@@ -63,3 +63,20 @@ def test_no_patterns(spark):
     left = spark.createDataFrame([], f"digest string, path {PATH}")
     right = spark.createDataFrame([], f"general_id string, pattern {PATH}, generalized_fields array<string>")
     assert candidate_pairs(left, right, memory.LAYERS, "attribute_template").count() == 0
+
+
+def test_equal_patterns_are_tested_as_one(spark, monkeypatch):
+    seen = []
+    pairs = memory.candidate_pairs
+    monkeypatch.setattr(memory, "candidate_pairs", lambda paths, patterns, *rest: seen.append(patterns.count()) or pairs(paths, patterns, *rest))
+    objects = spark.createDataFrame(
+        [("x", "alert", "d", "s", ["10.0.0.9"], ["t"], ["tcp/1"], "{}")],
+        "object_id string, object_type string, alert_source string, alert_semantics string, sources array<string>, targets array<string>, services array<string>, attributes string",
+    )
+    path = ("d", "s", "10.0.0.0/24", "t", "tcp/1", "")
+    known = [(f"p{i}", path, "generalized", 5 + i, 2, True, True, None, ["source_entity"], [], "") for i in range(3)]
+    kinds = "fingerprint_id string, path struct<" + ",".join(f"{c}:string" for c in memory.LAYERS) + ">, kind string, support long, distinct_exact_paths int, active boolean, verified boolean, expires_at timestamp, generalized_fields array<string>, constraints " + memory._RULE + ", digest string"
+    decided = lambda rows: memory.decide(objects, spark.createDataFrame(rows, kinds)).first()
+    assert decided(known).reason == "ambiguous_generalized_match"
+    assert (decided(known[1:2]).fingerprint_id, decided(known[1:2]).support) == ("p1", 6)
+    assert seen[0] == 1
