@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from alertloom.operators import context as context_module
-from alertloom.operators import sessions
+from alertloom.operators import scoring, sessions
 from alertloom.operators.asof import nearest_seed
 from alertloom.operators.blocks import in_blocks
 from alertloom.operators.context import context
@@ -164,3 +164,11 @@ def test_only_the_best_of_a_hop_are_joined_and_expanded(spark, monkeypatch):
     assert max(r.relevance_rank for r in seen["context"].collect()) == 4
     settled = {r.object_id for r in seen["context"].groupBy("object_id").count().filter("count >= 4").collect()}
     assert settled and not settled & {r.object_id for r in seen["frontier"].collect()}
+
+
+def test_degrees_are_counted_in_bounded_tasks(spark):
+    data = [(f"o{i % 90}", e) for i in range(400) for e in (f"e{i % 7}", f"e{i % 3}")]
+    links = spark.createDataFrame(data, "object_id string, entity string")
+    found = scoring.entity_degrees(links, rows=50)
+    assert {r.entity: r.degree for r in found.collect()} == {e: len({o for o, x in data if x == e}) for e in {x for _, x in data}}
+    assert "RepartitionByExpression [entity" in found._jdf.queryExecution().optimizedPlan().toString()
