@@ -429,6 +429,8 @@ def graph_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _flows(spark, sf_dir).withColumn("member_ids", F.array("object_id"))
     scored = scoring.score(scoring.with_pattern(rows))
     tables = scoring.graph_tables(rows, rows.select(F.col("object_id").alias("alert_id")), scored)
+    # what is made by joins is read by the check and by the counts
+    tables |= {name: materialize(tables[name], name) for name in ("graph_original_alerts", "graph_scores")}
     scoring.validate_graph(tables)
     counts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), "rows") for name, df in tables.items()]
     out = counts[0]

@@ -92,6 +92,34 @@ def test_graph_store_is_checked(spark, tmp_path):
             scoring.validate_graph(tables | {name: change})
 
 
+def test_graph_ids_of_one_kind_are_counted_together(spark, monkeypatch):
+    """Each table's ids are compared in one pass, and every rule still tells what breaks it."""
+    rows = objects(spark, [("a", 0, "t"), ("b", 1, "u")])
+    tables = {n: t.localCheckpoint() for n, t in scoring.graph_tables(rows, rows.select(F.col("object_id").alias("alert_id")), scoring.score(scoring.with_pattern(rows))).items()}
+    for table, column, change, message in (
+        ("graph_alert_nodes", "object_id", "again", "graph_alert_nodes: repeated or missing object_id a"),
+        ("graph_entity_nodes", "entity", "again", "graph_entity_nodes: repeated or missing entity"),
+        ("graph_alert_nodes", "object_id", "null", "graph_alert_nodes: repeated or missing object_id None"),
+        ("graph_entity_nodes", "entity", "gone", "graph_alert_entity_edges: entity .* is not in graph_entity_nodes"),
+        ("graph_member_edges", "object_id", "other", "graph_member_edges: object_id z is not in graph_alert_nodes"),
+        ("graph_alert_services", "object_id", "null", "graph_alert_services: object_id None is not in graph_alert_nodes"),
+        ("graph_original_alerts", "alert_id", "gone", "graph_member_edges: member_id .* is not in graph_original_alerts"),
+        ("graph_member_edges", "member_id", "gone", "graph_original_alerts: alert_id .* is not in graph_member_edges"),
+        ("graph_alert_entity_edges", "entity", "again", "repeated edge"),
+    ):
+        good = tables[table]
+        first = good.orderBy(column).limit(1)
+        put = {"again": first, "null": first.withColumn(column, F.lit(None).cast("string")), "other": first.withColumn(column, F.lit("z"))}
+        bad = good.exceptAll(first) if change == "gone" else good.unionByName(put[change])
+        with pytest.raises(ValueError, match=message):
+            scoring.validate_graph(tables | {table: bad})
+    passes = []
+    one = scoring._one_pass
+    monkeypatch.setattr(scoring, "_one_pass", lambda t, ids: passes.append(ids) or one(t, ids))
+    scoring.validate_graph(tables)
+    assert sorted(map(len, passes)) == [2, 2, 5]
+
+
 def test_embedding_provider_is_asked_again(spark):
     def flaky(texts):
         import os
