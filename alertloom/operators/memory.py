@@ -42,7 +42,7 @@ def _layer(value: Column) -> Column:
 
 
 def _subnet(value: Column, v4: int | None, v6: int | None) -> Column:
-    """Entity with IP addresses as subnets of the asked lengths."""
+    """Entity with IP addresses as subnets of the asked lengths. Equal texts of a batch are read once."""
     if v4 is None and v6 is None:
         return value
 
@@ -56,7 +56,8 @@ def _subnet(value: Column, v4: int | None, v6: int | None) -> Column:
             bits = v4 if ip.version == 4 else v6
             return t if bits is None else str(ipaddress.ip_network((ip, bits), strict=False))
 
-        return texts.map(one)
+        made = {t: one(t) for t in set(texts)}
+        return texts.map(made.get)
 
     return network(value)
 
@@ -172,14 +173,14 @@ def remember(objects: DataFrame, v4: int = 24, v6: int = 64, provenance_limit: i
         "wide",
         F.struct(came.cast("timestamp").alias("ts"), F.col("object_id").alias("id")).alias("of"),
     )
-    salted = Window.partitionBy("digest", "generalization_key", F.pmod(F.xxhash64("of"), F.lit(64))).orderBy(F.desc("of"))
-    last = F.collect_list(F.when(F.col("_k") <= provenance_limit, F.col("of")))
-    exact = (
-        keyed.withColumn("_k", F.row_number().over(salted))
-        .groupBy("digest", "generalization_key")
-        .agg(F.first("path").alias("path"), F.first("wide").alias("wide"), F.count(F.lit(1)).alias("support"), _last(last, provenance_limit).alias("last"))
-        .withColumns({"verified": F.lit(True), "active": F.lit(True)})
-    )
+    keyed = materialize(keyed, "keyed-paths")
+    own = ["digest", "generalization_key"]
+    # whole paths are combined before the shuffle; only ids with their times are ranked
+    paths = keyed.groupBy(*own, "path", "wide").agg(F.count(F.lit(1)).alias("support"))
+    salted = Window.partitionBy(*own, F.pmod(F.xxhash64("of"), F.lit(64))).orderBy(F.desc("of"))
+    ranked = keyed.select(*own, "of").withColumn("_k", F.row_number().over(salted)).filter(F.col("_k") <= provenance_limit)
+    ids = ranked.groupBy(*own).agg(_last(F.collect_list("of"), provenance_limit).alias("last"))
+    exact = paths.join(ids, own).select(*own, "path", "wide", "support", "last").withColumns({"verified": F.lit(True), "active": F.lit(True)})
     exact = materialize(exact, "exact-paths")
     keys = _keys(exact)
     several = keys.filter("distinct_exact_paths > 1").select("generalization_key")
