@@ -391,10 +391,12 @@ def decide(
     rows = with_path(objects)
     category = F.coalesce(F.col("statistics.behavior_category"), F.lit("")) if "statistics" in objects.columns else F.lit("")
     rows = rows.select("object_id", "path", category.alias("category"), F.sha2(canonical("path"), 256).alias("digest"))
+    rows = materialize(rows, "decide-paths")
     flat = [F.col(f"path.{n}").alias(n) for n in LAYERS]
     exact = fingerprints.filter("kind = 'exact'")
     tree = prefix_tree(exact.select(*flat, "support"), count=F.col("support"))
-    reached = match_tree(rows.select("object_id", *flat), tree, "object_id")
+    # equal paths are looked up as one
+    reached = match_tree(rows.select("digest", "path").distinct().select("digest", *flat), tree, "digest")
     rejected = (
         F.when(~F.col("active"), "inactive_fingerprint")
         .when(~F.col("verified"), "unverified_fingerprint")
@@ -403,7 +405,7 @@ def decide(
     own = exact.select(
         "digest", F.col("fingerprint_id").alias("exact_id"), F.col("support").alias("exact_support"), rejected.alias("rejected")
     )
-    base = rows.join(reached, "object_id").join(own, "digest", "left")
+    base = rows.join(reached.join(own, "digest", "left"), "digest")
     whole = F.col("matched_depth") == len(LAYERS)
     is_exact = whole & F.col("exact_id").isNotNull()
     exact_ok = is_exact & F.col("rejected").isNull() & (F.col("terminal_support") >= least_support)

@@ -89,3 +89,23 @@ def test_a_failed_writer_leaves_the_store(spark, tmp_path):
         versions.publish({"a": spark.range(9)}, where, replace=True, check=check)
     assert [versions.read_table(spark, where, t).count() for t in "ab"] == [3, 2]
     assert len(list((tmp_path / "s").iterdir())) == 2
+
+
+def test_equal_paths_are_looked_up_and_shuffled_once(spark, monkeypatch):
+    """Fails if every object walks the tree, or if ids are ranked in rows that carry their paths."""
+    rows = spark.range(60).select(
+        F.lit("alert").alias("object_type"), F.concat(F.lit("o"), F.col("id").cast("string")).alias("object_id"), F.timestamp_seconds("id").alias("start_ts"), F.lit("s").alias("alert_source"),
+        F.lit("login").alias("alert_semantics"), F.array(F.concat(F.lit("10.0.0."), (F.col("id") % 3).cast("string"))).alias("sources"), F.array(F.lit("t")).alias("targets"),
+        F.array().cast("array<string>").alias("services"), F.lit("{}").alias("attributes"),
+    )
+    plans, walked = {}, []
+    write, match = memory.materialize, memory.match_tree
+    monkeypatch.setattr(memory, "materialize", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()) and write(df, name))
+    monkeypatch.setattr(memory, "match_tree", lambda paths, *rest: walked.append(paths.count()) or match(paths, *rest))
+    known = write(memory.learn(rows, provenance_limit=2), "known")
+    assert {tuple(r.provenance) for r in known.filter("kind = 'exact'").collect()} == {("o54", "o57"), ("o55", "o58"), ("o56", "o59")}
+    windows = [line for line in plans["exact-paths"].splitlines() if "Window [" in line]
+    assert windows and "keyed-paths" in plans
+    decided = memory.decide(rows, known).collect()
+    assert len(decided) == 60 and {(r.decision, r.support) for r in decided} == {("filter", 20)}
+    assert walked == [3]
