@@ -142,7 +142,7 @@ _FORWARD = _PAIRS.format(forward="true", cond="n.ts > c.ts AND n.ts <= c.ts + IN
 def evidence_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of evidence with ids of their own."""
     rows = objects(spark, sf_dir)
-    listed = context.evidence_items(context.context(rows, rows, "forward", GAP, 5, 1, tell=("alert_semantics",)), rows)
+    listed = context.evidence_items(context.context(rows, rows, "forward", GAP, 5, 1, tell=("c0", "c1", "alert_semantics"), shared=False), rows)
     return listed.select("object_id", F.inline("evidence")).select("object_id", "cand_id", "evidence_id", "relationship")
 
 

@@ -111,6 +111,39 @@ def test_context_of_a_busy_entity(spark, direction):
     assert len(found[0]) == want
 
 
+@pytest.mark.parametrize("direction", ["backward", "forward"])
+def test_evidence_is_ranked_by_its_keys_without_joins(spark, direction, monkeypatch):
+    """The keys that led to a node tell its rank and relation, and an object with enough nodes of its pairs asks for nothing else."""
+    seen = {}
+    write = context_module.materialize
+
+    def told(df, name):
+        seen[name] = write(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(context_module, "materialize", told)
+    rng = random.Random(6)
+    pick = lambda: rng.choice([["u"], ["u"], ["u", "h"], ["v"], ["h"], []])
+    data = [(f"o{i:03}", rng.randrange(90), rng.choice([0, 0, 1, 3, -2]), pick(), pick()) for i in range(240)] + [(f"p{i}", i, 0, ["a"], ["b"]) for i in range(8)]
+    objects = spark.createDataFrame(data, "object_id string, s long, n long, sources array<string>, targets array<string>")
+    objects = objects.withColumns({"start_ts": F.timestamp_seconds("s"), "end_ts": F.timestamp_seconds(F.col("s") + F.col("n"))})
+    columns = ["object_id", "cand_id", "temporal_role", "hop", "distance", "relevance_rank", "relationship", "priority", "c0", "c1", "n"]
+    full = context(objects, objects, direction, 20, 4, tell=("n",)).select(*columns).collect()
+    assert {r.priority for r in full} == {2, 3, 4, 5}
+    chosen = objects.filter("object_id LIKE 'p%' OR object_id < 'o150'")
+    for current in (objects, chosen):
+        bare = context(objects, current, direction, 20, 4, tell=("c0", "c1", "n"), shared=False).select(*columns).collect()
+        ids = {r.object_id for r in current.collect()}
+        assert sorted(bare) == sorted(r for r in full if r.object_id in ids)
+    left = {r.object_id for r in seen["context-open"].collect()}
+    settled = {"p4", "p5", "p6", "p7"} if direction == "backward" else {"p0", "p1", "p2", "p3"}
+    assert not settled & left and {f"p{i}" for i in range(8)} - settled <= left
+    bare = context(objects, objects, direction, 20, 4, shared=False)
+    assert "Join" not in bare._jdf.queryExecution().optimizedPlan().toString()
+    with pytest.raises(ValueError):
+        context(objects, objects, direction, 20, 4, 2, shared=False)
+
+
 def test_tunnels_of_a_busy_key(spark):
     rng = random.Random(9)
     data = [(f"a{i:04}", rng.choice(["hot"] * 6 + ["b"]), rng.randrange(4000), rng.choice(["12x3-.4-.data.e0.com", "12x3-.4-.data.e1.com", "x.e0.com", "x.e1.com", "x.e2.com"])) for i in range(400)]
