@@ -131,6 +131,21 @@ def test_weak_evidence_joins_a_near_scan(spark):
     assert got["w"] == (None, None) and got["v"] == ("web_scan:enumeration", "correlated_web_scan_session")
 
 
+def test_rules_are_tried_once_for_all_readers(spark):
+    """What reads behaviours reads tables: neither the rules nor the Python that finds names run again."""
+    rows = [alert("s", 0, "nikto"), alert("w", 60, "common web attack url", service="apache"), alert("x", 5, "calm")]
+    found = classify.behaviours(frame(spark, rows))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "EvalPython" not in plan and "rlike" not in plan.lower() and found.count() == 3
+
+
+def test_fields_are_found_however_their_keys_are_spelt(spark):
+    texts = ['{"destination_port": "443"}', '{"destination_\\u0070ort": ["80", "x", "9"]}', '{"dport": ""}', '{"note": "dport"}', None, "{}", '{"note": "\\u0041"}', "no json dport"]
+    rows = spark.createDataFrame([(i, t, "tcp/22") for i, t in enumerate(texts)], "i int, attributes string, service string")
+    got = {r.i: r.p for r in rows.select("i", classify.destination_ports().alias("p")).collect()}
+    assert got == {0: ["443"], 1: ["9", "80", "x"], **{i: ["22"] for i in range(2, 8)}}
+
+
 def test_asof_tie_takes_the_earlier_seed(spark):
     rows = frame(spark, [alert("a", -10, "one"), alert("b", 10, "two"), alert("p", 0, "probe"), alert("q", 200, "probe")])
     probe = F.col("alert_semantics") == "probe"
